@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from viatica.llm import lines, packing, simhash
+from viatica.llm import language, lines, mixing, packing, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op4_language": language.op4_language,
     "op6_line_dedup": lines.op6_line_dedup,
+    "op9_mixing": mixing.op9_mixing,
     "op10_packing": packing.op10_packing,
 }
 
 ORACLES = {
     "op6_line_dedup": lines.SQL,
+    "op9_mixing": mixing.SQL,
 }
