@@ -222,6 +222,12 @@ def near_duplicates(docs: DataFrame, width: int = 3, threshold: int = THRESHOLD)
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, width: int = 3, threshold: int = THRESHOLD) -> DataFrame:
+    """One row of each component: that with its least id. Rows of one id count as one document, of which one row stays; rows without an id have no name to stay by and go."""
+    keep = near_duplicates(docs, width, threshold).filter("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(keep.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+
+
 def hex_of(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
