@@ -15,7 +15,18 @@ from pyspark.sql import functions as F
 SPACES = b" \t\n\r\x0b\x0c"
 
 
+def lean(spark: SparkSession) -> None:
+    """Whole texts pass to Python in batches of about 4 MB (Spark's own default is 64), for workers share an executor's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
+def others(df: DataFrame, *left_out: str) -> Column:
+    """The other columns as one struct, to be carried past Python whatever their names."""
+    return F.struct(F.lit(True).alias("_"), *[F.col(f"`{c}`") for c in df.columns if c not in left_out])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    lean(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

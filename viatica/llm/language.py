@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from viatica.llm.base import fold, kept, slices, table
+from viatica.llm.base import fold, kept, others, slices, table
 
 BLOCK = 512
 LETTERS = 60  # symbols 1 to LETTERS are letters, then one for other letters, then the filling of blocks; 0 is anything else
@@ -162,13 +162,13 @@ def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         model = kept(("language", hash(tuple(sorted(own.items())))), lambda: Model(own))
-        for batch in slices(batches, "whole", 4 << 20):
-            lang, score = model.predict(batch.column("whole").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("d"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["d", "lang_pred", "lang_score"])
+        for batch in slices(batches, "text", 2 << 20):
+            lang, score = model.predict([x or "" for x in batch.column("text").to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("text"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["d", "text", "lang_pred", "lang_score"])
 
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d")).select("d", F.coalesce("d.text", F.lit("")).alias("whole"))
-    made = rows.mapInArrow(run, f"d {rows.schema['d'].dataType.simpleString()}, lang_pred string, lang_score double")
-    return made.select(*[F.col(f"d.`{c}`").alias(c) for c in docs.columns], "lang_pred", "lang_score")
+    rows = docs.select(others(docs, "text").alias("d"), "text")
+    made = rows.mapInArrow(run, f"d {rows.schema['d'].dataType.simpleString()}, text string, lang_pred string, lang_score double")
+    return made.select(*[F.col(c) if c == "text" else F.col(f"d.`{c}`").alias(c) for c in docs.columns], "lang_pred", "lang_score")
 
 
 def learn(docs: DataFrame) -> dict[str, str]:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from viatica.llm.base import SPACES, binaries, cut, partitions, slices, table
+from viatica.llm.base import SPACES, binaries, cut, others, partitions, slices, table
 
 NO_ID = -(2**63)
 LINES = "h1 long, h2 long, doc long, row long, pos int"
@@ -179,35 +179,27 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, least: int = 1, first_stay
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """docs with text cut to the lines that stay, and n_lines and n_dropped. The texts are moved once, by document."""
-    names = docs.columns
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("d"))
-    keyed = keyed.select("d", F.coalesce("d.doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64(F.coalesce("d.text", F.lit(""))).alias("row"))
-    joined = keyed.join(bitmaps, ["doc", "row"], "left").select("d", "keep", F.coalesce("d.text", F.lit("")).alias("whole"))
-    # split, filter and join stay on the JVM; only documents that lose lines pass through Python
-    return _cut_texts(joined, docs)
 
-
-def _cut_texts(joined: DataFrame, docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "whole"):
             texts, lines, dropped = [], [], []
             for text, keep in zip(binaries(batch.column("whole")), batch.column("keep").to_pylist(), strict=True):
+                lines.append(text.count(b"\n") + 1)
                 if keep is None:
                     texts.append(text)
-                    lines.append(text.count(b"\n") + 1)
                     dropped.append(0)
                     continue
-                parts = text.split(b"\n")
                 bits = np.unpackbits(np.frombuffer(zlib.decompress(keep), np.uint8))
-                stay = np.ones(len(parts), bool)
-                stay[: len(bits)] = bits[: len(parts)]
-                texts.append(b"\n".join([p for p, s in zip(parts, stay.tolist(), strict=True) if s]))
-                lines.append(len(parts))
-                dropped.append(int(len(parts) - stay.sum()))
+                stay = np.ones(lines[-1], bool)
+                stay[: len(bits)] = bits[: len(stay)]
+                texts.append(b"\n".join([p for p, s in zip(text.split(b"\n"), stay.tolist(), strict=True) if s]))
+                dropped.append(int(len(stay) - stay.sum()))
             yield pa.RecordBatch.from_arrays([batch.column("d"), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], names=["d", "kept", "n_lines", "n_dropped"])
 
-    kind = joined.schema["d"].dataType.simpleString()
-    made = joined.mapInArrow(run, f"d {kind}, kept string, n_lines long, n_dropped long")
+    keyed = docs.select(others(docs, "text").alias("d"), F.coalesce("text", F.lit("")).alias("whole"))
+    keyed = keyed.select("d", "whole", F.coalesce("d.doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64("whole").alias("row"))
+    joined = keyed.join(bitmaps, ["doc", "row"], "left").select("d", "whole", "keep")
+    made = joined.mapInArrow(run, f"d {joined.schema['d'].dataType.simpleString()}, kept string, n_lines long, n_dropped long")
     return made.select(*[F.col("kept").alias("text") if c == "text" else F.col(f"d.`{c}`").alias(c) for c in docs.columns], "n_lines", "n_dropped")
 
 
