@@ -46,7 +46,16 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def fresh_dir(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.makeQualified(path).toString()
+
+
+def open_files(uri: str):
+    """(file system, path) of a URI, for the flat files that Spark has no reader for."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri)
 
 
 def binaries(column: pa.Array) -> list[bytes]:

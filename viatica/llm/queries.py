@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from viatica.llm import language, lines, mixing, packing, simhash
+from viatica.llm import language, lines, lm, media, mixing, neighbours, packing, simhash, tokencount, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_token_counts": tokencount.op2_token_counts,
+    "op3_media": media.op3_media,
     "op4_language": language.op4_language,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_line_dedup": lines.op6_line_dedup,
+    "op7_neighbours": neighbours.op7_neighbours,
+    "op8_lm": lm.op8_lm,
     "op9_mixing": mixing.op9_mixing,
     "op10_packing": packing.op10_packing,
 }
