@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from viatica.plans import loading  # noqa: F401  each module registers its queries
+from viatica.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
