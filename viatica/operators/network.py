@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from viatica.functions.lineage import kept
+
 # Class, km/h, lanes, saturation veh/h/lane, jam veh/km/lane.
 CLASS_DEFAULTS = [
     ("motorway", 110, 2, 2000, 130),
@@ -139,29 +141,21 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         new = label.join(near, "node").select("node", F.least("label", "near").alias("label"), (F.col("near") < F.col("label")).alias("moved"))
-        new = _kept(new)
+        new = kept(new)
         label = new.select("node", "label")
         if new.filter("moved").isEmpty():
             return label.withColumnRenamed("label", "component")
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Cuts the lineage between turns of a loop, in the shared folder that the session names."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints")
-    return df.checkpoint(eager=True)
-
-
 def distances(links: DataFrame, origins: DataFrame, cost: str, bound: int) -> DataFrame:
     """Least cost from each origin to every node within the bound: turns of relaxing only the nodes that got closer."""
     steps = links.select(F.col("from_node").alias("node"), F.col("to_node").alias("next"), F.col(cost).cast("long").alias("c"))
-    best = _kept(origins.select("origin", F.col("origin").alias("node"), F.lit(0).cast("long").alias("cost")))
+    best = kept(origins.select("origin", F.col("origin").alias("node"), F.lit(0).cast("long").alias("cost")))
     fresh = best
     while True:
         tried = fresh.join(steps, "node").select("origin", F.col("next").alias("node"), (F.col("cost") + F.col("c")).alias("cost")).filter(F.col("cost") <= bound)
         merged = best.withColumn("new", F.lit(0)).unionByName(tried.withColumn("new", F.lit(1))).groupBy("origin", "node").agg(F.min(F.struct("cost", "new")).alias("x"))
-        both = _kept(merged.select("origin", "node", "x.cost", "x.new"))
+        both = kept(merged.select("origin", "node", "x.cost", "x.new"))
         best, fresh = both.select("origin", "node", "cost"), both.filter("new = 1").select("origin", "node", "cost")
         if fresh.isEmpty():
             return best
@@ -214,14 +208,14 @@ def static_assignment(links: DataFrame, demand: DataFrame, turns_: int = 4, alph
 
     links (link, from_node, to_node, free_s, capacity), demand (origin, destination, people).
     """
-    state = _kept(links.withColumn("flow", F.lit(0.0)).withColumn("seconds", F.col("free_s").cast("double")))
+    state = kept(links.withColumn("flow", F.lit(0.0)).withColumn("seconds", F.col("free_s").cast("double")))
     for i in range(turns_):
         routes = shortest_routes(state, demand, "seconds")
         loaded = routes.join(demand, ["origin", "destination"]).select(F.explode("links").alias("link"), "people").groupBy("link").agg(F.sum("people").alias("new"))
         step = 1.0 / (i + 1)
         flow = F.col("flow") + step * (F.coalesce("new", F.lit(0.0)) - F.col("flow"))
         moved = state.join(loaded, "link", "left").withColumn("flow", flow).drop("new")
-        state = _kept(moved.withColumn("seconds", F.col("free_s") * (1 + alpha * F.pow(F.col("flow") / F.col("capacity"), F.lit(float(beta))))))
+        state = kept(moved.withColumn("seconds", F.col("free_s") * (1 + alpha * F.pow(F.col("flow") / F.col("capacity"), F.lit(float(beta))))))
     return state.select("link", "flow", "seconds")
 
 
