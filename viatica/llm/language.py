@@ -106,6 +106,7 @@ def parse_table(step: list[dict[int, int]]) -> np.ndarray:
     state = np.repeat(np.arange(len(step)), [len(x) for x in step])
     symbol = np.fromiter((c for x in step for c in x), np.int64)
     out[state, symbol] = np.fromiter((t for x in step for t in x.values()), np.int64) * WIDTH << 1
+    out[0, :FILL] |= 1  # at the start, any symbol begins a phrase
     return out.astype(np.int32).ravel()
 
 
