@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +36,11 @@ END = "\n"  # no word holds it
 REST, CLOSE = 0, 1  # class of the tokens that have none of their own, class of the end
 
 
-def _hash(token: bytes) -> int:
-    x = xxhash.xxh64_intdigest(token, 8)
-    return x - (1 << 64) if x >> 63 else x
+def hashes_of(tokens: Iterable[bytes], n: int) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, tokens), np.uint64, n).view(np.int64)
 
 
-END_HASH = _hash(END.encode())
+END_HASH = int(hashes_of([END.encode()], 1)[0])
 
 
 def counts(docs: DataFrame) -> DataFrame:
@@ -52,7 +51,7 @@ def counts(docs: DataFrame) -> DataFrame:
         ends = 0
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array([*map(_hash, seen), END_HASH], pa.int64()), pa.array([*seen.values(), ends], pa.int64())], names=["h", "c"])
+            out = pa.RecordBatch.from_arrays([pa.array(np.r_[hashes_of(seen, len(seen)), END_HASH]), pa.array([*seen.values(), ends], pa.int64())], names=["h", "c"])
             seen.clear()
             return out
 
@@ -69,26 +68,30 @@ def counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).filter("c > 0")
 
 
+class _Classes(dict):
+    """Class of a token; a new one is looked up by its hash."""
+
+    def __init__(self, number: dict[int, int]):
+        super().__init__()
+        self.number = number
+
+    def __missing__(self, token: bytes) -> int:
+        x = xxhash.xxh64_intdigest(token)
+        own = self[token] = self.number.get(x - (1 << 64) if x >> 63 else x, REST)
+        return own
+
+
 class Coder:
     """Classes of whole texts by a memory of tokens."""
 
     def __init__(self, hashes: np.ndarray, limit: int = 400_000):
-        self.number = {int(h): n + 2 for n, h in enumerate(hashes)}
+        self.known = _Classes({int(h): n + 2 for n, h in enumerate(hashes)})
         self.limit = limit
-        self.known: dict[bytes, int] = {}
 
     def code(self, tokens: list[bytes]) -> np.ndarray:
         if len(self.known) > self.limit:
             self.known.clear()
-        known, number = self.known, self.number
-        found = np.fromiter(map(lambda t: known.get(t, -1), tokens), np.int64, len(tokens))
-        for i in np.flatnonzero(found < 0).tolist():
-            t = tokens[i]
-            own = known.get(t)
-            if own is None:
-                own = known[t] = number.get(_hash(t), REST)
-            found[i] = own
-        return found
+        return np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))
 
     def stream(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
         """Classes of all texts one after another, each with its end; how many tokens each has; its words."""
@@ -133,7 +136,7 @@ class LogBilinear:
             setattr(self, x, flat[at : at + old.size].reshape(old.shape).astype(np.float32))
             at += old.size
 
-    def steps(self, one: np.ndarray, two: np.ndarray, target: np.ndarray, random: np.random.Generator, noise: int = 64, batch: int = 1024, rate: float = 0.1) -> None:
+    def steps(self, one: np.ndarray, two: np.ndarray, target: np.ndarray, random: np.random.Generator, noise: int = 64, batch: int = 1024, rate: float = 0.05) -> None:
         """One pass of noise-contrastive steps: each token against the noise tokens its batch shares. AdaGrad by parameter row."""
         cumulative = np.cumsum(self.share)
         if not hasattr(self, "seen"):
@@ -228,40 +231,29 @@ def score(docs: DataFrame, learned: DataFrame, classes: int = 2048, width: int =
             one, two = contexts(found, sizes)
             logs = (a1[one, found] + a2[two, found] - z[one, two]) / math.log(10)
             starts = np.cumsum(sizes) - sizes
-            rows = np.asarray(batch.column("row")).astype(np.int64)
             sums = [np.add.reduceat(x.astype(np.float64), starts) for x in (logs, plus[found], there[found], found == REST)]
-            # the texts' own row, then a row for each of its tokens without a class
-            pairs: list[tuple[int, int, int]] = []
-            at = 0
-            for row, tokens in zip(rows.tolist(), words, strict=True):
-                codes = found[at : at + len(tokens)]
-                at += len(tokens) + 1
-                pairs += [(row, _hash(t), k) for t, k in Counter([tokens[i] for i in np.flatnonzero(codes == REST).tolist()]).items()]
-            m, k = len(rows), len(pairs)
-            none = lambda size: np.zeros(size)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.r_[rows, np.array([p[0] for p in pairs], np.int64)]),
-                    pa.concat_arrays([batch.column("doc_id").cast(pa.int64()), pa.nulls(k, pa.int64())]),
-                    pa.array(np.r_[rows, np.array([p[1] for p in pairs], np.int64)]),
-                    pa.array(np.r_[np.zeros(m, np.int64), np.array([p[2] for p in pairs], np.int64)]),
-                    pa.array(np.r_[sizes, np.zeros(k, np.int64)]),
-                    *[pa.array(np.r_[x, none(k)]) for x in sums],
-                ],
-                names=["row", "doc_id", "h", "times", "n_tokens", "log_p", "base", "known", "rest"],
-            )
+            # the hashes of each text's tokens without a class
+            tokens = [t for x in words for t in (*x, b"")]
+            rare = np.flatnonzero(found == REST)
+            hashed = hashes_of([tokens[i] for i in rare.tolist()], len(rare))
+            offsets = np.searchsorted(rare, np.r_[starts, len(found)]).astype(np.int32)
+            own_sums = pa.StructArray.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sizes), *map(pa.array, sums)], names=["doc_id", "n_tokens", "log_p", "base", "known", "rest"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), own_sums, pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashed))], names=["row", "d", "hs"])
 
     marked = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")  # rows keep their places in a scan, whichever executor reads them
-    parts = marked.mapInArrow(run, "row long, doc_id long, h long, times long, n_tokens long, log_p double, base double, known double, rest double")
-    joined = parts.join(known.withColumnRenamed("c", "count").withColumn("times_", F.lit(1)), (parts.h == known.h) & (F.when(parts.times > 0, 1).otherwise(0) == F.col("times_")), "left")
-    extra = F.when(F.col("times") > 0, F.col("times") * F.log10(F.coalesce("count", F.lit(0)) + 1)).otherwise(0.0)
+    parts = marked.mapInArrow(run, "row long, d struct<doc_id: long, n_tokens: long, log_p: double, base: double, known: double, rest: double>, hs array<long>")
+    # one row a rare token; the first one carries the text's own sums, and a text without any has a row that matches nothing that counts
+    each = parts.select("row", "d", F.posexplode_outer("hs").alias("i", "h"))
+    each = each.select("row", F.when(F.coalesce("i", F.lit(0)) == 0, F.col("d")).alias("d"), F.coalesce("h", F.xxhash64("row")).alias("h"), F.when(F.col("h").isNotNull(), 1).otherwise(0).alias("times"))
+    joined = each.join(known, "h", "left")
+    extra = F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 1)
     sums = joined.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.sum("n_tokens").alias("n_tokens"),
-        (F.sum("known") + F.sum(F.when(F.col("count") > 0, F.col("times")).otherwise(0))).cast("long").alias("n_known"),
-        (F.sum("base") + F.sum(extra)).alias("all_logs"),
-        (F.sum("log_p") + F.sum(extra)).alias("model_logs"),
-        F.sum("rest").alias("rest"),
+        F.max("d.doc_id").alias("doc_id"),
+        F.sum("d.n_tokens").alias("n_tokens"),
+        (F.sum("d.known") + F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0))).cast("long").alias("n_known"),
+        (F.sum("d.base") + F.sum(extra)).alias("all_logs"),
+        (F.sum("d.log_p") + F.sum(extra)).alias("model_logs"),
+        F.sum("d.rest").alias("rest"),
     )
     inside = math.log10(rest + rest_types + 1)
     return sums.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), (F.col("all_logs") - F.col("n_tokens") * math.log10(n + v + 1)).alias("base_score"), (F.col("model_logs") - F.col("rest") * inside).alias("score"))
