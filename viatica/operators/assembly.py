@@ -78,7 +78,7 @@ def capacity_factors(disruptions: DataFrame, bins: DataFrame, width: int) -> Dat
     """Of each link and bin, the product of the factors (in percent) in force at its start; 0 closes."""
     hit = bins.join(disruptions, "link").filter((F.col("bin") * width >= F.col("from_s")) & (F.col("bin") * width < F.col("to_s")))
     product = F.aggregate(F.sort_array(F.collect_list("percent")), F.lit(1.0), lambda a, x: a * x / 100)
-    return hit.groupBy("link", "bin").agg(F.round(product, 4).alias("factor"))
+    return hit.groupBy("link", "bin").agg(F.round(product, 12).alias("factor"))
 
 
 def two_rankings(candidates: DataFrame, k: int) -> DataFrame:

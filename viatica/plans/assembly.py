@@ -97,7 +97,7 @@ def route_sets_revised(routes):
 
 
 DISRUPTED = """WITH d AS (SELECT l_partkey % 80 AS link, 27000 + l_orderkey % 3600 AS f, 27000 + l_orderkey % 3600 + 1800 AS t, 50 + l_suppkey % 50 AS p FROM lineitem WHERE l_orderkey % 97 = 0), b AS (SELECT link, range AS bin FROM v_links, range(30, 40))
-SELECT b.link, bin, round(exp(sum(ln(CAST(p AS DOUBLE) / 100))), 4) AS factor FROM b JOIN d ON b.link = d.link AND bin * 900 >= f AND bin * 900 < t GROUP BY 1, 2"""
+SELECT b.link, bin, round(exp(sum(ln(CAST(p AS DOUBLE) / 100))), 12) AS factor FROM b JOIN d ON b.link = d.link AND bin * 900 >= f AND bin * 900 < t GROUP BY 1, 2"""
 
 
 def _disruptions(lines, links):
