@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -92,11 +95,35 @@ def partitions(spark: SparkSession) -> int:
 
 
 _KEPT: dict = {}
+_USED: set = set()
 
 
 def kept(key, make):
     """One value per key and Python worker: what a task has built serves the next ones. Only the latest key of each kind is kept."""
     kind = key[0]
+    _USED.add(kind)
     if _KEPT.get(kind, (None,))[0] != key:
+        _KEPT.pop(kind, None)
         _KEPT[kind] = (key, make())
     return _KEPT[kind][1]
+
+
+def task(run):
+    """run, leaving a lean worker behind: at the end, what other kinds of tasks have kept goes, and freed memory returns to the system.
+
+    Workers outlive their tasks and share the executor's memory with the next ones, which may be of another operator.
+    """
+
+    def wrapped(batches):
+        _USED.clear()
+        try:
+            yield from run(batches)
+        finally:
+            for kind in _KEPT.keys() - _USED:
+                del _KEPT[kind]
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # a libc without it frees as it will
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from viatica.llm.base import fold, kept, others, slices, table
+from viatica.llm.base import fold, kept, others, slices, table, task
 
 BLOCK = 512
 LETTERS = 60  # symbols 1 to LETTERS are letters, then one for other letters, then the filling of blocks; 0 is anything else
@@ -100,14 +100,14 @@ def parse_table(step: list[dict[int, int]]) -> np.ndarray:
     start = np.zeros(WIDTH, np.int64)
     for c, to in step[0].items():
         start[c] = to * WIDTH
-    out = np.empty((len(step), WIDTH), np.int64)
+    out = np.empty((len(step), WIDTH), np.int32)
     out[:] = start << 1 | 1
     out[:, FILL] = np.arange(len(step)) * WIDTH << 1
     state = np.repeat(np.arange(len(step)), [len(x) for x in step])
     symbol = np.fromiter((c for x in step for c in x), np.int64)
     out[state, symbol] = np.fromiter((t for x in step for t in x.values()), np.int64) * WIDTH << 1
     out[0, :FILL] |= 1  # at the start, any symbol begins a phrase
-    return out.astype(np.int32).ravel()
+    return out.ravel()
 
 
 class Model:
@@ -168,7 +168,7 @@ def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("text"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["d", "text", "lang_pred", "lang_score"])
 
     rows = docs.select(others(docs, "text").alias("d"), "text")
-    made = rows.mapInArrow(run, f"d {rows.schema['d'].dataType.simpleString()}, text string, lang_pred string, lang_score double")
+    made = rows.mapInArrow(task(run), f"d {rows.schema['d'].dataType.simpleString()}, text string, lang_pred string, lang_score double")
     return made.select(*[F.col(c) if c == "text" else F.col(f"d.`{c}`").alias(c) for c in docs.columns], "lang_pred", "lang_score")
 
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from viatica.llm.base import SPACES, binaries, cut, others, partitions, slices, table
+from viatica.llm.base import binaries, cut, others, partitions, slices, SPACES, table, task
 
 NO_ID = -(2**63)
 LINES = "h1 long, h2 long, doc long, row long, pos int"
@@ -54,7 +54,7 @@ def hashed_lines(docs: DataFrame, least: int) -> DataFrame:
             h = np.frombuffer(b"".join(hashes), ">i8").reshape(-1, 2).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(docs_, pa.int64()), pa.array(rows, pa.int64()), pa.array(places, pa.int32())], names=KEY)
 
-    return docs.select("doc_id", "text").mapInArrow(run, LINES)
+    return docs.select("doc_id", "text").mapInArrow(task(run), LINES)
 
 
 class _Range:
@@ -147,7 +147,7 @@ def dropped_lines(docs: DataFrame, min_docs: int, least: int, first_stays: bool)
     """(doc, row, pos) of every line that goes. row is the XXH64 of the text."""
     n = partitions(docs.sparkSession)
     ranged = hashed_lines(docs, least).repartitionByRange(n, *KEY).sortWithinPartitions(*KEY)
-    found = cut(ranged.mapInArrow(_stream(min_docs, first_stays), VERDICTS))
+    found = cut(ranged.mapInArrow(task(_stream(min_docs, first_stays)), VERDICTS))
     settled, pending = found.filter("h1 is null").select("doc", "row", "pos"), found.filter("h1 is not null")
     place = F.struct("doc", "row", "pos")
     common = pending.groupBy("h1", "h2").agg(F.countDistinct("doc").alias("docs"), F.min(place).alias("first")).filter(F.col("docs") >= min_docs)
@@ -174,7 +174,7 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, least: int = 1, first_stay
             yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("row"), pa.array(maps, pa.binary())], names=["doc", "row", "keep"])
 
     gone = dropped_lines(docs, min_docs, least, first_stays).groupBy("doc", "row").agg(F.collect_set("pos").alias("gone"))
-    return gone.mapInArrow(run, "doc long, row long, keep binary")
+    return gone.mapInArrow(task(run), "doc long, row long, keep binary")
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
@@ -199,7 +199,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     keyed = docs.select(others(docs, "text").alias("d"), F.coalesce("text", F.lit("")).alias("whole"))
     keyed = keyed.select("d", "whole", F.coalesce("d.doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64("whole").alias("row"))
     joined = keyed.join(bitmaps, ["doc", "row"], "left").select("d", "whole", "keep")
-    made = joined.mapInArrow(run, f"d {joined.schema['d'].dataType.simpleString()}, kept string, n_lines long, n_dropped long")
+    made = joined.mapInArrow(task(run), f"d {joined.schema['d'].dataType.simpleString()}, kept string, n_lines long, n_dropped long")
     return made.select(*[F.col("kept").alias("text") if c == "text" else F.col(f"d.`{c}`").alias(c) for c in docs.columns], "n_lines", "n_dropped")
 
 

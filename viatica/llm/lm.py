@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from viatica.llm.base import binaries, cut, fold, kept, slices, table
+from viatica.llm.base import binaries, cut, fold, kept, slices, table, task
 
 END = "\n"  # no word holds it
 REST, CLOSE = 0, 1  # class of the tokens that have none of their own, class of the end
@@ -65,7 +65,7 @@ def counts(docs: DataFrame) -> DataFrame:
         if seen or ends:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).filter("c > 0")
+    return docs.select("text").mapInArrow(task(run), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).filter("c > 0")
 
 
 class _Classes(dict):
@@ -199,7 +199,7 @@ def train(docs: DataFrame, hashes: np.ndarray, start: LogBilinear, chunk: int =
             n = len(parts)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(n), [len(p) for p in parts]), pa.int32()), pa.array(np.concatenate([np.arange(len(p)) for p in parts]), pa.int32()), pa.array(flat), pa.array(np.full(len(flat), tokens, np.int64))], names=["part", "at", "x", "n"])
 
-    sums = docs.select("text").mapInArrow(run, "part int, at int, x double, n long").groupBy("part", "at").agg((F.sum("x") / F.sum("n")).alias("x"))
+    sums = docs.select("text").mapInArrow(task(run), "part int, at int, x double, n long").groupBy("part", "at").agg((F.sum("x") / F.sum("n")).alias("x"))
     found = sums.orderBy("part", "at").select("x").toArrow().column("x").to_numpy()
     out = LogBilinear(start.share, start.r.shape[1])
     out.set(found if len(found) else start.parameters())
@@ -241,7 +241,7 @@ def score(docs: DataFrame, learned: DataFrame, classes: int = 2048, width: int =
             yield pa.RecordBatch.from_arrays([batch.column("row"), own_sums, pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashed))], names=["row", "d", "hs"])
 
     marked = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")  # rows keep their places in a scan, whichever executor reads them
-    parts = marked.mapInArrow(run, "row long, d struct<doc_id: long, n_tokens: long, log_p: double, base: double, known: double, rest: double>, hs array<long>")
+    parts = marked.mapInArrow(task(run), "row long, d struct<doc_id: long, n_tokens: long, log_p: double, base: double, known: double, rest: double>, hs array<long>")
     # one row a rare token; the first one carries the text's own sums, and a text without any has a row that matches nothing that counts
     each = parts.select("row", "d", F.posexplode_outer("hs").alias("i", "h"))
     each = each.select("row", F.when(F.coalesce("i", F.lit(0)) == 0, F.col("d")).alias("d"), F.coalesce("h", F.xxhash64("row")).alias("h"), F.when(F.col("h").isNotNull(), 1).otherwise(0).alias("times"))

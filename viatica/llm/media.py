@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from viatica.llm.base import binaries, cut, others, slices, table
+from viatica.llm.base import binaries, cut, others, slices, table, task
 
 ITEM = "array<struct<kind: string, text: string, digest: string, caption: string>>"
 ROW = 64
@@ -108,7 +108,7 @@ def parse(pages: DataFrame, html: str = "html") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("d"), pa.array([items(x) for x in batch.column("html").to_pylist()], kind)], names=["d", "items"])
 
     rows = pages.select(others(pages, html).alias("d"), F.col(html).alias("html"))
-    made = rows.mapInArrow(run, f"d {rows.schema['d'].dataType.simpleString()}, items {ITEM}")
+    made = rows.mapInArrow(task(run), f"d {rows.schema['d'].dataType.simpleString()}, items {ITEM}")
     return made.select(*[F.col(f"d.`{c}`").alias(c) for c in pages.columns if c != html], "items")
 
 
@@ -171,7 +171,7 @@ def media_store(payloads: DataFrame) -> DataFrame:
             own = dict(zip(batch.column("digest").to_pylist(), binaries(batch.column("payload")), strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.string()), pa.array([to_png(x) for x in own.values()], pa.binary())], names=["digest", "stored"])
 
-    return cut(payloads.select("digest", "payload").mapInArrow(run, "digest string, stored binary"))
+    return cut(payloads.select("digest", "payload").mapInArrow(task(run), "digest string, stored binary"))
 
 
 def feature(payload: bytes) -> str:
@@ -202,7 +202,7 @@ def features(store: DataFrame) -> DataFrame:
             )
 
     kinds = dict(zip(FEATURES, ("long", "string", "long", "long", "string", "string"), strict=True))
-    return store.mapInArrow(run, "digest string, " + ", ".join(f"{k} {v}" for k, v in kinds.items())).groupBy("digest").agg(*[F.max(c).alias(c) for c in FEATURES])
+    return store.mapInArrow(task(run), "digest string, " + ", ".join(f"{k} {v}" for k, v in kinds.items())).groupBy("digest").agg(*[F.max(c).alias(c) for c in FEATURES])
 
 
 FEATURES = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from viatica.llm.base import binaries, slices, table
+from viatica.llm.base import binaries, slices, table, task
 from viatica.llm.tokens import encoder, vocabulary
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -98,7 +98,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 2, line
         if held:
             yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+    return docs.select("doc_id", "text").mapInArrow(task(run), PIECES)
 
 
 def digest(pieces: DataFrame) -> DataFrame:

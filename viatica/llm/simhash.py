@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from viatica.llm.base import binaries, cut, partitions, slices, table
+from viatica.llm.base import binaries, cut, partitions, slices, table, task
 from viatica.llm.graph import components
 
 LANE = np.uint64(0x0101010101010101)
@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
             fps = pa.array([fingerprint(x, width) for x in binaries(batch.column("text"))], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), fps], names=["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", "text").mapInArrow(task(run), "doc_id long, fp long")
 
 
 def _syndromes(bits31: np.ndarray) -> np.ndarray:
@@ -206,9 +206,9 @@ def linked(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Links (a, b) between different values of fp, enough to join all that differ in at most `threshold` (3 or fewer) bits."""
     if not 0 <= threshold <= THRESHOLD:
         raise ValueError("the two halves hold one difference each: threshold is 3 at most")
-    copies = fps.select("fp").distinct().mapInArrow(_replicate, "anchor long, fp long, home boolean")
+    copies = fps.select("fp").distinct().mapInArrow(task(_replicate), "anchor long, fp long, home boolean")
     dealt = copies.repartition(partitions(fps.sparkSession), "anchor").sortWithinPartitions("anchor")
-    return dealt.mapInArrow(_compare(threshold), "a long, b long")
+    return dealt.mapInArrow(task(_compare(threshold)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, threshold: int = THRESHOLD) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from viatica.llm.base import binaries, cut, fresh_dir, open_files, partitions, slices, table
+from viatica.llm.base import binaries, cut, fresh_dir, open_files, partitions, slices, table, task
 from viatica.llm.tokens import encoder, vocabulary
 
 END = 49407
@@ -53,7 +53,7 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end: int = END) -
                 n += batch.num_rows
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([-1], pa.int64()), pa.array([total], pa.int64())], names=["file", "nth", "doc_id"])
 
-    rows = cut(docs.select("doc_id", "text").mapInArrow(run, "file string, nth long, doc_id long"))
+    rows = cut(docs.select("doc_id", "text").mapInArrow(task(run), "file string, nth long, doc_id long"))
     return rows.filter("nth < 0").select("file", F.col("doc_id").alias("n_ids")), rows.filter("nth >= 0")
 
 
@@ -72,7 +72,7 @@ def scan_blocks(files: DataFrame, folder: str, end: int = END, block: int = 1 <<
 
     blocks = files.filter("n_ids > 0").select("file", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n_ids - 1) div {block}"))).alias("block"))
     spread = blocks.repartition(partitions(files.sparkSession), "file", "block")
-    return spread.mapInArrow(run, "file string, block long, ends array<long>")
+    return spread.mapInArrow(task(run), "file string, block long, ends array<long>")
 
 
 def document_lengths(files: DataFrame, folder: str, end: int = END, block: int = 1 << 20, kind: str = "<u2") -> DataFrame:

@@ -147,11 +147,11 @@ class PieceEncoder:
 
     The tokenizer must drop white space and never join text across it (as word_bpe_49k does): then the ids of a text
     are those of its pieces between ASCII white space, one after another, and equal pieces have equal ids. Ids of up to
-    `limit` pieces are remembered; beyond that the memory starts anew, so it is bounded whatever the corpus holds.
+    `limit` pieces are remembered; beyond that the rarer ones are forgotten, so memory is bounded whatever the corpus holds.
     Strings of special tokens in a text are ordinary text.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 300_000):
         import regex
         from tokenizers import Tokenizer
 
@@ -162,50 +162,69 @@ class PieceEncoder:
         kinds = [x.get("type") for x in model["pre_tokenizer"].get("pretokenizers", [])]
         self.merger = PairMerger(model["model"]) if kinds == ["Split", "ByteLevel"] else None
         self.split = regex.compile(model["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall if self.merger else None
-        self.words: dict[str, np.ndarray] = {}
+        self.words: dict[str, bytes] = {}
         self._reset()
 
     def _reset(self) -> None:
         self.numbers = _Numbers()
-        self.words.clear()
         self.first = np.zeros(1, np.int64)
         self.flat = np.zeros(0, np.uint32)
+        self.hits = np.zeros(0, np.int64)
+
+    def _forget(self) -> None:
+        """Keeps the pieces seen most often, half the limit at most."""
+        self.words.clear()
+        seen = np.sort(self.hits)[::-1]
+        least = max(2, int(seen[min(len(seen) - 1, self.limit // 2)]) + 1)
+        stay = np.flatnonzero(self.hits >= least)
+        names = list(self.numbers)
+        lengths = np.diff(self.first)[stay]
+        ends = np.cumsum(lengths)
+        flat = self.flat[np.repeat(self.first[stay] - (ends - lengths), lengths) + np.arange(int(lengths.sum()))]
+        self._reset()
+        for i in stay.tolist():
+            self.numbers[names[i]] = len(self.numbers)
+        self.first, self.flat, self.hits = np.r_[0, ends], flat, np.zeros(len(stay), np.int64)
 
-    def _by_library(self, pieces: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, np.int64) for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+    def _by_library(self, pieces: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def _ids(self, new: list[bytes]) -> list[np.ndarray]:
-        """Pieces of European letters go through the merger, as they are the same whatever the Unicode version; others through the library."""
+    def _ids(self, new: list[bytes]) -> list[bytes]:
+        """32-bit ids of new pieces. Pieces of European letters go through the merger, as they are the same whatever the Unicode version; others through the library."""
         texts = [x.decode("utf-8", "replace") for x in new]
         plain = [self.merger is not None and (x.isascii() or max(x) < "\u0250" and "\u0130" not in x) and len(x) <= 60 for x in texts]
-        out: list[np.ndarray] = [None] * len(new)  # type: ignore[list-item]
+        out = [b""] * len(new)
         rest = [i for i, p in enumerate(plain) if not p]
         for i, ids in zip(rest, self._by_library([texts[i] for i in rest]), strict=True):
             out[i] = ids
         split = {i: self.split(texts[i].lower()) for i, p in enumerate(plain) if p}
         unseen = list({w for x in split.values() for w in x} - self.words.keys())
-        self.words.update(zip(unseen, self.merger([w.encode() for w in unseen]) if unseen else [], strict=True))
+        merged = self.merger([w.encode() for w in unseen]) if unseen else []
+        self.words.update((w, ids.astype("<u4").tobytes()) for w, ids in zip(unseen, merged, strict=True))
         for i, x in split.items():
-            out[i] = self.words[x[0]] if len(x) == 1 else np.concatenate([self.words[w] for w in x]) if x else np.zeros(0, np.int64)
+            out[i] = b"".join([self.words[w] for w in x])
         return out
 
     def _learn(self) -> None:
         if not self.numbers.new:
             return
         ids = self._ids(self.numbers.new)
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.flat = np.concatenate([self.flat, np.concatenate(ids).astype(np.uint32)])
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), "<u4")])
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(lengths)])
         self.numbers.new = []
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and where each text's ids start (one more entry than texts)."""
         if len(self.numbers) > self.limit:
-            self._reset()
+            self._forget()
         number = self.numbers.__getitem__
         parts = [np.fromiter(map(number, pieces), np.int64, len(pieces)) for pieces in (x.split() for x in texts)]
         self._learn()
         which = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        hits = np.bincount(which, minlength=len(self.numbers))
+        hits[: len(self.hits)] += self.hits
+        self.hits = hits
         lengths = self.first[which + 1] - self.first[which]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0

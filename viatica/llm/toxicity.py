@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from viatica.llm.base import binaries, cut, fold, kept, lean, slices, table
+from viatica.llm.base import binaries, cut, fold, kept, lean, slices, table, task
 
 PLACES = 1 << 22
 THRESHOLD = 0.7
@@ -135,7 +135,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = 20_000, features: int = 8_000, least: int = 3) -> tuple[np.ndarray, Machine]:
     sample = cut(labelled_sample(docs, labels, rows))
-    counted = sample.mapInArrow(_counted, "place long, ones long, zeros long").groupBy("place").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
+    counted = sample.mapInArrow(task(_counted), "place long, ones long, zeros long").groupBy("place").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
     n1, n0 = (int(x or 0) for x in sample.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first())
     if not n1 or not n0:
         machine = Machine(0)
@@ -150,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 20_000, features: int =
             own = [sorted(scorer.features(x)) for x in binaries(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("toxic").cast(pa.int32()), pa.array(own, pa.list_(pa.int32()))], names=["toxic", "f"])
 
-    seen = sample.mapInArrow(run, "toxic int, f array<int>").toArrow()
+    seen = sample.mapInArrow(task(run), "toxic int, f array<int>").toArrow()
     lists = seen.column("f").combine_chunks()
     labels_ = seen.column("toxic").to_numpy().astype(float)
     flat = lists.flatten().to_numpy().astype(np.int64)
@@ -170,7 +170,7 @@ def score(docs: DataFrame, chosen: np.ndarray, machine: Machine) -> DataFrame:
         for batch in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(scorer.score(binaries(batch.column("text"))))], names=["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(task(run), "doc_id long, score double")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
