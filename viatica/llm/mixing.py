@@ -6,8 +6,8 @@ only what a whole subtree cannot take shows one level up, where it is shared amo
 are whole tokens, rounded down. A leaf with budget q and t tokens takes every document q div t times, and of one more
 epoch the prefix, in an order seeded by leaf epoch and document id, whose tokens sum to at most q mod t.
 
-DataFrame operations only. The prefix is found without gathering a leaf: sums by the first three hex digits of the order
-key, then by six within the one range where the budget ends, then over the few documents of that range.
+DataFrame operations only. The prefix is found without gathering a leaf: sums by the first two hex digits of the
+order key, then by four within the one range where the budget ends, then by six, then over the few documents left.
 
 Edge cases: a null text has no tokens; null levels are a branch of their own; documents without tokens are taken where
 the order reaches them; rows with one id (null ids too) are taken or left together, as are repeated rows; weights of zero
@@ -84,7 +84,7 @@ def plan(docs: DataFrame, levels: Mapping[str, str], weights: Mapping[str, Mappi
     leaves = leaves.withColumn("part", F.expr("cast(quota - epochs * tokens as bigint)"))
     rows = _at_leaves(slim, leaves, names, small).withColumn("k", order_key(seed, F.col("epochs"), F.col("doc_id")))
     found = leaves.select(*names, F.lit("").alias("at"), F.lit(0).cast("long").alias("before"), "part")
-    for digits in (3, 6, 32):
+    for digits in (2, 4, 6, 32):
         inside = _at_leaves(rows.drop("part"), found, names, small).filter(F.col("k").startswith(F.col("at")))
         sums = inside.groupBy(*names, F.substring("k", 1, digits).alias("at")).agg(F.sum("n_tokens").alias("n"), F.first("before").alias("before"), F.first("part").alias("part"))
         order = Window.partitionBy(*names).orderBy("at")
