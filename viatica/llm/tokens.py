@@ -82,8 +82,8 @@ class PairMerger:
         out: list[np.ndarray] = [None] * len(pieces)  # type: ignore[list-item]
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         order = np.argsort(sizes, kind="stable")
-        for start in range(0, len(order), 20_000):
-            rows = order[start : start + 20_000]
+        for start in range(0, len(order), 8_000):
+            rows = order[start : start + 8_000]
             self._merge([pieces[i] for i in rows], sizes[rows], rows, out)
         return out
 
@@ -198,6 +198,8 @@ class PieceEncoder:
         for i, ids in zip(rest, self._by_library([texts[i] for i in rest]), strict=True):
             out[i] = ids
         split = {i: self.split(texts[i].lower()) for i, p in enumerate(plain) if p}
+        if len(self.words) > self.limit // 2:
+            self.words.clear()
         unseen = list({w for x in split.values() for w in x} - self.words.keys())
         merged = self.merger([w.encode() for w in unseen]) if unseen else []
         self.words.update((w, ids.astype("<u4").tobytes()) for w, ids in zip(unseen, merged, strict=True))
