@@ -335,6 +335,29 @@ def test_base_score_and_normalisation(spark, docs, empty):
     assert np.allclose(p, 1, atol=1e-4)
 
 
+def test_rare_tokens_have_their_own_probability(spark):
+    """With no classes but the end and the groups: a and b, c and d are as frequent, and only their contexts tell c from d, which share a group."""
+    groups = {}
+    for w in (f"w{i}" for i in range(2000)):
+        groups.setdefault(int(lm.groups_of(lm.hashes_of([w.encode()], 1))[0]), []).append(w)
+    (a, *_), (b, *_), (c, d, *_) = sorted(groups.values())[:3]
+    learned = spark.range(40_000).coalesce(2).selectExpr("id as doc_id", f"if(id % 2 = 1, '{a} {c}', '{b} {d}') as text")
+    asked = spark.createDataFrame([(0, f"{a} {c}"), (1, f"{a} {d}"), (2, f"{b} {c}"), (3, f"{b} {d}")], "doc_id long, text string")
+    got = {r.doc_id: r for r in lm.score(asked, learned, classes=2, width=8).collect()}
+    assert len({round(r.base_score, 9) for r in got.values()}) == 1
+    assert got[0].score > got[1].score + 0.01 and got[3].score > got[2].score + 0.01
+
+
+def test_leaves_are_normalised():
+    random = np.random.default_rng(1)
+    tree = lm.Leaves(random.integers(-(2**63), 2**63 - 1, 300), random.integers(1, 9, 300).astype(float), 5)
+    assert np.allclose(tree.log_p(np.zeros((301, 5), np.float32), np.arange(301)), tree.b - np.log(np.exp(tree.b).sum()), atol=1e-4)
+    tree.learn(random.normal(size=(500, 5)).astype(np.float32), random.integers(0, 301, 500))
+    for h in random.normal(size=(3, 5)).astype(np.float32):
+        assert abs(np.exp(tree.log_p(np.tile(h, (301, 1)), np.arange(301))).sum() - 1) < 1e-4
+    assert list(tree.find(np.r_[tree.hashes[7], 12345])) == [7, 300]
+
+
 # -- mixing
 
 

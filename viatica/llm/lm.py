@@ -1,17 +1,24 @@
 """Language-model scoring by a log-bilinear neural model trained with noise-contrastive estimation.
 
 Tokens are lower-cased words and one end a document. All training documents are counted (hash of a token -> count, summed
-over the cluster). The `classes` - 2 most frequent tokens are classes of the model; all others share one class, in
-which a token has the share (c + 1) / (sum of (c + 1) over the known ones + 1): what is left is the share of a token never
-seen. The model predicts a class from the two before it: its representation is the elementwise-weighted sum of
-theirs, its score the product with the class's own vector plus a bias. Every partition of the training text takes one pass of
-noise-contrastive steps from the same start, and the parameters are averaged by tokens, summed on the executors, not the driver.
+over the cluster). The top of the model is a set of classes: the `classes` - 2 most frequent tokens, the end, and GROUPS groups of
+all other tokens, by the first bits of their hashes. It predicts a class from the two before it: its representation is the
+elementwise-weighted sum of theirs, its score the product with the class's own vector plus a bias. Every partition of the training
+text takes one pass of noise-contrastive steps from the same start, and the parameters are averaged by tokens, summed on the
+executors, not the driver.
+
+Below each group stands a tree of two levels, about as many cells as a cell has tokens; every counted token has a leaf with its own
+vector, and one more leaf is for tokens never seen. A cell is scored against all cells of its group and a token against all of its
+cell, so a token's probability is p(group) p(cell) p(token), each normalised exactly. All start from the counts (c + 1 a token) and
+take one pass of steps over the group's training tokens, the representation of their context being the top model's. A group's tree
+depends on no other, so groups are dealt over the cluster and hold no more than their own tokens: parameters grow with the vocabulary.
 
 Scores are normalised exactly: with A1 and A2 the products of all context and class vectors, the normaliser of a pair of
 contexts is a product of two matrices, exp(A1) exp(A2 + b)^T, so one table has them all and a text's log-probabilities are look-ups.
 
-Counts of rarer tokens reach the documents by a join on the token's hash, for a vocabulary has no bound to broadcast under.
-What is broadcast (class hashes and parameters) is bounded by `classes`.
+Counts of rarer tokens, their training contexts and those to be scored meet in the task of their group, as flat arrays; a vocabulary
+has no bound to broadcast under. What is broadcast (class hashes and parameters) is bounded by `classes` and GROUPS. As a context, a rarer
+token has the vector of its group.
 
 Edge cases: a null text is empty, its one token the end; documents with a null id are learned from; without training
 tokens all tokens are unseen and both scores follow from N = V = 0; repeated rows are scored once each; an empty table
@@ -33,7 +40,10 @@ from pyspark.sql import functions as F
 from viatica.llm.base import binaries, cut, fold, kept, slices, table, task
 
 END = "\n"  # no word holds it
-REST, CLOSE = 0, 1  # class of the tokens that have none of their own, class of the end
+REST, CLOSE = 0, 1  # class of the first group of tokens that have none of their own, class of the end
+BITS = 7
+GROUPS = 1 << BITS  # the other groups' classes follow those of the frequent tokens
+WORDS, LEARN, SCORE, DOCS = range(4)  # what a row brings to its group, in the order it is read
 
 
 def hashes_of(tokens: Iterable[bytes], n: int) -> np.ndarray:
@@ -77,7 +87,7 @@ class _Classes(dict):
 
     def __missing__(self, token: bytes) -> int:
         x = xxhash.xxh64_intdigest(token)
-        own = self[token] = self.number.get(x - (1 << 64) if x >> 63 else x, REST)
+        own = self[token] = self.number.get(x - (1 << 64) if x >> 63 else x, REST if x >> 64 - BITS == 0 else len(self.number) + 1 + (x >> 64 - BITS))
         return own
 
 
@@ -104,6 +114,10 @@ class Coder:
         return out, sizes, words
 
 
+def groups_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes.view(np.uint64) >> np.uint64(64 - BITS)).astype(np.int64)
+
+
 def contexts(classes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The class before each token and the one before that; ends stand before a text."""
     starts = np.cumsum(sizes) - sizes
@@ -206,6 +220,152 @@ def train(docs: DataFrame, hashes: np.ndarray, start: LogBilinear, chunk: int =
     return out
 
 
+class Leaves:
+    """The tree of one group: (hash, count) of its tokens, and a last leaf for those never seen."""
+
+    def __init__(self, hashes: np.ndarray, counted: np.ndarray, width: int):
+        order = np.argsort(hashes)
+        self.hashes = hashes[order]
+        weight = np.r_[counted[order], 0.0] + 1
+        n = len(weight)
+        cells = round(math.sqrt(n))
+        self.plus, self.edges = np.log10(weight), np.arange(cells + 1) * n // cells
+        self.b, self.cell_b = np.log(weight).astype(np.float32), np.log(np.add.reduceat(weight, self.edges[:-1])).astype(np.float32)
+        self.q, self.cell_q = np.zeros((n, width), np.float32), np.zeros((cells, width), np.float32)
+        self.seen, self.cell_seen = np.full(n, 1e-2, np.float32), np.full(cells, 1e-2, np.float32)
+        self.batch = max(1024, 200 * cells)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.zeros(len(hashes), np.int64)
+        at = np.searchsorted(self.hashes, hashes)
+        return np.where(self.hashes[np.minimum(at, len(self.hashes) - 1)] == hashes, at, len(self.hashes))
+
+    def _levels(self, leaf: np.ndarray) -> Iterator[tuple]:
+        """(vectors, squares, biases, rows, targets) of the level of cells and of each cell that has rows."""
+        cell = np.searchsorted(self.edges, leaf, "right") - 1
+        yield self.cell_q, self.cell_seen, self.cell_b, np.arange(len(leaf)), cell
+        order = np.argsort(cell, kind="stable")
+        own, first = np.unique(cell[order], return_index=True)
+        for k, rows in zip(own.tolist(), np.split(order, first[1:]), strict=True):
+            of = slice(self.edges[k], self.edges[k + 1])
+            yield self.q[of], self.seen[of], self.b[of], rows, leaf[rows] - self.edges[k]
+
+    def learn(self, h: np.ndarray, leaf: np.ndarray, rate: float = 0.2) -> None:
+        """One AdaGrad step by vector."""
+        for q, seen, b, rows, target in self._levels(leaf) if len(leaf) else ():
+            own = h[rows]
+            p = own @ q.T + b
+            p = np.exp(p - p.max(1, keepdims=True))
+            p /= p.sum(1, keepdims=True)
+            p[np.arange(len(rows)), target] -= 1
+            g = p.T @ own
+            seen += (g * g).mean(1)
+            q -= (rate / np.sqrt(seen))[:, None] * g
+
+    def log_p(self, h: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(leaf))
+        for q, _, b, rows, target in self._levels(leaf) if len(leaf) else ():
+            p = h[rows] @ q.T + b
+            p -= p.max(1, keepdims=True)
+            out[rows] += p[np.arange(len(rows)), target] - np.log(np.exp(p).sum(1))
+        return out
+
+
+ROWS = "row long, doc_id long, n_tokens long, log_p double, base double, known double"
+SENT = f"g int, kind int, at long, h binary, x binary, row binary, d array<struct<{ROWS.replace(' ', ': ').replace(',:', ',')}>>"
+ROW_TYPE = pa.struct([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("log_p", pa.float64()), ("base", pa.float64()), ("known", pa.float64())])
+
+
+class Sender:
+    """Batches of rows to groups: hashes with what belongs to them (counts, or pairs of context classes), as flat arrays."""
+
+    def __init__(self):
+        from pyspark import TaskContext
+
+        self.at = TaskContext.get().partitionId() << 32
+
+    def send(self, kind: int, hashes: np.ndarray, x: np.ndarray, rows: np.ndarray | None = None, docs: pa.StructArray | None = None) -> pa.RecordBatch:
+        group = groups_of(hashes)
+        order = np.argsort(group, kind="stable")
+        own, first = np.unique(group[order], return_index=True)
+        parts = np.split(order, first[1:]) if len(own) else []
+        g, kinds, d = own.tolist(), [kind] * len(own), [None] * len(own)
+        h, xs, r = ([None if a is None else a[p].tobytes() for p in parts] for a in (hashes, x, rows))
+        ends = np.zeros(len(g) + 1, np.int32)
+        if docs is not None:
+            g, kinds, d, h, xs, r = [*g, self.at % GROUPS], [*kinds, DOCS], docs, [*h, None], [*xs, None], [*r, None]
+            ends = np.r_[ends, np.int32(len(docs))]
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), d if docs is not None else pa.array([], ROW_TYPE))
+        self.at += 1
+        return pa.RecordBatch.from_arrays([pa.array(g, pa.int32()), pa.array(kinds, pa.int32()), pa.array([self.at] * len(g), pa.int64()), pa.array(h, pa.binary()), pa.array(xs, pa.binary()), pa.array(r, pa.binary()), lists], names=["g", "kind", "at", "h", "x", "row", "d"])
+
+
+def leaves(sent: DataFrame, shared, n: int) -> DataFrame:
+    """Learns and scores each group's tokens; several sums a row of documents, one from each task that has tokens of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value[3]
+        one, two = model.r * model.m[0], model.r * model.m[1]
+        tree, group, held, scored = None, None, {}, []
+
+        def flush(kind: int) -> None:
+            parts = held.pop(kind, [])
+            if not parts:
+                return
+            h, x = (np.concatenate([np.frombuffer(p[k], t) for p in parts]) for k, t in ((0, np.int64), (1, np.uint16)))
+            at, pairs = tree.find(h), x.reshape(-1, 2)
+            context = one[pairs[:, 0]] + two[pairs[:, 1]]
+            if kind == LEARN:
+                tree.learn(context, at)
+            else:
+                rows, of = np.unique(np.concatenate([np.frombuffer(p[2], np.int64) for p in parts]), return_inverse=True)
+                scored.append((rows, *[np.bincount(of, w, len(rows)) for w in (tree.log_p(context, at) / math.log(10), tree.plus[at], at < len(tree.hashes))]))
+
+        def summed() -> pa.RecordBatch:
+            rows, of = np.unique(np.concatenate([s[0] for s in scored]), return_inverse=True)
+            sums = [pa.array(np.bincount(of, np.concatenate([s[k] for s in scored]), len(rows))) for k in (1, 2, 3)]
+            scored.clear()
+            return pa.RecordBatch.from_arrays([pa.array(rows), pa.nulls(len(rows), pa.int64()), pa.array(np.zeros(len(rows), np.int64)), *sums], names=ROW_TYPE.names)
+
+        def grow() -> None:
+            nonlocal tree
+            parts = held.pop(WORDS, [])
+            h, c = (np.concatenate([np.empty(0, t), *[np.frombuffer(p[k], t) for p in parts]]) for k, t in ((0, np.int64), (1, np.float64)))
+            tree = Leaves(h, c, one.shape[1])
+
+        def finish() -> None:
+            if tree is not None:
+                flush(LEARN)
+                flush(SCORE)
+
+        for batch in batches:
+            for i, (g, kind) in enumerate(zip(batch.column("g").to_pylist(), batch.column("kind").to_pylist(), strict=True)):
+                if g != group:
+                    finish()
+                    held.clear()
+                    tree, group = None, g
+                if kind == DOCS:
+                    d = batch.column("d")[i].values
+                    yield pa.RecordBatch.from_arrays(d.flatten(), names=ROW_TYPE.names)
+                    continue
+                if kind != WORDS and tree is None:
+                    grow()
+                if kind == SCORE:
+                    flush(LEARN)
+                parts = held.setdefault(kind, [])
+                parts.append(tuple(batch.column(k)[i].as_py() for k in ("h", "x", "row")))
+                if kind != WORDS and sum(len(p[0]) for p in parts) >= 8 * tree.batch:
+                    flush(kind)
+                if sum(len(s[0]) for s in scored) > 400_000:
+                    yield summed()
+        finish()
+        if scored:
+            yield summed()
+
+    return sent.repartitionById(n, F.col("g")).sortWithinPartitions("g", "kind", "at").mapInArrow(task(run), ROWS)
+
+
 def score(docs: DataFrame, learned: DataFrame, classes: int = 2048, width: int = 24) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row of docs, learning from `learned`."""
     known = cut(counts(learned))
@@ -214,49 +374,66 @@ def score(docs: DataFrame, learned: DataFrame, classes: int = 2048, width: int =
     top = known.filter(F.col("h") != END_HASH).orderBy(F.desc("c"), "h").limit(classes - 2).collect()
     hashes, own = np.array([r[0] for r in top], np.int64), np.array([r[1] for r in top], np.float64)
     ends = known.filter(F.col("h") == END_HASH).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    rest, rest_types = n - own.sum() - ends, v - len(top) - (ends > 0)
-    unigram = np.r_[rest, ends, own] + 1
+    group = F.shiftrightunsigned("h", 64 - BITS)
+    rest = np.zeros(GROUPS)
+    for g, c in known.filter(F.col("h") != END_HASH).groupBy(group.alias("g")).agg(F.sum("c")).collect():
+        rest[g] = c
+    if len(top):
+        rest -= np.bincount(groups_of(hashes), own, GROUPS)
+    unigram = np.r_[rest[0], ends, own, rest[1:]] + 1
     model = train(learned, hashes, LogBilinear(unigram / unigram.sum(), width))
-    shared = docs.sparkSession.sparkContext.broadcast((hashes, own, float(ends), model))  # bounded by `classes` and `width`
+    shared = docs.sparkSession.sparkContext.broadcast((hashes, own, float(ends), model))  # bounded by `classes`, GROUPS and `width`
     key = ("lm", hash((hashes.tobytes(), model.parameters().tobytes())))
 
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sender, above = Sender(), np.r_[shared.value[0], END_HASH]
+        for batch in batches:
+            h, c = (batch.column(k).to_numpy() for k in ("h", "c"))
+            rare = ~np.isin(h, above)
+            yield sender.send(WORDS, h[rare], c[rare].astype(np.float64))
+
+    def rare_of(found: np.ndarray, one: np.ndarray, two: np.ndarray, words: list[list[bytes]], n_own: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places, hashes and contexts of the tokens without a class of their own."""
+        rare = np.flatnonzero((found == REST) | (found >= n_own + 2))
+        tokens = [t for x in words for t in (*x, b"")]
+        return rare, hashes_of([tokens[i] for i in rare.tolist()], len(rare)), np.stack([one[rare], two[rare]], 1).astype(np.uint16)
+
+    def lessons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sender, own_hashes = Sender(), shared.value[0]
+        coder = kept(("coder", hash(own_hashes.tobytes())), lambda: Coder(own_hashes))
+        for batch in slices(batches, "text", 4 << 20):
+            found, sizes, texts = coder.stream(binaries(batch.column("text")))
+            _, h, pairs = rare_of(found, *contexts(found, sizes), texts, len(own_hashes))
+            yield sender.send(LEARN, h, pairs)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def make():
             hashes_, own_, ends_, model_ = shared.value
-            return Coder(hashes_), np.log10(np.r_[1.0, ends_ + 1, own_ + 1]), np.r_[False, ends_ > 0, own_ > 0], [x.astype(np.float32) for x in model_.tables()]
+            free = np.zeros(GROUPS - 1)
+            return Coder(hashes_), np.log10(np.r_[1.0, ends_ + 1, own_ + 1, free + 1]), np.r_[False, ends_ > 0, own_ > 0, free > 0], [x.astype(np.float32) for x in model_.tables()]
 
+        sender, n_own = Sender(), len(shared.value[0])
         coder, plus, there, (a1, a2, z) = kept(key, make)
         for batch in slices(batches, "text", 4 << 20):
-            found, sizes, words = coder.stream(binaries(batch.column("text")))
+            found, sizes, texts = coder.stream(binaries(batch.column("text")))
             one, two = contexts(found, sizes)
             logs = (a1[one, found] + a2[two, found] - z[one, two]) / math.log(10)
             starts = np.cumsum(sizes) - sizes
-            sums = [np.add.reduceat(x.astype(np.float64), starts) for x in (logs, plus[found], there[found], found == REST)]
-            # the hashes of each text's tokens without a class
-            tokens = [t for x in words for t in (*x, b"")]
-            rare = np.flatnonzero(found == REST)
-            hashed = hashes_of([tokens[i] for i in rare.tolist()], len(rare))
-            offsets = np.searchsorted(rare, np.r_[starts, len(found)]).astype(np.int32)
-            own_sums = pa.StructArray.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sizes), *map(pa.array, sums)], names=["doc_id", "n_tokens", "log_p", "base", "known", "rest"])
-            yield pa.RecordBatch.from_arrays([batch.column("row"), own_sums, pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashed))], names=["row", "d", "hs"])
+            sums = [np.add.reduceat(x.astype(np.float64), starts) for x in (logs, plus[found], there[found])]
+            own_sums = pa.StructArray.from_arrays([batch.column("row"), batch.column("doc_id").cast(pa.int64()), pa.array(sizes), *map(pa.array, sums)], names=ROW_TYPE.names)
+            rare, h, pairs = rare_of(found, one, two, texts, n_own)
+            yield sender.send(SCORE, h, pairs, np.repeat(batch.column("row").to_numpy(), sizes)[rare], own_sums)
 
     marked = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")  # rows keep their places in a scan, whichever executor reads them
-    parts = marked.mapInArrow(task(run), "row long, d struct<doc_id: long, n_tokens: long, log_p: double, base: double, known: double, rest: double>, hs array<long>")
-    # one row a rare token; the first one carries the text's own sums, and a text without any has a row that matches nothing that counts
-    each = parts.select("row", "d", F.posexplode_outer("hs").alias("i", "h"))
-    each = each.select("row", F.when(F.coalesce("i", F.lit(0)) == 0, F.col("d")).alias("d"), F.coalesce("h", F.xxhash64("row")).alias("h"), F.when(F.col("h").isNotNull(), 1).otherwise(0).alias("times"))
-    joined = each.join(known, "h", "left")
-    extra = F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 1)
-    sums = joined.groupBy("row").agg(
-        F.max("d.doc_id").alias("doc_id"),
-        F.sum("d.n_tokens").alias("n_tokens"),
-        (F.sum("d.known") + F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0))).cast("long").alias("n_known"),
-        (F.sum("d.base") + F.sum(extra)).alias("all_logs"),
-        (F.sum("d.log_p") + F.sum(extra)).alias("model_logs"),
-        F.sum("d.rest").alias("rest"),
+    sent = known.mapInArrow(task(words), SENT).union(learned.select("text").mapInArrow(task(lessons), SENT)).union(marked.mapInArrow(task(run), SENT))
+    sums = leaves(sent, shared, min(GROUPS, int(rest.sum()) // 20_000 + 1)).groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"),
+        F.sum("n_tokens").alias("n_tokens"),
+        F.sum("known").cast("long").alias("n_known"),
+        F.sum("base").alias("all_logs"),
+        F.sum("log_p").alias("score"),
     )
-    inside = math.log10(rest + rest_types + 1)
-    return sums.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), (F.col("all_logs") - F.col("n_tokens") * math.log10(n + v + 1)).alias("base_score"), (F.col("model_logs") - F.col("rest") * inside).alias("score"))
+    return sums.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), (F.col("all_logs") - F.col("n_tokens") * math.log10(n + v + 1)).alias("base_score"), "score")
 
 
 def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
