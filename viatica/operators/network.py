@@ -227,12 +227,35 @@ def grid(spark: SparkSession, n: int, block_m: int) -> DataFrame:
     return to.select(F.col("id").alias("from_node"), (F.col("id") + F.col("w.dx") + n * F.col("w.dy")).alias("to_node"), F.lit(block_m).cast("long").alias("length_m"))
 
 
-def nearest_node(points: DataFrame, nodes: DataFrame, cell: int) -> DataFrame:
-    """The nearest node in the point's cell and the eight around it, the least id of a tie; null if there is none."""
+def nearest_node(points: DataFrame, nodes: DataFrame, cell: int, widen: bool = True) -> DataFrame:
+    """The nearest node, the least id of a tie; null only for a point without a place or if there is no node.
+
+    A turn looks at the point's cell and the eight around it. What it finds is nearest of all if it is no farther than a cell; points that
+    are not settled so take another turn with cells of twice the width, until nine cells hold everything. Without `widen` there is one turn.
+    """
+    if not widen:
+        return points.select("point").join(_nearest_around(points, nodes, cell), "point", "left").select("point", "b.node", "b.d2")
+    span = points.select("x", "y").union(nodes.select("x", "y")).agg(F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))).first()[0]
+    left, found = points.select("point", "x", "y").filter("x is not null and y is not null"), None
+    while True:
+        best = kept(_nearest_around(left, nodes, cell))
+        last = span is None or cell > span
+        settled = best if last else best.filter(F.col("b.d2") <= cell * cell)
+        found = settled if found is None else found.union(settled)
+        if last:
+            break
+        left = kept(left.join(settled, "point", "left_anti"))
+        if left.isEmpty():
+            break
+        cell *= 2
+    return points.select("point").join(found, "point", "left").select("point", "b.node", "b.d2")
+
+
+def _nearest_around(points: DataFrame, nodes: DataFrame, cell: int) -> DataFrame:
+    """(point, b (d2, node)) of the points that have a node in their cell or the eight around it."""
     p = points.withColumns({"cx": F.floor(F.col("x") / cell), "cy": F.floor(F.col("y") / cell)})
     around = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
     p9 = p.select("point", "x", "y", F.explode(around).alias("w"), "cx", "cy").select("point", "x", "y", (F.col("cx") + F.col("w.dx")).alias("cx"), (F.col("cy") + F.col("w.dy")).alias("cy"))
     n = nodes.select("node", F.col("x").alias("nx"), F.col("y").alias("ny"), F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy"))
     d2 = (F.col("x") - F.col("nx")) * (F.col("x") - F.col("nx")) + (F.col("y") - F.col("ny")) * (F.col("y") - F.col("ny"))
-    best = p9.join(n, ["cx", "cy"]).groupBy("point").agg(F.min(F.struct(d2.alias("d2"), F.col("node"))).alias("b"))
-    return points.select("point").join(best, "point", "left").select("point", "b.node", "b.d2")
+    return p9.join(n, ["cx", "cy"]).groupBy("point").agg(F.min(F.struct(d2.alias("d2"), F.col("node"))).alias("b"))

@@ -158,6 +158,17 @@ d AS (SELECT point, node, (x - nx) * (x - nx) + (y - ny) * (y - ny) AS d2 FROM p
 SELECT p.point, node, d2 FROM p LEFT JOIN b ON p.point = b.point"""
 )
 def snap_nearest_node(spark, sf_dir):
+    """As its SQL has it: within the nine cells around a point only."""
+    return op.nearest_node(*_points(spark, sf_dir), 100, widen=False)
+
+
+@query(None)
+def snap_nearest_node_whole(spark, sf_dir):
+    """The nearest of all nodes."""
+    return op.nearest_node(*_points(spark, sf_dir), 100)
+
+
+def _points(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("point"), (F.col("c_custkey") * 37 % 500).alias("x"), (F.col("c_custkey") * 91 % 500).alias("y"))
     n = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("node"), (F.col("s_suppkey") * 53 % 500).alias("x"), (F.col("s_suppkey") * 29 % 500).alias("y"))
-    return op.nearest_node(p, n, 100)
+    return p, n
