@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from viatica.functions import geo
 from viatica.operators import network
 from viatica.plans.catalog import QUERIES
 
@@ -26,3 +27,10 @@ def test_snap_whole(spark):
     points = [(k, k * 37 % 500, k * 91 % 500) for (k,) in spark.read.parquet(f"{DATA}/customer.parquet").select("c_custkey").collect()]
     nodes = [(k, k * 53 % 500, k * 29 % 500) for (k,) in spark.read.parquet(f"{DATA}/supplier.parquet").select("s_suppkey").collect()]
     assert {r.point: (r.node, r.d2) for r in QUERIES["snap_nearest_node_whole"](spark, DATA).collect()} == _nearest(points, nodes)
+
+
+def test_quota_spread_whole(spark, duck):
+    trips = [t for (t,) in duck.sql("SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey").fetchall()]
+    assert {r.trip: r.u for r in QUERIES["quota_spread_whole"](spark, DATA).collect()} == {t: int(f"{t:053b}"[::-1], 2) / 2**53 for t in trips}
+    large = spark.createDataFrame([(65_536,), (5_000_001,)], "trip long").select("trip", geo.reversed_bits(F.col("trip")).alias("u"))
+    assert {r.trip: r.u for r in large.collect()} == {t: int(f"{t:053b}"[::-1], 2) / 2**53 for t in (65_536, 5_000_001)}

@@ -58,8 +58,8 @@ def extra_seconds(beta: float, beta_time_min: float, value: Column) -> Column:
     return value * (60 * beta / beta_time_min)
 
 
-def reversed_bits(n: Column, bits: int = 16) -> Column:
-    """The place of n in a sequence that spreads evenly over [0, 1) (van der Corput, base 2)."""
+def reversed_bits(n: Column, bits: int = 63) -> Column:
+    """The place of n >= 0 in a sequence that spreads evenly over [0, 1) (van der Corput, base 2)."""
     out = F.lit(0.0)
     for b in range(bits):
         out = out + F.shiftright(n, b).bitwiseAND(F.lit(1)).cast("double") / float(1 << (b + 1))

@@ -53,9 +53,16 @@ def generalised_extra_seconds(alternatives):
     "SELECT trip, list_sum(list_transform(range(16), lambda b: CAST((trip >> b) & 1 AS DOUBLE) / (1 << (b + 1)))) AS u FROM v_trip_results WHERE trip < 5000", "v_trip_results"
 )
 def quota_spread(trips):
+    """As its SQL has it: trips below 5000 only."""
     return trips.filter("trip < 5000").select("trip", geo.reversed_bits(F.col("trip")).alias("u"))
 
 
+@query(None, "v_trip_results")
+def quota_spread_whole(trips):
+    """Of every trip."""
+    return trips.select("trip", geo.reversed_bits(F.col("trip")).alias("u"))
+
+
 @query("SELECT o_zone // 5 AS zx, o_zone % 5 AS zy, departure_s // 900 AS bin, CAST(count(*) AS BIGINT) AS legs, CAST(sum(weight) AS BIGINT) AS people FROM v_trip_results GROUP BY 1, 2, 3", "v_trip_results")
 def expected_legs(trips):
     return trips.groupBy(F.expr("o_zone div 5").alias("zx"), (F.col("o_zone") % 5).alias("zy"), F.expr("departure_s div 900").alias("bin")).agg(F.count("*").alias("legs"), F.sum("weight").alias("people"))
