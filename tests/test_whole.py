@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from viatica.functions import geo
-from viatica.operators import network
+from viatica.operators import loading, network
 from viatica.plans.catalog import QUERIES
+from viatica.sources.bridge import view
 
 DATA = "/root/testdata/sf0.001"
 
@@ -34,3 +35,20 @@ def test_quota_spread_whole(spark, duck):
     assert {r.trip: r.u for r in QUERIES["quota_spread_whole"](spark, DATA).collect()} == {t: int(f"{t:053b}"[::-1], 2) / 2**53 for t in trips}
     large = spark.createDataFrame([(65_536,), (5_000_001,)], "trip long").select("trip", geo.reversed_bits(F.col("trip")).alias("u"))
     assert {r.trip: r.u for r in large.collect()} == {t: int(f"{t:053b}"[::-1], 2) / 2**53 for t in (65_536, 5_000_001)}
+
+
+def test_route_seconds_whole(spark):
+    rows = view(spark, DATA, "v_traversals").collect()
+    sums, routes = {}, {}
+    for r in view(spark, DATA, "v_traversals").transform(loading.link_bins).collect():
+        sums[r.link, r.bin] = r.pcu_seconds // r.pcu
+    for r in rows:
+        routes.setdefault(r.vehicle, []).append((r.pos, r.link, r.enter_s))
+    want = {}
+    for vehicle, own in routes.items():
+        t = min(x[2] for x in own)
+        for _, link, _ in sorted(own):
+            t += sums.get((link, t // 900), 30)
+        want[vehicle] = t
+    assert max(len(x) for x in routes.values()) > 6
+    assert {r.vehicle: r.arrive_s for r in QUERIES["route_seconds_whole"](spark, DATA).collect()} == want

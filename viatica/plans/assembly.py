@@ -141,8 +141,17 @@ SELECT vehicle, CAST(t AS BIGINT) AS arrive_s FROM x WHERE n = last + 1""",
     "v_traversals",
 )
 def route_seconds(traversals):
-    """A clock through the first six links of each vehicle."""
-    own = traversals.filter("pos < 6")
+    """A clock through the first six links of each vehicle, as its SQL has it."""
+    return _clock(traversals.filter("pos < 6"), traversals)
+
+
+@query(None, "v_traversals")
+def route_seconds_whole(traversals):
+    """A clock through all links of each vehicle."""
+    return _clock(traversals, traversals)
+
+
+def _clock(own, traversals):
     start = own.groupBy("vehicle").agg(F.min("enter_s").alias("depart_s"))
     times = loading.link_bins(traversals).select("link", "bin", F.expr("pcu_seconds div pcu").alias("seconds"))
     return op.route_clock(own.select("vehicle", "pos", "link").join(start, "vehicle"), times, 900, 0, 30)
