@@ -52,3 +52,34 @@ def test_route_seconds_whole(spark):
         want[vehicle] = t
     assert max(len(x) for x in routes.values()) > 6
     assert {r.vehicle: r.arrive_s for r in QUERIES["route_seconds_whole"](spark, DATA).collect()} == want
+
+
+def _links(spark):
+    return [(r.link, r.from_node, r.to_node, r.length_m) for r in view(spark, DATA, "v_links").collect()]
+
+
+def test_route_sets_of_every_pair(spark):
+    cost = {(o, d): 0 if o == d else 10**9 for o in range(25) for d in range(25)}
+    for _, a, b, c in _links(spark):
+        cost[a, b] = c
+    for k in range(25):
+        cost = {(o, d): min(c, cost[o, k] + cost[k, d]) for (o, d), c in cost.items()}
+    for name in ("route_sets_penalty", "route_sets_simulation"):
+        best = {(r.origin, r.destination): r.cost for r in QUERIES[name](spark, DATA).filter("route = 0").collect()}
+        assert best == {k: c for k, c in cost.items() if k[0] != k[1]}
+
+
+def test_fastest_routes_of_every_trip(spark):
+    """Against arrivals relaxed until nothing changes, for a sample of trips; every trip has an answer."""
+    seconds = {(r.link, r.bin): r.pcu_seconds // r.pcu for r in view(spark, DATA, "v_traversals").transform(loading.link_bins).collect()}
+    trips, links = view(spark, DATA, "v_trip_results").collect(), _links(spark)
+    got = {r.ask: r.arrive_s for r in QUERIES["fastest_routes_in_time_whole"](spark, DATA).collect()}
+    assert set(got) == {r.trip for r in trips}
+    for r in trips[::29]:
+        at, turn = {r.o_zone: r.departure_s}, True
+        while turn:
+            turn = False
+            for link, a, b, metres in links:
+                if a in at and (t := at[a] + seconds.get((link, at[a] // 900), metres // 10)) < at.get(b, 10**9):
+                    at[b], turn = t, True
+        assert got[r.trip] == at[r.d_zone]

@@ -10,8 +10,9 @@ from viatica.plans.registry import query
 
 
 def _pairs(zones):
+    """Every zone to every other."""
     d = zones.select(F.col("zone").alias("destination"))
-    return zones.select(F.col("zone").alias("origin")).filter("origin % 6 = 0").join(d, (F.col("destination") - F.col("origin")).between(1, 8))
+    return zones.select(F.col("zone").alias("origin")).join(d, F.col("destination") != F.col("origin"))
 
 
 @query(None, "v_zones", "v_links")
@@ -34,8 +35,18 @@ SELECT ask, min(t) AS arrive_s FROM x WHERE node = d GROUP BY 1""",
 )
 def fastest_routes_in_time(traversals, links, trips):
     """Over at most one diagonal step, so that SQL can list all ways of up to four links."""
-    times = loading.link_bins(traversals).select("link", "bin", F.expr("pcu_seconds div pcu").cast("double").alias("seconds"))
     asks = trips.filter("o_zone in (0, 6, 12) and d_zone < 3").select((F.col("o_zone") * 10 + F.col("d_zone")).alias("ask"), F.col("o_zone").alias("origin"), (F.col("o_zone") + 6).alias("destination"), (27000 + 60 * F.col("d_zone")).alias("depart_s")).distinct()
+    return _fastest(traversals, links, asks)
+
+
+@query(None, "v_traversals", "v_links", "v_trip_results")
+def fastest_routes_in_time_whole(traversals, links, trips):
+    """Every trip from its origin to its destination at its departure."""
+    return _fastest(traversals, links, trips.select(F.col("trip").alias("ask"), F.col("o_zone").alias("origin"), F.col("d_zone").alias("destination"), F.col("departure_s").alias("depart_s")))
+
+
+def _fastest(traversals, links, asks):
+    times = loading.link_bins(traversals).select("link", "bin", F.expr("pcu_seconds div pcu").cast("double").alias("seconds"))
     return routing.fastest_at(links.withColumn("free_s", F.expr("length_m div 10")), times, asks, 900).select("ask", "arrive_s")
 
 
