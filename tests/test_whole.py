@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from viatica.functions import geo
@@ -83,3 +85,62 @@ def test_fastest_routes_of_every_trip(spark):
                 if a in at and (t := at[a] + seconds.get((link, at[a] // 900), metres // 10)) < at.get(b, 10**9):
                     at[b], turn = t, True
         assert got[r.trip] == at[r.d_zone]
+
+
+def _costs(spark):
+    cost = {(o, d): 0 if o == d else 10**9 for o in range(25) for d in range(25)}
+    for _, a, b, c in _links(spark):
+        cost[a, b] = c
+    for k in range(25):
+        cost = {(o, d): min(c, cost[o, k] + cost[k, d]) for (o, d), c in cost.items()}
+    return cost
+
+
+def test_costs_reach_and_components_whole(spark):
+    cost = _costs(spark)
+    assert {(r.origin, r.destination): r.cost for r in QUERIES["shortest_path_costs_whole"](spark, DATA).collect()} == cost
+    assert {(r.origin, r.node): r.cost for r in QUERIES["bounded_reach_whole"](spark, DATA).collect()} == {k: c for k, c in cost.items() if c <= 2500}
+    assert {(r.node, r.component) for r in QUERIES["network_components_whole"](spark, DATA).collect()} == {(n, 0) for n in range(25)}
+
+
+def test_demand_whole(spark):
+    cells = {(r.o, r.d): r.n for r in QUERIES["od_integerise"](spark, DATA).collect()}
+    want = [(o, d, i, 25200 + int(hashlib.md5(f"9:{o}:{d}:{i}".encode()).hexdigest()[:8], 16) % 7200) for (o, d), n in cells.items() for i in range(1, n + 1)]
+    assert max(o for o, *_ in want) > 4
+    assert sorted(map(tuple, QUERIES["demand_from_od_whole"](spark, DATA).collect())) == sorted(want)
+
+
+def test_raptor_whole(spark):
+    calls, runs = {}, {}
+    for r in view(spark, DATA, "v_calls").collect():
+        calls.setdefault((r.line, r.stop), []).append((r.depart_s, r.run, r.pos))
+        runs.setdefault(r.run, []).append((r.pos, r.stop, r.arrive_s))
+    want = {}
+    for o, d in {(r.o_zone, r.d_zone) for r in view(spark, DATA, "v_trip_results").collect()}:
+        best = {o: (25200 + 60 * d, 0)}
+        for n in (1, 2, 3):
+            new = {}
+            for stop, (t, rides) in best.items():
+                for (_, at), own in calls.items() if rides == n - 1 else ():
+                    ready = [c for c in own if at == stop and c[0] >= t + 60 * (n > 1)]
+                    for pos, to, arrive in runs[min(ready)[1]] if ready else ():
+                        if pos > min(ready)[2]:
+                            for there, when in ((to, arrive), (to + 5, arrive + 240)):
+                                if there < 25:
+                                    new[there] = min(new.get(there, (10**9, n)), (when, n))
+            best |= {s: min(x, best.get(s, x)) for s, x in new.items()}
+        want |= {(o * 100 + d, s): x for s, x in best.items()}
+    assert {(r.ask, r.stop): (r.t, r.rides) for r in QUERIES["raptor_arrivals_whole"](spark, DATA).collect()} == want
+
+
+def test_gridlock_whole(spark):
+    ids = [s for (s,) in spark.read.parquet("/root/testdata/sf0.1/supplier.parquet").select("s_suppkey").collect()]
+    step, want = {s: (s * 7 + 3) % (max(ids) + 1) for s in ids}, {}
+    for s in ids:
+        ring, at = [s], step[s]
+        while at in step and at != s and len(ring) <= len(ids):
+            ring.append(at)
+            at = step[at]
+        if at == s:
+            want[s] = min(ring)
+    assert {r.link: r.ring for r in QUERIES["gridlock_cycles_whole"](spark, "/root/testdata/sf0.1").collect()} == want and max(want) > 50

@@ -162,10 +162,19 @@ def _clock(own, traversals):
 SELECT o AS link, min(at_l) AS ring FROM r WHERE o IN (SELECT o FROM r WHERE o = at_l) GROUP BY 1"""
 )
 def gridlock_cycles(spark, sf_dir):
+    """As its SQL has it: suppliers below 50 only."""
     s = F.col("s_suppkey")
     return op.waiting_cycles(spark.read.parquet(f"{sf_dir}/supplier.parquet").filter("s_suppkey < 50").select(s.alias("link"), ((s * 7 + 3) % 50).alias("next")))
 
 
+@query(None)
+def gridlock_cycles_whole(spark, sf_dir):
+    """Of every supplier, the next one being among all of them."""
+    s, supplier = F.col("s_suppkey"), spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    n = supplier.agg((F.max("s_suppkey") + 1).alias("n"))
+    return op.waiting_cycles(supplier.crossJoin(F.broadcast(n)).select(s.alias("link"), ((s * 7 + 3) % F.col("n")).alias("next")))  # one row
+
+
 @query(
     "SELECT situation, attribute, value FROM (SELECT situation, unnest(['time_min', 'cost_eur', 'transfers']) AS attribute, unnest([time_min, CASE WHEN class = 1 THEN NULL ELSE cost_eur END, CAST(transfers AS DOUBLE)]) AS value FROM v_alternatives WHERE alternative = 0) WHERE value IS NOT NULL", "v_alternatives"
 )

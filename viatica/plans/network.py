@@ -118,6 +118,12 @@ def network_components(links):
     return op.components(links.filter("from_node % 5 <> 2 and to_node % 5 <> 2"))
 
 
+@query(None, "v_links")
+def network_components_whole(links):
+    """Of all links."""
+    return op.components(links)
+
+
 @query(
     """WITH RECURSIVE r AS (SELECT zone AS origin, zone AS node, CAST(0 AS BIGINT) AS cost FROM v_zones WHERE zone % 6 = 0 UNION SELECT origin, to_node, cost + length_m FROM r JOIN v_links ON node = from_node WHERE cost + length_m <= 2500)
 SELECT origin, node, min(cost) AS cost FROM r GROUP BY 1, 2""",
@@ -125,9 +131,16 @@ SELECT origin, node, min(cost) AS cost FROM r GROUP BY 1, 2""",
     "v_links",
 )
 def bounded_reach(zones, links):
+    """As its SQL has it: from every sixth zone."""
     return op.distances(links, zones.filter("zone % 6 = 0").select(F.col("zone").alias("origin")), "length_m", 2500)
 
 
+@query(None, "v_zones", "v_links")
+def bounded_reach_whole(zones, links):
+    """From every zone."""
+    return op.distances(links, zones.select(F.col("zone").alias("origin")), "length_m", 2500)
+
+
 @query(
     """WITH RECURSIVE r AS (SELECT zone AS origin, zone AS node, CAST(0 AS BIGINT) AS cost FROM v_zones WHERE zone IN (0, 12) UNION SELECT origin, to_node, cost + length_m FROM r JOIN v_links ON node = from_node WHERE cost + length_m <= 4000)
 SELECT origin, node AS destination, CAST(min(cost) AS DOUBLE) AS cost FROM r WHERE node IN (6, 7, 11, 13) GROUP BY 1, 2""",
@@ -135,11 +148,19 @@ SELECT origin, node AS destination, CAST(min(cost) AS DOUBLE) AS cost FROM r WHE
     "v_links",
 )
 def shortest_path_costs(zones, links):
+    """As its SQL has it: two origins and four destinations."""
     o = zones.filter("zone in (0, 12)").select(F.col("zone").alias("origin"))
     d = zones.filter("zone in (6, 7, 11, 13)").select(F.col("zone").alias("destination"))
     return op.shortest_routes(links, o.crossJoin(F.broadcast(d)), "length_m").select("origin", "destination", "cost")  # two rows and four
 
 
+@query(None, "v_zones", "v_links")
+def shortest_path_costs_whole(zones, links):
+    """From every zone to every zone."""
+    d = zones.select(F.col("zone").alias("destination"))
+    return op.shortest_routes(links, zones.select(F.col("zone").alias("origin")).crossJoin(d), "length_m").select("origin", "destination", "cost")
+
+
 @query(None, "v_links", "v_od")
 def static_equilibrium(links, od):
     net = links.select("link", "from_node", "to_node", (F.col("length_m") / 10).alias("free_s"), (F.col("lanes") * 9000).cast("double").alias("capacity"))

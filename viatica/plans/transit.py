@@ -170,6 +170,17 @@ SELECT ask, stop, CAST(t AS BIGINT) AS t, CAST(rides AS BIGINT) AS rides FROM a3
     "v_zones",
 )
 def raptor_arrivals(trips, calls, zones):
-    asks = trips.filter("d_zone < 4").select((F.col("o_zone") * 100 + F.col("d_zone")).alias("ask"), F.col("o_zone").alias("stop"), (25200 + 60 * F.col("d_zone")).alias("at_s")).distinct()
+    """As its SQL has it: trips to the first four zones."""
+    return _arrivals(trips.filter("d_zone < 4"), calls, zones)
+
+
+@query(None, "v_trip_results", "v_calls", "v_zones")
+def raptor_arrivals_whole(trips, calls, zones):
+    """Trips to every zone."""
+    return _arrivals(trips, calls, zones)
+
+
+def _arrivals(trips, calls, zones):
+    asks = trips.select((F.col("o_zone") * 100 + F.col("d_zone")).alias("ask"), F.col("o_zone").alias("stop"), (25200 + 60 * F.col("d_zone")).alias("at_s")).distinct()
     walks = zones.filter("zone < 20").select(F.col("zone").alias("a"), (F.col("zone") + 5).alias("b"), F.lit(240).cast("long").alias("walk_s"))
     return op.arrivals(asks, calls, walks, 3, 60).withColumn("rides", F.col("rides").cast("long"))
