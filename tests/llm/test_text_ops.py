@@ -304,6 +304,16 @@ def test_toxicity_learns_pairs():
     assert (((machine.score(feature, place, 400) >= 0.5) == (labels == 1)).mean()) > 0.98
 
 
+def test_toxicity_fit_learns_what_counts_beside(spark):
+    """zap is toxic with folk only, and folk is as common in clean rows; pow is toxic without jest only."""
+    kinds = [("zap folk", 1)] * 3 + [("zap", 0)] * 3 + [("pow", 1)] * 3 + [("pow jest", 0)] * 3 + [("folk", 0)] * 16 + [("jest", 0)] * 3 + [("", 0)] * 5
+    rows = [(i, f"{kinds[i % len(kinds)][0]} w{i % 17} x{i % 23}", kinds[i % len(kinds)][1]) for i in range(2880)]
+    all_ = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    asked = spark.createDataFrame(list(enumerate(("zap folk w1", "pow w1", "zap w1", "pow jest w1", "folk w1", "jest w1"))), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(asked, *toxicity.fit(all_.select("doc_id", "text"), all_.select("doc_id", "toxic"))).collect()}
+    assert [got[k] >= toxicity.THRESHOLD for k in range(6)] == [True, True, False, False, False, False]
+
+
 def test_toxicity_edges(spark, docs, empty):
     labels = spark.createDataFrame([(i, None, i % 2) for i in range(1, 9)] + [(None, 1, 1), (2, 1, None)], "doc_id long, quality int, toxic int")
     for own in (labels, labels.limit(0), labels.filter("toxic = 0"), labels.filter("toxic = 1")):

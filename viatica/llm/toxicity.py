@@ -2,12 +2,13 @@
 
 Terms are a document's words and their beginnings (4 to 6 bytes, for inflected words), each hashed to one of 2^22 places.
 A sample of labelled rows gives counts; the places most associated with the label (log-likelihood ratio) are the
-features, and a factorization machine is fitted to them: score = sigmoid(b + sum w_i + sum_{i<j} <v_i, v_j>) over the
+features. Then rows that hold one of these are counted again, and the places that tell toxic from clean among them, either way, are
+features as well: a group's name or a mitigating word means nothing alone. A factorization machine is fitted to both: score = sigmoid(b + sum w_i + sum_{i<j} <v_i, v_j>) over the
 features present anywhere in the whole text, so pairs of terms count beyond their sum. As features are present or
 absent, a long clean text is scored like a short one.
 
 The fit is bounded: about `rows` labelled rows, chosen by the hash of their id (all, if there are fewer), and `features`
-features; that is what is gathered and broadcast, whatever the corpus holds. All else runs over every document.
+features by either count; that is what is gathered and broadcast, whatever the corpus holds. All else runs over every document.
 
 Edge cases: a null text is empty, and an empty text scores the bias alone; rows whose label is null are not learned
 from; an id labelled twice is toxic if either says so; an unlabelled corpus, or one with a single label, scores its
@@ -53,6 +54,19 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(all_), *(pa.array([found[k][p] for p in all_.tolist()], pa.int64()) for k in (1, 0))], names=["place", "ones", "zeros"])
 
 
+def _counted_beside(scorer: Scorer):
+    """As _counted, of the rows that hold a feature of the scorer; place -1 has the rows themselves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            held = batch.filter(pa.array([bool(scorer.features(x)) for x in binaries(batch.column("text"))], pa.bool_()))
+            ones = sum(held.column("toxic").to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([ones], pa.int64()), pa.array([held.num_rows - ones], pa.int64())], names=["place", "ones", "zeros"])
+            yield from _counted([held])
+
+    return run
+
+
 def association(ones: Column, zeros: Column, n1: int, n0: int) -> Column:
     """Log-likelihood ratio of presence in toxic and clean rows against the label."""
     term = lambda x, r, s: F.when(x > 0, x * F.log(x * float(n1 + n0) / (r * s))).otherwise(0.0)
@@ -143,6 +157,13 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 20_000, features: int =
         return np.zeros(0, np.int64), machine
     best = counted.filter(F.col("ones") >= least).filter(F.col("ones") * n0 > F.col("zeros") * n1 * 2).withColumn("g", association(F.col("ones"), F.col("zeros"), n1, n0)).filter("g > 12").orderBy(F.desc("g"), "place").limit(features).select("place").collect()
     chosen = np.array(sorted(r[0] for r in best), np.int64)
+    if len(chosen):
+        beside = cut(sample.mapInArrow(task(_counted_beside(Scorer(chosen, Machine(0)))), "place long, ones long, zeros long").groupBy("place").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros")))
+        m1, m0 = beside.filter("place = -1").select("ones", "zeros").first()
+        if m1 and m0:
+            more = beside.filter("place >= 0").filter(F.col("ones") + F.col("zeros") >= least)
+            more = more.withColumn("g", association(F.col("ones"), F.col("zeros"), m1, m0)).filter("g > 12").orderBy(F.desc("g"), "place").limit(features).select("place").collect()
+            chosen = np.union1d(chosen, np.array([r[0] for r in more], np.int64))
     scorer = Scorer(chosen, Machine(len(chosen)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
