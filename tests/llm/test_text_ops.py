@@ -353,19 +353,66 @@ def test_rare_tokens_have_their_own_probability(spark):
     (a, *_), (b, *_), (c, d, *_) = sorted(groups.values())[:3]
     learned = spark.range(40_000).coalesce(2).selectExpr("id as doc_id", f"if(id % 2 = 1, '{a} {c}', '{b} {d}') as text")
     asked = spark.createDataFrame([(0, f"{a} {c}"), (1, f"{a} {d}"), (2, f"{b} {c}"), (3, f"{b} {d}")], "doc_id long, text string")
-    got = {r.doc_id: r for r in lm.score(asked, learned, classes=2, width=8).collect()}
-    assert len({round(r.base_score, 9) for r in got.values()}) == 1
-    assert got[0].score > got[1].score + 0.01 and got[3].score > got[2].score + 0.01
+    for near in (0, 100):
+        got = {r.doc_id: r for r in lm.score(asked, learned, classes=2, near=near, width=8).collect()}
+        assert len({round(r.base_score, 9) for r in got.values()}) == 1
+        assert got[0].score > got[1].score + 0.1 and got[3].score > got[2].score + 0.1
 
 
 def test_leaves_are_normalised():
     random = np.random.default_rng(1)
-    tree = lm.Leaves(random.integers(-(2**63), 2**63 - 1, 300), random.integers(1, 9, 300).astype(float), 5)
-    assert np.allclose(tree.log_p(np.zeros((301, 5), np.float32), np.arange(301)), tree.b - np.log(np.exp(tree.b).sum()), atol=1e-4)
-    tree.learn(random.normal(size=(500, 5)).astype(np.float32), random.integers(0, 301, 500))
-    for h in random.normal(size=(3, 5)).astype(np.float32):
-        assert abs(np.exp(tree.log_p(np.tile(h, (301, 1)), np.arange(301))).sum() - 1) < 1e-4
-    assert list(tree.find(np.r_[tree.hashes[7], 12345])) == [7, 300]
+    context = random.normal(size=(40, 5)).astype(np.float32)
+    leaves = lm.Leaves(random.integers(-(2**63), 2**63 - 1, 300), random.integers(1, 9, 300).astype(float), context)
+    assert list(leaves.find(np.r_[leaves.hashes[7], 12345])) == [7, 300]
+    for _ in range(2):  # untaught, then taught
+        q, b, z = leaves.learn()
+        p = np.exp(lm.leaf_scores(context @ q.astype(np.float32).T, b) - z[:, None])
+        assert np.allclose(p.sum(1), 1, atol=1e-4)
+        leaves.add(random.integers(0, 300, 5000), random.integers(0, 40, 5000))
+    assert q.any()
+
+
+def test_score_is_the_sum_of_its_tokens(spark, docs):
+    """Every token's probability once more, one by one, from the parameters learned."""
+    learned = docs.filter("doc_id is null or doc_id <> 6").select("doc_id", "text").union(spark.createDataFrame([(50 + i, f"lorem{i % 7} ipsum{i % 3} dolor elit{i}") for i in range(300)], "doc_id long, text string"))
+    own = lm.learn(learned, classes=9, near=12, width=4)
+    asked = learned.union(spark.createDataFrame([(900, "never seen lorem1 ipsum2"), (901, "elit5 elit6 elit7")], "doc_id long, text string"))
+    a1, a2, z = own.model.tables()
+    leaf = {}
+    for h, q, b in zip(own.near.tolist(), own.near_q, own.near_b, strict=True):
+        leaf[h] = (q, b)
+    for r in own.leaves.collect():
+        hs = np.frombuffer(r.a, np.int64)
+        leaf.update((h, (q, b)) for h, q, b in zip(hs.tolist(), *lm._leaf_arrays(r.c, len(hs)), strict=True))
+    top = {h: n + 2 for n, h in enumerate(own.top.tolist())}
+    assert len(own.near) == 12 and len(top) == 7 and len(leaf) == own.v - 8
+
+    def brute(text):
+        i = j = lm.CLOSE
+        total = 0.0
+        for t in [*re.findall(SPACE, lowered(text)), None]:
+            h = None if t is None else int(lm.hashes_of([t.encode()], 1)[0])
+            g = 0 if t is None else int(lm.groups_of(np.array([h]))[0])
+            w = lm.CLOSE if t is None else top.get(h, 0 if g == 0 else len(top) + 1 + g)
+            total += a1[i, w] + a2[j, w] - z[i, j]
+            if t is not None and h not in top:
+                q, b = leaf.get(h, (np.zeros(4), own.unseen_b[g]))
+                total += min(float(own.model.context()[i] @ q.astype(np.float32) + b), lm.HIGHEST) - own.z[g, i]
+            i, j = w, i
+        return total / math.log(10)
+
+    want = Counter((r.doc_id, round(brute(r.text), 2)) for r in asked.collect())
+    got = Counter((r.doc_id, round(r.score, 2)) for r in lm.apply(asked, own).collect())
+    off = {k: (x, y) for (k, x), (_, y) in zip(sorted(want, key=str), sorted(got, key=str), strict=True) if abs(x - y) > 0.02}
+    assert not off and sum(got.values()) == sum(want.values())
+
+
+def test_model_beats_counts_on_held_out_text(spark):
+    docs_ = base.table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    held = base.fold("doc_id", 7) == 2
+    own = lm.learn(docs_.filter(~held))
+    sums = lm.apply(docs_.filter(held), own).selectExpr("sum(score) as s", "sum(base_score) as b", "sum(n_tokens) as n").first()
+    assert sums.s - sums.b > 0.1 * sums.n
 
 
 # -- mixing

@@ -4,21 +4,23 @@ Tokens are lower-cased words and one end a document. All training documents are
 over the cluster). The top of the model is a set of classes: the `classes` - 2 most frequent tokens, the end, and GROUPS groups of
 all other tokens, by the first bits of their hashes. It predicts a class from the two before it: its representation is the
 elementwise-weighted sum of theirs, its score the product with the class's own vector plus a bias. Every partition of the training
-text takes one pass of noise-contrastive steps from the same start, and the parameters are averaged by tokens, summed on the
-executors, not the driver.
+text takes one pass of noise-contrastive steps from the same start, and the parameters are averaged by tokens (so they depend
+on how the input is partitioned), summed on the executors, not the driver.
 
-Below each group stands a tree of two levels, about as many cells as a cell has tokens; every counted token has a leaf with its own
-vector, and one more leaf is for tokens never seen. A cell is scored against all cells of its group and a token against all of its
-cell, so a token's probability is p(group) p(cell) p(token), each normalised exactly. All start from the counts (c + 1 a token) and
-take one pass of steps over the group's training tokens, the representation of their context being the top model's. A group's tree
-depends on no other, so groups are dealt over the cluster and hold no more than their own tokens: parameters grow with the vocabulary.
+Every other counted token has a vector and a bias of its own, below its group; one more leaf is for tokens never seen. Given its
+group and the class before it, a token's probability is exp(vector . context + bias) over the same sum of all tokens of the
+group. The vectors come from one Newton step, shortened by STEP, of the noise-contrastive objective from the start "as frequent as
+counted", with the group's counts as noise and the noise taken in expectation: for a token seen c times that is
+(c S + RIDGE s I)^-1 (sum of its contexts - c times the group's mean context), S being the covariance of the group's contexts and s
+its mean variance. It needs only sums, so it does not depend on order or partitions. Parameters grow with the vocabulary.
 
-Scores are normalised exactly: with A1 and A2 the products of all context and class vectors, the normaliser of a pair of
-contexts is a product of two matrices, exp(A1) exp(A2 + b)^T, so one table has them all and a text's log-probabilities are look-ups.
+Scores are normalised exactly, by batched matrix products: with A1 and A2 the products of all context and class vectors, the
+normaliser of a pair of contexts is a product of two matrices, exp(A1) exp(A2 + b)^T, so one table has them all; a group has one
+normaliser for each class before, from the product of its vectors and all contexts.
 
-Counts of rarer tokens, their training contexts and those to be scored meet in the task of their group, as flat arrays; a vocabulary
-has no bound to broadcast under. What is broadcast (class hashes and parameters) is bounded by `classes` and GROUPS. As a context, a rarer
-token has the vector of its group.
+The `near` next frequent tokens are broadcast with their vectors (a bound: 2^18 of them are 18 MB) and scored where the text is. All
+tokens beyond are scored in the task of their group, where the text sends (hash, class before, row) and gets back sums a row.
+As a context, a token below the top has the vector of its group.
 
 Edge cases: a null text is empty, its one token the end; documents with a null id are learned from; without training
 tokens all tokens are unseen and both scores follow from N = V = 0; repeated rows are scored once each; an empty table
@@ -27,9 +29,11 @@ gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,13 +41,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from viatica.llm.base import binaries, cut, fold, kept, slices, table, task
+from viatica.llm.base import binaries, cut, fold, kept, partitions, slices, table, task
 
 END = "\n"  # no word holds it
 REST, CLOSE = 0, 1  # class of the first group of tokens that have none of their own, class of the end
 BITS = 7
 GROUPS = 1 << BITS  # the other groups' classes follow those of the frequent tokens
-WORDS, LEARN, SCORE, DOCS = range(4)  # what a row brings to its group, in the order it is read
+RIDGE, STEP, SPREAD = 10.0, 0.4, 0.6  # of a leaf's vector: ridge, length of the step, and what its bias gives back of its spread
+HIGHEST = 60.0  # no leaf's exponent goes beyond, so that sums stay finite
 
 
 def hashes_of(tokens: Iterable[bytes], n: int) -> np.ndarray:
@@ -78,44 +83,53 @@ def counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(task(run), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).filter("c > 0")
 
 
-class _Classes(dict):
-    """Class of a token; a new one is looked up by its hash."""
+def groups_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes.view(np.uint64) >> np.uint64(64 - BITS)).astype(np.int64)
+
 
-    def __init__(self, number: dict[int, int]):
+class _Codes(dict):
+    """Code of a token; a new one is looked up by its hash, and remembered unless it is long."""
+
+    def __init__(self, number: dict[int, int], rest: int):
         super().__init__()
-        self.number = number
+        self.number, self.rest = number, rest
 
     def __missing__(self, token: bytes) -> int:
         x = xxhash.xxh64_intdigest(token)
-        own = self[token] = self.number.get(x - (1 << 64) if x >> 63 else x, REST if x >> 64 - BITS == 0 else len(self.number) + 1 + (x >> 64 - BITS))
+        own = self.number.get(x - (1 << 64) if x >> 63 else x, self.rest + (x >> 64 - BITS))
+        if len(token) <= 48:
+            self[token] = own
         return own
 
 
 class Coder:
-    """Classes of whole texts by a memory of tokens."""
-
-    def __init__(self, hashes: np.ndarray, limit: int = 400_000):
-        self.known = _Classes({int(h): n + 2 for n, h in enumerate(hashes)})
+    """Codes of whole texts by a bounded memory of tokens: classes first, then near tokens, then the groups of all others."""
+
+    def __init__(self, top: np.ndarray, near: np.ndarray, limit: int = 400_000):
+        self.group_class = np.r_[REST, len(top) + 2 + np.arange(GROUPS - 1)]
+        self.classes = len(top) + 1 + GROUPS
+        self.rest = self.classes + len(near)
+        self.near_group = groups_of(near)
+        self.class_of = np.r_[np.arange(self.classes), self.group_class[self.near_group], self.group_class].astype(np.int32)
+        number = dict(zip(top.tolist(), range(2, len(top) + 2), strict=True))
+        number.update(zip(near.tolist(), range(self.classes, self.rest), strict=True))
+        self.known = _Codes(number, self.rest)
         self.limit = limit
 
-    def code(self, tokens: list[bytes]) -> np.ndarray:
+    def stream(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Codes of all texts one after another, each with its end; how many tokens each has; places and hashes of the tokens that are neither of a class nor near."""
         if len(self.known) > self.limit:
             self.known.clear()
-        return np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))
-
-    def stream(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-        """Classes of all texts one after another, each with its end; how many tokens each has; its words."""
         words = [x.lower().split() for x in texts]
-        sizes = np.array([len(x) + 1 for x in words], np.int64)
-        out = np.full(int(sizes.sum()), CLOSE, np.int64)
+        sizes = np.fromiter((len(x) + 1 for x in words), np.int64, len(words))
+        flat = [w for x in words for w in x]
+        codes = np.fromiter(map(self.known.__getitem__, flat), np.int32, len(flat))
+        out = np.full(int(sizes.sum()), CLOSE, np.int32)
         at = np.ones(len(out), bool)
         at[np.cumsum(sizes) - 1] = False
-        out[at] = self.code([w for x in words for w in x])
-        return out, sizes, words
-
-
-def groups_of(hashes: np.ndarray) -> np.ndarray:
-    return (hashes.view(np.uint64) >> np.uint64(64 - BITS)).astype(np.int64)
+        out[at] = codes
+        far = np.flatnonzero(codes >= self.rest)
+        return out, sizes, np.flatnonzero(out >= self.rest), hashes_of([flat[i] for i in far.tolist()], len(far))
 
 
 def contexts(classes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -139,6 +153,7 @@ class LogBilinear:
         self.r, self.q = (random.normal(0, 0.05, (n, width)).astype(np.float32) for _ in range(2))
         self.m = np.ones((2, width), np.float32)
         self.b = np.log(self.share).astype(np.float32)
+        self.seen = {x: np.full(n, 1e-2, np.float32) for x in ("r", "q", "b")}
 
     def parameters(self) -> np.ndarray:
         return np.concatenate([getattr(self, x).ravel() for x in self.NAMES]).astype(np.float64)
@@ -150,38 +165,76 @@ class LogBilinear:
             setattr(self, x, flat[at : at + old.size].reshape(old.shape).astype(np.float32))
             at += old.size
 
-    def steps(self, one: np.ndarray, two: np.ndarray, target: np.ndarray, random: np.random.Generator, noise: int = 64, batch: int = 1024, rate: float = 0.05) -> None:
-        """One pass of noise-contrastive steps: each token against the noise tokens its batch shares. AdaGrad by parameter row."""
+    def steps(self, classes: np.ndarray, sizes: np.ndarray, random: np.random.Generator, noise: int = 24, block: int = 512, run: int = 32, batch: int = 8192, rate: float = 0.07) -> None:
+        """One pass of noise-contrastive steps over texts one after another: each token against the noise tokens its block shares. AdaGrad by parameter row.
+
+        Steps are taken over runs of neighbouring tokens, in random order, so that a token's row is fetched and moved once for its three parts: as target, and as each context.
+        """
+        starts = np.cumsum(sizes) - sizes
+        stream = np.insert(classes, starts, CLOSE).astype(np.uint16)  # a second end before each text, itself no target
+        counted = np.ones(len(stream), np.float32)
+        counted[starts + np.arange(len(starts))] = 0
+        short = -len(stream) % run
+        stream = np.r_[np.full(2, CLOSE, np.uint16), stream, np.full(short, CLOSE, np.uint16)]
+        counted = np.r_[np.zeros(2, np.float32), counted, np.zeros(short, np.float32)]
         cumulative = np.cumsum(self.share)
-        if not hasattr(self, "seen"):
-            self.seen = {"r": np.full(len(self.r), 1e-2, np.float32), "q": np.full(len(self.q), 1e-2, np.float32), "b": np.full(len(self.b), 1e-2, np.float32)}
-        log_share = np.log(self.share * noise).astype(np.float32)
-        for at in range(0, len(target), batch):
-            i, j, w = one[at : at + batch], two[at : at + batch], target[at : at + batch]
-            fake = np.minimum(np.searchsorted(cumulative, random.random(noise)), len(self.share) - 1)
-            ri, rj, qw, qf = self.r[i], self.r[j], self.q[w], self.q[fake]
-            h = ri * self.m[0] + rj * self.m[1]
-            good = 1 / (1 + np.exp(-((h * qw).sum(1) + self.b[w] - log_share[w]).clip(-20, 20)))
-            bad = 1 / (1 + np.exp(-(h @ qf.T + self.b[fake] - log_share[fake]).clip(-20, 20)))
-            g = (good - 1)[:, None]
-            gh = g * qw + bad @ qf
-            rows_q = np.concatenate([w, fake])
-            self._move("q", rows_q, np.concatenate([g * h, bad.T @ h]), rate)
-            self._move("b", rows_q, np.concatenate([g[:, 0], bad.sum(0)]), rate)
-            gm = np.stack([(gh * ri).sum(0), (gh * rj).sum(0)]) / len(w)
-            self._move("r", np.concatenate([i, j]), np.concatenate([gh * self.m[0], gh * self.m[1]]), rate)
-            self.m -= rate * 0.1 * gm
-
-    def _move(self, name: str, rows: np.ndarray, g: np.ndarray, rate: float) -> None:
-        value, seen = getattr(self, name), self.seen[name]
+        log_noise = np.log(self.share * noise).astype(np.float32)
+        first = random.permutation(np.arange(2, len(stream), run))
+        for at in range(0, len(first), batch // run):
+            self._step(stream, counted, first[at : at + batch // run, None] + np.arange(-2, run), cumulative, log_noise, random, noise, block, rate)
+
+    def _step(self, stream, counted, places, cumulative, log_noise, random, noise: int, block: int, rate: float) -> None:
+        width = self.q.shape[1]
+        own = stream[places]
+        n, length = len(own), own.shape[1] - 2
+        rows, target, weight = own.ravel(), own[:, 2:].ravel(), counted[places[:, 2:]].ravel()
+        parts = np.concatenate([self.q, self.r * self.m[0], self.r * self.m[1]], 1)
+        x = parts.take(rows, 0).reshape(n, length + 2, 3 * width)
+        h = (x[:, 1:-1, width : 2 * width] + x[:, :-2, 2 * width :]).reshape(-1, width)
+        qw = x[:, 2:, :width].reshape(-1, width)
+        bias = self.b - log_noise
+        with np.errstate(over="ignore"):
+            g = -weight / (1 + np.exp(np.einsum("nd,nd->n", h, qw) + bias.take(target)))
+            gh = qw * g[:, None]
+            cuts = np.arange(0, len(h), block)
+            fake = np.minimum(np.searchsorted(cumulative, random.random((len(cuts), noise))), len(self.share) - 1)
+            to_q, to_b = np.empty((len(cuts), noise, width), np.float32), np.empty((len(cuts), noise), np.float32)
+            for k, s in enumerate(cuts.tolist()):
+                qf, part = self.q.take(fake[k], 0), h[s : s + block]
+                p = part @ -qf.T
+                p -= bias.take(fake[k])
+                np.exp(p, out=p)
+                p += 1
+                np.divide(weight[s : s + block, None], p, out=p)
+                gh[s : s + block] += p @ qf
+                to_q[k], to_b[k] = p.T @ part, p.sum(0)
+        moves = np.zeros((n, length + 2, 3 * width), np.float32)
+        np.multiply(h.reshape(n, length, width), g.reshape(n, length, 1), out=moves[:, 2:, :width])
+        moves[:, 1:-1, width : 2 * width] = moves[:, :-2, 2 * width :] = gh.reshape(n, length, width)
         order = np.argsort(rows, kind="stable")
-        own, first = np.unique(rows[order], return_index=True)
-        total = np.add.reduceat(g[order], first, 0)
-        seen[own] += (total * total).mean(1) if total.ndim > 1 else total * total
-        scale = rate / np.sqrt(seen[own])
-        value[own] -= scale[:, None] * total if total.ndim > 1 else scale * total
+        ordered = rows.take(order)
+        begin = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+        total = np.zeros((len(self.b), 3 * width), np.float32)
+        total[ordered[begin]] = np.add.reduceat(moves.reshape(-1, 3 * width).take(order, 0), begin, 0)
+        np.add.at(total[:, :width], fake.ravel(), to_q.reshape(-1, width))
+        one, two = total[:, width : 2 * width], total[:, 2 * width :]
+        gm = np.stack([(one * self.r).sum(0), (two * self.r).sum(0)]) / block
+        self._move("q", total[:, :width], rate)
+        self._move("r", one * self.m[0] + two * self.m[1], rate)
+        self._move("b", (np.bincount(target, g, len(self.b)) + np.bincount(fake.ravel(), to_b.ravel(), len(self.b))).astype(np.float32), rate)
+        self.m -= rate * 0.1 * gm
+
+    def _move(self, name: str, total: np.ndarray, rate: float) -> None:
+        value, seen = getattr(self, name), self.seen[name]
+        seen += np.einsum("nd,nd->n", total, total) / total.shape[1] if total.ndim > 1 else total * total
+        scale = rate / np.sqrt(seen)
+        value -= scale[:, None] * total if total.ndim > 1 else scale * total
+
+    def context(self) -> np.ndarray:
+        """What each class is as the token just before."""
+        return self.r * self.m[0]
 
-    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """log p of class w after classes i, j is a1[i, w] + a2[j, w] - z[i, j]; gives (a1, a2, z)."""
         a1 = (self.r * self.m[0]) @ self.q.T
         a2 = (self.r * self.m[1]) @ self.q.T + self.b
@@ -190,250 +243,392 @@ class LogBilinear:
         return a1, a2, z
 
 
-def train(docs: DataFrame, hashes: np.ndarray, start: LogBilinear, chunk: int = 4096) -> LogBilinear:
-    """One pass over all of docs, by partition, then the average by tokens."""
-    shared = docs.sparkSession.sparkContext.broadcast((hashes, start))
+class Leaves:
+    """The tokens of one group: hashes in order, counts, and as last leaf the tokens never seen."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_hashes, model = shared.value
-        first = model.parameters()
-        coder = kept(("coder", hash(own_hashes.tobytes())), lambda: Coder(own_hashes))
-        random, tokens = np.random.default_rng(9), 0
-        own = LogBilinear(model.share, model.r.shape[1])
-        own.set(first)
-        for batch in slices(batches, "text", 4 << 20):
-            classes, sizes, _ = coder.stream(binaries(batch.column("text")))
-            one, two = contexts(classes, sizes)
-            order = random.permutation(len(classes))
-            own.steps(one[order], two[order], classes[order], random)
-            tokens += len(classes)
-        if tokens:
-            flat = own.parameters() * tokens
-            parts = [flat[i : i + chunk] for i in range(0, len(flat), chunk)]
-            n = len(parts)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(n), [len(p) for p in parts]), pa.int32()), pa.array(np.concatenate([np.arange(len(p)) for p in parts]), pa.int32()), pa.array(flat), pa.array(np.full(len(flat), tokens, np.int64))], names=["part", "at", "x", "n"])
+    def __init__(self, hashes: np.ndarray, counted: np.ndarray, context: np.ndarray):
+        order = np.argsort(hashes)
+        self.hashes, self.counted = hashes[order], np.r_[counted[order], 0.0]
+        self.context = context
+        self.sums = np.zeros((len(self.counted), context.shape[1]))
+        self.pairs, self.before = np.zeros(len(self.counted)), np.zeros(len(context))
 
-    sums = docs.select("text").mapInArrow(task(run), "part int, at int, x double, n long").groupBy("part", "at").agg((F.sum("x") / F.sum("n")).alias("x"))
-    found = sums.orderBy("part", "at").select("x").toArrow().column("x").to_numpy()
-    out = LogBilinear(start.share, start.r.shape[1])
-    out.set(found if len(found) else start.parameters())
-    return out
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        return _find(self.hashes, hashes)
 
+    def add(self, leaf: np.ndarray, before: np.ndarray) -> None:
+        """Training tokens and the class before each."""
+        n = len(self.counted)
+        self.pairs += np.bincount(leaf, minlength=n)
+        self.before += np.bincount(before, minlength=len(self.before))
+        for k, column in enumerate(np.ascontiguousarray(self.context.T)):
+            self.sums[:, k] += np.bincount(leaf, column.take(before), n)
 
-class Leaves:
-    """The tree of one group: (hash, count) of its tokens, and a last leaf for those never seen."""
+    def learn(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(vectors as 16-bit floats, biases, the normaliser after each class)."""
+        weight = self.counted + 1
+        b = np.log(weight / weight.sum())
+        q, mean = np.zeros_like(self.sums), np.zeros(self.context.shape[1])
+        seen = self.before.sum()
+        if seen:
+            x = self.context.astype(np.float64)
+            mean = self.before @ x / seen
+            spread = (x * self.before[:, None]).T @ x / seen - np.outer(mean, mean)
+            size, axes = np.linalg.eigh(spread)
+            size = np.maximum(size, 1e-9)
+            q = (self.sums - self.pairs[:, None] * mean) @ axes
+            q = STEP * (q / (self.pairs[:, None] * size + RIDGE * size.mean())) @ axes.T
+            b = b - SPREAD * np.einsum("nd,nd->n", q @ spread, q)
+        half = q.astype(np.float16)
+        vectors = half.astype(np.float32)
+        b = (b - vectors @ mean).astype(np.float32)
+        z, step = np.empty(len(self.context), np.float32), max(1, (1 << 21) // len(b))
+        for at in range(0, len(z), step):
+            z[at : at + step] = np.log(np.exp(leaf_scores(self.context[at : at + step] @ vectors.T, b)).sum(1))
+        return half, b, z
 
-    def __init__(self, hashes: np.ndarray, counted: np.ndarray, width: int):
-        order = np.argsort(hashes)
-        self.hashes = hashes[order]
-        weight = np.r_[counted[order], 0.0] + 1
-        n = len(weight)
-        cells = round(math.sqrt(n))
-        self.plus, self.edges = np.log10(weight), np.arange(cells + 1) * n // cells
-        self.b, self.cell_b = np.log(weight).astype(np.float32), np.log(np.add.reduceat(weight, self.edges[:-1])).astype(np.float32)
-        self.q, self.cell_q = np.zeros((n, width), np.float32), np.zeros((cells, width), np.float32)
-        self.seen, self.cell_seen = np.full(n, 1e-2, np.float32), np.full(cells, 1e-2, np.float32)
-        self.batch = max(1024, 200 * cells)
 
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.zeros(len(hashes), np.int64)
-        at = np.searchsorted(self.hashes, hashes)
-        return np.where(self.hashes[np.minimum(at, len(self.hashes) - 1)] == hashes, at, len(self.hashes))
-
-    def _levels(self, leaf: np.ndarray) -> Iterator[tuple]:
-        """(vectors, squares, biases, rows, targets) of the level of cells and of each cell that has rows."""
-        cell = np.searchsorted(self.edges, leaf, "right") - 1
-        yield self.cell_q, self.cell_seen, self.cell_b, np.arange(len(leaf)), cell
-        order = np.argsort(cell, kind="stable")
-        own, first = np.unique(cell[order], return_index=True)
-        for k, rows in zip(own.tolist(), np.split(order, first[1:]), strict=True):
-            of = slice(self.edges[k], self.edges[k + 1])
-            yield self.q[of], self.seen[of], self.b[of], rows, leaf[rows] - self.edges[k]
-
-    def learn(self, h: np.ndarray, leaf: np.ndarray, rate: float = 0.2) -> None:
-        """One AdaGrad step by vector."""
-        for q, seen, b, rows, target in self._levels(leaf) if len(leaf) else ():
-            own = h[rows]
-            p = own @ q.T + b
-            p = np.exp(p - p.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(rows)), target] -= 1
-            g = p.T @ own
-            seen += (g * g).mean(1)
-            q -= (rate / np.sqrt(seen))[:, None] * g
-
-    def log_p(self, h: np.ndarray, leaf: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(leaf))
-        for q, _, b, rows, target in self._levels(leaf) if len(leaf) else ():
-            p = h[rows] @ q.T + b
-            p -= p.max(1, keepdims=True)
-            out[rows] += p[np.arange(len(rows)), target] - np.log(np.exp(p).sum(1))
-        return out
-
-
-ROWS = "row long, doc_id long, n_tokens long, log_p double, base double, known double"
-SENT = f"g int, kind int, at long, h binary, x binary, row binary, d array<struct<{ROWS.replace(' ', ': ').replace(',:', ',')}>>"
-ROW_TYPE = pa.struct([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("log_p", pa.float64()), ("base", pa.float64()), ("known", pa.float64())])
-
-
-class Sender:
-    """Batches of rows to groups: hashes with what belongs to them (counts, or pairs of context classes), as flat arrays."""
-
-    def __init__(self):
+def _find(ordered: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Places of hashes in an ordered array; its length for those that it does not hold."""
+    if not len(ordered):
+        return np.zeros(len(hashes), np.int64)
+    at = np.searchsorted(ordered, hashes)
+    return np.where(ordered[np.minimum(at, len(ordered) - 1)] == hashes, at, len(ordered))
+
+
+def leaf_scores(products: np.ndarray, b: np.ndarray) -> np.ndarray:
+    products += b
+    return np.minimum(products, HIGHEST, out=products)
+
+
+SENT = "key int, kind int, at long, a binary, b binary, c binary"
+PARAMETERS, WORDS, NEAR, FAR, DOCS = range(5)  # what a row brings, in the order a group reads them
+CHUNK = 4096
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True) if rows else [()] * 6, types, strict=True)], names=["key", "kind", "at", "a", "b", "c"])
+
+
+def _by_group(kind: int, at: int, group: np.ndarray, *arrays: np.ndarray) -> list[tuple]:
+    """One row a group, with its part of up to three arrays."""
+    order = np.argsort(group.astype(np.uint8), kind="stable")
+    edges = np.searchsorted(group[order], np.arange(GROUPS + 1))
+    ordered = [x[order] for x in arrays]
+    blank = (None,) * (3 - len(arrays))
+    return [(g, kind, at, *[x[s:e].tobytes() for x in ordered], *blank) for g, (s, e) in enumerate(itertools.pairwise(edges.tolist())) if e > s]
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """The rows of batches, one after another."""
+    for batch in batches:
+        yield from zip(*[batch.column(x).to_pylist() for x in ("key", "kind", "at", "a", "b", "c")], strict=True)
+
+
+def _in_groups(sent: DataFrame, n: int) -> DataFrame:
+    return sent.repartitionById(n, F.col("key")).sortWithinPartitions("key", "kind", "at")
+
+
+def lessons(learned: DataFrame, shared, start: LogBilinear) -> DataFrame:
+    """One reading of all training text: the parameters each partition has trained, and (token, class before) of all tokens below the top, by group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        self.at = TaskContext.get().partitionId() << 32
+        top, near = shared.value
+        coder = kept(("coder", hash((top.tobytes(), near.tobytes()))), lambda: Coder(top, near))
+        model = LogBilinear(start.share, start.r.shape[1])
+        model.set(start.parameters())
+        random, tokens, part = np.random.default_rng(9), 0, TaskContext.get().partitionId()
+        for n, batch in enumerate(slices(batches, "text", 4 << 20)):
+            codes, sizes, far, hashes = coder.stream(binaries(batch.column("text")))
+            classes = coder.class_of.take(codes)
+            model.steps(classes, sizes, random)
+            tokens += len(codes)
+            before = contexts(classes, sizes)[0].astype(np.uint16)
+            close = np.flatnonzero((codes >= coder.classes) & (codes < coder.rest))
+            places = codes[close] - coder.classes
+            at = part << 32 | n
+            yield _rows(_by_group(NEAR, at, coder.near_group[places], places.astype(np.uint32), before[close]) + _by_group(FAR, at, groups_of(hashes), hashes, before[far]))
+        if tokens:
+            flat = model.parameters() * tokens
+            yield _rows([(-1 - i // CHUNK, PARAMETERS, part, np.r_[tokens, flat[i : i + CHUNK]].tobytes(), None, None) for i in range(0, len(flat), CHUNK)])
 
-    def send(self, kind: int, hashes: np.ndarray, x: np.ndarray, rows: np.ndarray | None = None, docs: pa.StructArray | None = None) -> pa.RecordBatch:
-        group = groups_of(hashes)
-        order = np.argsort(group, kind="stable")
-        own, first = np.unique(group[order], return_index=True)
-        parts = np.split(order, first[1:]) if len(own) else []
-        g, kinds, d = own.tolist(), [kind] * len(own), [None] * len(own)
-        h, xs, r = ([None if a is None else a[p].tobytes() for p in parts] for a in (hashes, x, rows))
-        ends = np.zeros(len(g) + 1, np.int32)
-        if docs is not None:
-            g, kinds, d, h, xs, r = [*g, self.at % GROUPS], [*kinds, DOCS], docs, [*h, None], [*xs, None], [*r, None]
-            ends = np.r_[ends, np.int32(len(docs))]
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), d if docs is not None else pa.array([], ROW_TYPE))
-        self.at += 1
-        return pa.RecordBatch.from_arrays([pa.array(g, pa.int32()), pa.array(kinds, pa.int32()), pa.array([self.at] * len(g), pa.int64()), pa.array(h, pa.binary()), pa.array(xs, pa.binary()), pa.array(r, pa.binary()), lists], names=["g", "kind", "at", "h", "x", "row", "d"])
+    return learned.select("text").mapInArrow(task(run), SENT)
 
 
-def leaves(sent: DataFrame, shared, n: int) -> DataFrame:
-    """Learns and scores each group's tokens; several sums a row of documents, one from each task that has tokens of it."""
+def averaged(rows: DataFrame, start: LogBilinear) -> LogBilinear:
+    """The model whose parameters are the average by tokens of what partitions have trained."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value[3]
-        one, two = model.r * model.m[0], model.r * model.m[1]
-        tree, group, held, scored = None, None, {}, []
+        key, total = None, None
+        for k, _, _, a, *_ in _groups(batches):
+            own = np.frombuffer(a)
+            if k != key:
+                if key is not None:
+                    yield _rows([(key, 0, 0, (total[1:] / total[0]).tobytes(), None, None)])
+                key, total = k, np.zeros(len(own))
+            total = total + own
+        if key is not None:
+            yield _rows([(key, 0, 0, (total[1:] / total[0]).tobytes(), None, None)])
+
+    found = rows.filter("key < 0").repartition(8, "key").sortWithinPartitions("key", "at").mapInArrow(task(run), SENT).collect()
+    out = LogBilinear(start.share, start.r.shape[1])
+    out.set(np.concatenate([np.frombuffer(r.a) for r in sorted(found, key=lambda r: -r.key)]) if found else start.parameters())
+    return out
 
-        def flush(kind: int) -> None:
-            parts = held.pop(kind, [])
-            if not parts:
-                return
-            h, x = (np.concatenate([np.frombuffer(p[k], t) for p in parts]) for k, t in ((0, np.int64), (1, np.uint16)))
-            at, pairs = tree.find(h), x.reshape(-1, 2)
-            context = one[pairs[:, 0]] + two[pairs[:, 1]]
-            if kind == LEARN:
-                tree.learn(context, at)
-            else:
-                rows, of = np.unique(np.concatenate([np.frombuffer(p[2], np.int64) for p in parts]), return_inverse=True)
-                scored.append((rows, *[np.bincount(of, w, len(rows)) for w in (tree.log_p(context, at) / math.log(10), tree.plus[at], at < len(tree.hashes))]))
 
-        def summed() -> pa.RecordBatch:
-            rows, of = np.unique(np.concatenate([s[0] for s in scored]), return_inverse=True)
-            sums = [pa.array(np.bincount(of, np.concatenate([s[k] for s in scored]), len(rows))) for k in (1, 2, 3)]
-            scored.clear()
-            return pa.RecordBatch.from_arrays([pa.array(rows), pa.nulls(len(rows), pa.int64()), pa.array(np.zeros(len(rows), np.int64)), *sums], names=ROW_TYPE.names)
+@dataclass
+class Learned:
+    top: np.ndarray  # hashes and counts of the tokens of a class
+    top_counts: np.ndarray
+    ends: float
+    near: np.ndarray  # hashes, counts, vectors and biases of the near tokens
+    near_counts: np.ndarray
+    near_q: np.ndarray
+    near_b: np.ndarray
+    unseen_b: np.ndarray  # by group
+    z: np.ndarray  # by group and class before
+    model: LogBilinear
+    leaves: DataFrame  # FAR rows: hashes, counts, vectors and biases of all other tokens, by group
+    n: int
+    v: int
+    tasks: int
 
-        def grow() -> None:
-            nonlocal tree
-            parts = held.pop(WORDS, [])
-            h, c = (np.concatenate([np.empty(0, t), *[np.frombuffer(p[k], t) for p in parts]]) for k, t in ((0, np.int64), (1, np.float64)))
-            tree = Leaves(h, c, one.shape[1])
-
-        def finish() -> None:
-            if tree is not None:
-                flush(LEARN)
-                flush(SCORE)
-
-        for batch in batches:
-            for i, (g, kind) in enumerate(zip(batch.column("g").to_pylist(), batch.column("kind").to_pylist(), strict=True)):
-                if g != group:
-                    finish()
-                    held.clear()
-                    tree, group = None, g
-                if kind == DOCS:
-                    d = batch.column("d")[i].values
-                    yield pa.RecordBatch.from_arrays(d.flatten(), names=ROW_TYPE.names)
-                    continue
-                if kind != WORDS and tree is None:
-                    grow()
-                if kind == SCORE:
-                    flush(LEARN)
-                parts = held.setdefault(kind, [])
-                parts.append(tuple(batch.column(k)[i].as_py() for k in ("h", "x", "row")))
-                if kind != WORDS and sum(len(p[0]) for p in parts) >= 8 * tree.batch:
-                    flush(kind)
-                if sum(len(s[0]) for s in scored) > 400_000:
-                    yield summed()
-        finish()
-        if scored:
-            yield summed()
 
-    return sent.repartitionById(n, F.col("g")).sortWithinPartitions("g", "kind", "at").mapInArrow(task(run), ROWS)
+def _leaf_bytes(q: np.ndarray, b: np.ndarray) -> bytes:
+    return q.tobytes() + b.astype("<f4").tobytes()
 
 
-def score(docs: DataFrame, learned: DataFrame, classes: int = 2048, width: int = 24) -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row of docs, learning from `learned`."""
+def _leaf_arrays(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(data, np.float16, len(data) // 2 - 2 * n).reshape(n, -1), np.frombuffer(data, "<f4", n, len(data) - 4 * n)
+
+
+def learn(learned: DataFrame, classes: int = 2048, near: int = 1 << 18, width: int = 24) -> Learned:
     known = cut(counts(learned))
-    total = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    n, v = int(total[0]), int(total[1])
-    top = known.filter(F.col("h") != END_HASH).orderBy(F.desc("c"), "h").limit(classes - 2).collect()
-    hashes, own = np.array([r[0] for r in top], np.int64), np.array([r[1] for r in top], np.float64)
-    ends = known.filter(F.col("h") == END_HASH).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    group = F.shiftrightunsigned("h", 64 - BITS)
+    total = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("h") == END_HASH, F.col("c"))), F.lit(0))).first()
+    n, v, ends = int(total[0]), int(total[1]), float(total[2])
+    words = known.filter(F.col("h") != END_HASH)
+    frequent = words.orderBy(F.desc("c"), "h").limit(classes - 2 + near).toArrow()  # bounded by `classes` and `near`
+    hashes, counted = (frequent.column(x).to_numpy() for x in ("h", "c"))
+    order = np.lexsort((hashes, -counted))
+    hashes, counted = hashes[order], counted[order].astype(np.float64)
+    top, own, close, close_counts = hashes[: classes - 2], counted[: classes - 2], hashes[classes - 2 :], counted[classes - 2 :]
     rest = np.zeros(GROUPS)
-    for g, c in known.filter(F.col("h") != END_HASH).groupBy(group.alias("g")).agg(F.sum("c")).collect():
+    for g, c in words.groupBy(F.shiftrightunsigned("h", 64 - BITS).alias("g")).agg(F.sum("c")).collect():
         rest[g] = c
-    if len(top):
-        rest -= np.bincount(groups_of(hashes), own, GROUPS)
+    rest -= np.bincount(groups_of(top), own, GROUPS)
     unigram = np.r_[rest[0], ends, own, rest[1:]] + 1
-    model = train(learned, hashes, LogBilinear(unigram / unigram.sum(), width))
-    shared = docs.sparkSession.sparkContext.broadcast((hashes, own, float(ends), model))  # bounded by `classes`, GROUPS and `width`
-    key = ("lm", hash((hashes.tobytes(), model.parameters().tobytes())))
+    start = LogBilinear(unigram / unigram.sum(), width)
+    spark = learned.sparkSession
+    shared = spark.sparkContext.broadcast((top, close))
+    taught = cut(lessons(learned, shared, start))
+    model = averaged(taught, start)
+    context = model.context()
+    tasks = min(GROUPS, int(rest.sum()) // 400_000 + 1)
+    bound = spark.sparkContext.broadcast((top, close, context))
+
+    def send_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sender, above = Sender(), np.r_[shared.value[0], END_HASH]
-        for batch in batches:
+        above, part = np.sort(np.r_[bound.value[0], END_HASH]), TaskContext.get().partitionId()
+        for i, batch in enumerate(batches):
             h, c = (batch.column(k).to_numpy() for k in ("h", "c"))
-            rare = ~np.isin(h, above)
-            yield sender.send(WORDS, h[rare], c[rare].astype(np.float64))
-
-    def rare_of(found: np.ndarray, one: np.ndarray, two: np.ndarray, words: list[list[bytes]], n_own: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places, hashes and contexts of the tokens without a class of their own."""
-        rare = np.flatnonzero((found == REST) | (found >= n_own + 2))
-        tokens = [t for x in words for t in (*x, b"")]
-        return rare, hashes_of([tokens[i] for i in rare.tolist()], len(rare)), np.stack([one[rare], two[rare]], 1).astype(np.uint16)
-
-    def lessons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sender, own_hashes = Sender(), shared.value[0]
-        coder = kept(("coder", hash(own_hashes.tobytes())), lambda: Coder(own_hashes))
-        for batch in slices(batches, "text", 4 << 20):
-            found, sizes, texts = coder.stream(binaries(batch.column("text")))
-            _, h, pairs = rare_of(found, *contexts(found, sizes), texts, len(own_hashes))
-            yield sender.send(LEARN, h, pairs)
+            below = _find(above, h) == len(above)
+            yield _rows(_by_group(WORDS, part << 32 | i, groups_of(h[below]), h[below], c[below].astype(np.float64)))
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, near_hashes, own_context = bound.value
+        by_hash = np.argsort(near_hashes)
+        held: dict[int, list[tuple]] = {}
+        group, leaves = None, None
+
+        def flush(kind: int) -> None:
+            parts = held.pop(kind, [])
+            if parts:
+                which = np.concatenate([np.frombuffer(p[0], np.uint32 if kind == NEAR else np.int64) for p in parts])
+                leaves.add(leaves.find(near_hashes[which] if kind == NEAR else which), np.concatenate([np.frombuffer(p[1], np.uint16) for p in parts]).astype(np.int64))
+
+        def plant() -> Leaves:
+            parts = held.pop(WORDS, [])
+            return Leaves(*[np.concatenate([np.empty(0, t), *[np.frombuffer(p[k], t) for p in parts]]) for k, t in ((0, np.int64), (1, np.float64))], own_context)
+
+        def finish() -> pa.RecordBatch:
+            own = leaves if leaves is not None else plant()
+            flush(NEAR)
+            flush(FAR)
+            q, b, z = own.learn()
+            at = _find(near_hashes[by_hash], own.hashes)
+            close_by = np.flatnonzero(at < len(near_hashes))
+            far = np.flatnonzero(at == len(near_hashes))
+            rows = [(group, WORDS, 0, z.tobytes(), b[-1:].tobytes(), None)]
+            if len(close_by):
+                rows.append((group, NEAR, 0, by_hash[at[close_by]].astype(np.int64).tobytes(), None, _leaf_bytes(q[close_by], b[close_by])))
+            rows += [(group, FAR, k, own.hashes[s].tobytes(), own.counted[s].tobytes(), _leaf_bytes(q[s], b[s])) for k, s in enumerate(far[i : i + 8192] for i in range(0, len(far), 8192))]
+            return _rows(rows)
+
+        for key, kind, _, a, b, _ in _groups(batches):
+            if key != group:
+                if group is not None:
+                    yield finish()
+                group, leaves = key, None
+                held.clear()
+            if kind != WORDS and leaves is None:
+                leaves = plant()
+            held.setdefault(kind, []).append((a, b))
+            if kind != WORDS and sum(len(p[1]) for p in held[kind]) > max(400_000, 8 * len(leaves.counted)):
+                flush(kind)
+        if group is not None:
+            yield finish()
+
+    rows = words.mapInArrow(task(send_words), SENT).union(taught.filter("key >= 0"))
+    grown = cut(_in_groups(rows, tasks).mapInArrow(task(grow), SENT))
+    near_q, near_b = np.zeros((len(close), width), np.float16), np.zeros(len(close), np.float32)
+    unseen, z = np.zeros(GROUPS, np.float32), np.zeros((GROUPS, len(unigram)), np.float32)
+    for r in grown.filter(F.col("kind") != FAR).collect():  # a vector a near token, a normaliser a group and class
+        if r.kind == WORDS:
+            z[r.key], unseen[r.key] = np.frombuffer(r.a, np.float32), np.frombuffer(r.b, np.float32)[0]
+        else:
+            at = np.frombuffer(r.a, np.int64)
+            near_q[at], near_b[at] = _leaf_arrays(r.c, len(at))
+    return Learned(top, own, ends, close, close_counts, near_q, near_b, unseen, z, model, grown.filter(F.col("kind") == FAR), n, v, tasks)
+
+
+def apply(docs: DataFrame, own: Learned) -> DataFrame:
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row of docs."""
+    tree = (own.top, own.top_counts, own.ends, own.near, own.near_counts, own.near_q, own.near_b, own.unseen_b, own.z, own.model)
+    shared = docs.sparkSession.sparkContext.broadcast(tree)  # bounded by `classes`, GROUPS, `near` and `width`
+    name = ("lm", hash((own.top.tobytes(), own.near.tobytes(), own.near_q.tobytes(), own.model.parameters().tobytes())))
+    nats = math.log(10)
+
+    def make():
+        top, top_counts, ends, near, near_counts, q, b, _, z, model = shared.value
+        coder = Coder(top, near)
+        counted = np.r_[0.0, ends, top_counts, np.zeros(GROUPS - 1), near_counts, np.zeros(GROUPS)]
+        return coder, np.log10(counted + 1), (counted > 0).astype(np.float64), [x.astype(np.float32) for x in model.tables()], model.context(), q.astype(np.float32), b, z
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def make():
-            hashes_, own_, ends_, model_ = shared.value
-            free = np.zeros(GROUPS - 1)
-            return Coder(hashes_), np.log10(np.r_[1.0, ends_ + 1, own_ + 1, free + 1]), np.r_[False, ends_ > 0, own_ > 0, free > 0], [x.astype(np.float32) for x in model_.tables()]
+        from pyspark import TaskContext
 
-        sender, n_own = Sender(), len(shared.value[0])
-        coder, plus, there, (a1, a2, z) = kept(key, make)
+        at = TaskContext.get().partitionId() << 32  # rows keep their places in a scan, whichever executor reads them
+        coder, plus, there, (a1, a2, z), context, q, b, leaf_z = kept(name, make)
         for batch in slices(batches, "text", 4 << 20):
-            found, sizes, texts = coder.stream(binaries(batch.column("text")))
-            one, two = contexts(found, sizes)
-            logs = (a1[one, found] + a2[two, found] - z[one, two]) / math.log(10)
+            codes, sizes, far, hashes = coder.stream(binaries(batch.column("text")))
+            classes = coder.class_of.take(codes).astype(np.int64)
+            one, two = contexts(classes, sizes)
+            rows = one * len(context)
+            logs = (a1.ravel().take(rows + classes) + a2.ravel().take(two * len(context) + classes) - z.ravel().take(rows + two)).astype(np.float64)
+            close = np.flatnonzero((codes >= coder.classes) & (codes < coder.rest))
+            for part in np.array_split(close, len(close) // 65_536 + 1):
+                place, before = codes[part] - coder.classes, one[part]
+                logs[part] += leaf_scores(np.einsum("nd,nd->n", q.take(place, 0), context.take(before, 0)), b.take(place)) - leaf_z[coder.near_group[place], before]
             starts = np.cumsum(sizes) - sizes
-            sums = [np.add.reduceat(x.astype(np.float64), starts) for x in (logs, plus[found], there[found])]
-            own_sums = pa.StructArray.from_arrays([batch.column("row"), batch.column("doc_id").cast(pa.int64()), pa.array(sizes), *map(pa.array, sums)], names=ROW_TYPE.names)
-            rare, h, pairs = rare_of(found, one, two, texts, n_own)
-            yield sender.send(SCORE, h, pairs, np.repeat(batch.column("row").to_numpy(), sizes)[rare], own_sums)
-
-    marked = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")  # rows keep their places in a scan, whichever executor reads them
-    sent = known.mapInArrow(task(words), SENT).union(learned.select("text").mapInArrow(task(lessons), SENT)).union(marked.mapInArrow(task(run), SENT))
-    sums = leaves(sent, shared, min(GROUPS, int(rest.sum()) // 20_000 + 1)).groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.sum("n_tokens").alias("n_tokens"),
-        F.sum("known").cast("long").alias("n_known"),
-        F.sum("base").alias("all_logs"),
-        F.sum("log_p").alias("score"),
+            sums = np.stack([np.add.reduceat(x, starts) for x in (logs / nats, plus.take(codes), there.take(codes))])
+            ids = batch.column("doc_id").cast(pa.int64())
+            named = np.asarray(ids.is_valid())
+            ids = np.asarray(ids.fill_null(0)).astype(np.int64)
+            yield _rows([*_by_group(FAR, at, groups_of(hashes), hashes, one[far].astype(np.uint16), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[far]), ((at >> 32) % GROUPS, DOCS, at, sums.tobytes(), sizes.tobytes(), ids.tobytes() + named.tobytes())])
+            at += len(sizes)
+
+    def score_far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        *_, unseen, z, model = shared.value
+        context = model.context()
+        group, words, held, scored = None, [], [], []
+
+        def flush() -> None:
+            if not held:
+                return
+            h, before = np.concatenate([np.frombuffer(p[1], np.int64) for p in held]), np.concatenate([np.frombuffer(p[2], np.uint16) for p in held])
+            row = np.concatenate([p[0] + np.frombuffer(p[3], np.int32).astype(np.int64) for p in held])
+            held.clear()
+            found = _find(hashes, h)
+            s = leaf_scores(np.einsum("nd,nd->n", q.take(found, 0), context.take(before, 0)), b.take(found)) - z[group][before]
+            scored.append((row, s / nats, plus.take(found), found < len(hashes)))
+
+        def summed() -> pa.RecordBatch:
+            row = np.concatenate([x[0] for x in scored])
+            order = np.argsort(row, kind="stable")
+            first = np.flatnonzero(np.r_[True, np.diff(row[order]) != 0])
+            sums = [np.add.reduceat(np.concatenate([x[k] for x in scored]).astype(np.float64)[order], first) for k in (1, 2, 3)]
+            own_rows = row[order][first]
+            scored.clear()
+            out = []
+            for i, j in zip(*(lambda e: (e[:-1], e[1:]))(np.r_[np.flatnonzero(np.r_[True, np.diff(own_rows >> 32) != 0]), len(own_rows)].tolist()), strict=True):
+                out.append((int(own_rows[i] >> 32), FAR, int(own_rows[i]), (own_rows[i:j] & 0xFFFFFFFF).astype(np.uint32).tobytes(), np.stack([x[i:j] for x in sums[:2]]).tobytes(), sums[2][i:j].astype(np.uint32).tobytes()))
+            return _rows(out)
+
+        hashes, plus, q, b = np.empty(0, np.int64), np.zeros(1), np.zeros((1, context.shape[1]), np.float32), np.zeros(1, np.float32)
+        for key, kind, at, x, y, w in _groups(batches):
+            if key != group:
+                flush()
+                group, words = key, []
+                hashes = None
+            if kind == WORDS:
+                words.append((x, y, w))
+                continue
+            if kind == DOCS:
+                yield _rows([(at >> 32, WORDS, at, x, y, w)])
+                continue
+            if hashes is None:
+                hashes = np.concatenate([np.empty(0, np.int64), *[np.frombuffer(p[0], np.int64) for p in words]])  # in order, as they were written
+                plus = np.log10(np.r_[np.concatenate([np.empty(0), *[np.frombuffer(p[1]) for p in words]]), 0.0] + 1)
+                leaves = [_leaf_arrays(p[2], len(p[0]) // 8) for p in words]
+                q = np.concatenate([*[p[0] for p in leaves], np.zeros((1, context.shape[1]), np.float16)]).astype(np.float32)
+                b = np.r_[np.concatenate([np.empty(0, np.float32), *[p[1] for p in leaves]]), unseen[key]]
+            held.append((at, x, y, w))
+            if sum(len(p[1]) for p in held) > 1_600_000:
+                flush()
+                if sum(len(p[0]) for p in scored) > 2_000_000:
+                    yield summed()
+        flush()
+        if scored:
+            yield summed()
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source, first, parts, sums = None, 0, [], None
+
+        def out() -> pa.RecordBatch:
+            sizes, ids, named = (np.concatenate([p[k] for p in parts]) for k in (1, 2, 3))
+            return pa.RecordBatch.from_arrays([pa.array(ids, mask=~named), pa.array(sizes), *map(pa.array, sums)], names=["doc_id", "n_tokens", "score", "logs", "known"])
+
+        for key, kind, at, x, y, w in _groups(batches):
+            if key != source:
+                if source is not None:
+                    if sums is None:
+                        sums = np.concatenate([p[0] for p in parts], 1)
+                    yield out()
+                source, parts, sums = key, [], None
+            if kind == WORDS:
+                n = len(y) // 8
+                parts.append((np.frombuffer(x).reshape(3, n), np.frombuffer(y, np.int64), np.frombuffer(w, np.int64, n), np.frombuffer(w, bool, n, 8 * n)))
+                continue
+            if sums is None:
+                sums = np.concatenate([p[0] for p in parts], 1)
+            rows = np.frombuffer(x, np.uint32)  # each row once in a batch
+            sums[:2, rows] += np.frombuffer(y).reshape(2, -1)
+            sums[2, rows] += np.frombuffer(w, np.uint32)
+        if source is not None:
+            if sums is None:
+                sums = np.concatenate([p[0] for p in parts], 1)
+            yield out()
+
+    words = own.leaves.select("key", F.lit(WORDS).alias("kind"), "at", "a", "b", "c")
+    sent = words.union(docs.select("doc_id", "text").mapInArrow(task(run), SENT))
+    parts = _in_groups(sent, own.tasks).mapInArrow(task(score_far), SENT)
+    sums = parts.repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key", "kind", "at").mapInArrow(task(gather), "doc_id long, n_tokens long, score double, logs double, known double")
+    return sums.select(
+        "doc_id",
+        "n_tokens",
+        F.col("known").cast("long").alias("n_known"),
+        F.lit(own.n).cast("long").alias("train_tokens"),
+        (F.col("logs") - F.col("n_tokens") * math.log10(own.n + own.v + 1)).alias("base_score"),
+        "score",
     )
-    return sums.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), (F.col("all_logs") - F.col("n_tokens") * math.log10(n + v + 1)).alias("base_score"), "score")
+
+
+def score(docs: DataFrame, learned: DataFrame, **parameters) -> DataFrame:
+    return apply(docs, learn(learned, **parameters))
 
 
 def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
