@@ -3,15 +3,21 @@
 For each language a suffix automaton over a sample of its labelled text knows every substring of it. A text is parsed
 from left to right into the longest phrases that the automaton knows; it needs c phrases, and the language with the least
 c log2(size of its sample) a letter, the cross-parsing estimate of the entropy, wins. The automaton is turned into a
-dense table in which a step that leaves the sample starts the next phrase, so whole batches of texts are parsed in step
-by array look-ups. Texts are parsed in blocks of `BLOCK` symbols (a phrase ends at a block's end, in every language alike).
+table in which a step that leaves the sample starts the next phrase, with a column for each letter of this language only.
 
-The sample is bounded: `rows` labelled documents a language, chosen by the hash of their id, of up to `longest`
-characters (longer ones only if there are no others, and then that much of them), and `chars` characters in all.
+Whole batches of texts are parsed in step by array look-ups. A long text stands in several blocks, all parsed at once as if a phrase
+began at each; then every block is parsed again from the state in which the block before it ended, beside its first parse, until
+the two are in one state, from where on they agree. Where they do not meet, the next block is parsed again, and so on:
+the phrases are those of one parse of the whole text, however long.
+
+The sample is bounded: of the `languages` languages with most labelled rows, up to `rows` documents each, chosen by the hash of their id among those
+of up to `longest` characters, as many whole ones as fit `chars` characters (`total` over the number of languages, if that is less). If one has only
+longer documents, its shortest is taken, and `chars` characters of it if it is longer yet. So the tables' size does not grow with the corpus.
 
 Edge cases: a null text, or one without a letter, is `und` with score 0; letters that no sample has are a phrase each;
 ties go to the language first in the alphabet; with no labelled row every language is `und`; with one language the score
-is 1; repeated rows are scored alike; an empty table gives no rows; other columns are ignored.
+is 1; repeated rows are scored alike; an empty table gives no rows; other columns pass unchanged, but for own ones by the names lang_pred
+and lang_score, which give way to the new ones.
 """
 
 from __future__ import annotations
@@ -22,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from viatica.llm.base import fold, kept, others, slices, table, task
@@ -32,15 +38,28 @@ LETTERS = 60  # symbols 1 to LETTERS are letters, then one for other letters, th
 OTHER, FILL, WIDTH = LETTERS + 1, LETTERS + 2, 64
 
 
-def training_sample(docs: DataFrame, rows: int = 96, longest: int = 4000, chars: int = 40_000) -> dict[str, str]:
+def training_sample(docs: DataFrame, rows: int = 96, longest: int = 4000, chars: int = 40_000, languages: int = 256, total: int = 1_600_000) -> dict[str, str]:
     """Text by language, of bounded size."""
-    labelled = docs.filter("lang is not null and text is not null and length(text) > 0").select("lang", "text", (F.length("text") > longest).alias("long"), F.xxhash64("doc_id", F.lit(4)).alias("h"))
-    ranked = labelled.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("long", "h", "text"))).filter(F.col("n") <= rows)
-    found: dict[str, str] = {}
-    for lang, text in ranked.orderBy("lang", "n").select("lang", F.substring("text", 1, longest)).collect():
-        if len(found.get(lang, "")) < chars:
-            found[lang] = (found[lang] + "\n" if lang in found else "") + text
-    return {k: v[:chars] for k, v in found.items()}
+    size = F.length("text")
+    labelled = docs.filter("lang is not null and text is not null and length(text) > 0").select("lang", F.when(size <= longest, F.col("text")).otherwise(F.substring("text", 1, chars)).alias("text"), F.when(size > longest, size).otherwise(0).alias("long"), F.xxhash64("doc_id", F.lit(4)).alias("h"))
+    order = Window.partitionBy("lang").orderBy("long", "h", "text")
+    ranked = labelled.withColumn("n", F.row_number().over(order)).filter((F.col("n") <= rows) & ((F.col("long") == 0) | (F.col("n") == 1)))
+    used = docs.filter("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
+    found: dict[str, list[str]] = {}
+    for lang, text in ranked.join(F.broadcast(used), "lang", "left_semi").orderBy("lang", "n").select("lang", "text").collect():
+        found.setdefault(lang, []).append(text)
+    each = min(chars, total // max(1, len(found)))
+    return {lang: _whole(texts, each) for lang, texts in found.items()}
+
+
+def _whole(texts: list[str], most: int) -> str:
+    """As many whole texts as fit, in order; a part of the first if none does."""
+    taken, left = [], most
+    for text in texts:
+        if len(text) < left:
+            taken.append(text)
+            left -= len(text) + 1
+    return "\n".join(taken) if taken else texts[0][:most]
 
 
 def symbol_table(samples: dict[str, str]) -> np.ndarray:
@@ -95,19 +114,65 @@ def automaton(symbols: list[int]) -> list[dict[int, int]]:
     return step
 
 
-def parse_table(step: list[dict[int, int]]) -> np.ndarray:
-    """For state and symbol: twice the next state's row start, plus 1 if a phrase ends there and this symbol begins a new one."""
-    start = np.zeros(WIDTH, np.int64)
-    for c, to in step[0].items():
-        start[c] = to * WIDTH
-    out = np.empty((len(step), WIDTH), np.int32)
-    out[:] = start << 1 | 1
-    out[:, FILL] = np.arange(len(step)) * WIDTH << 1
-    state = np.repeat(np.arange(len(step)), [len(x) for x in step])
-    symbol = np.fromiter((c for x in step for c in x), np.int64)
-    out[state, symbol] = np.fromiter((t for x in step for t in x.values()), np.int64) * WIDTH << 1
-    out[0, :FILL] |= 1  # at the start, any symbol begins a phrase
-    return out.ravel()
+class Table:
+    """The greedy parse as a table: for state and symbol, twice the next state's row start, plus 1 if a phrase ends there and this symbol begins a new one."""
+
+    def __init__(self, step: list[dict[int, int]]):
+        used = sorted(step[0])  # all symbols of the sample; any other one, and the filling, have the last two columns
+        self.width = len(used) + 2
+        self.column = np.full(WIDTH, len(used), np.uint8)
+        self.column[used] = np.arange(len(used))
+        self.column[FILL] = len(used) + 1
+        start = np.zeros(self.width, np.int64)
+        start[self.column[used]] = [step[0][c] * self.width for c in used]
+        out = np.empty((len(step), self.width), np.int32)
+        out[:] = start << 1 | 1
+        out[:, -1] = np.arange(len(step)) * self.width << 1
+        state = np.repeat(np.arange(len(step)), [len(x) for x in step])
+        symbol = self.column[np.fromiter((c for x in step for c in x), np.int64)]
+        out[state, symbol] = np.fromiter((t for x in step for t in x.values()), np.int64) * self.width << 1
+        out[0, :-1] |= 1  # at the start, any symbol begins a phrase
+        self.steps = out.ravel()
+
+    def run(self, columns: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(phrases begun, last state) of blocks, given by column, parsed from these states."""
+        state, count = state << 1, np.zeros(len(state), np.int32)
+        for symbol in columns:
+            state >>= 1
+            state += symbol
+            state = self.steps.take(state)
+            count += state & 1
+        return count, state >> 1
+
+    def rerun(self, columns: np.ndarray, blocks: np.ndarray, old: np.ndarray, new: np.ndarray, every: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(phrases more than from the old states, blocks that end in another state, that state) of blocks parsed from new states."""
+        more = np.zeros(len(blocks), np.int32)
+        at, own = np.arange(len(blocks)), blocks
+        for start in range(0, len(columns), every):
+            part = columns[start : start + every, own]
+            before, old = self.run(part, old)
+            after, new = self.run(part, new)
+            more[at] += after - before
+            apart = old != new
+            at, own, old, new = at[apart], own[apart], old[apart], new[apart]
+            if not len(at):
+                break
+        return more, own, new
+
+    def phrases(self, columns: np.ndarray, follows: np.ndarray) -> np.ndarray:
+        """Phrases begun in each block; follows tells the blocks that go on from the one before."""
+        columns = self.column[columns]
+        start = np.zeros(columns.shape[1], np.int32)
+        count, end = self.run(columns, start)
+        while True:
+            again = np.flatnonzero(follows & (np.r_[0, end[:-1]] != start))
+            if not len(again):
+                return count
+            true = end[again - 1]
+            more, changed, state = self.rerun(columns, again, start[again], true)
+            count[again] += more
+            start[again] = true
+            end[changed] = state
 
 
 class Model:
@@ -115,7 +180,7 @@ class Model:
         self.symbols = symbol_table(samples)
         self.languages = sorted(samples)
         coded = [self.symbols[code_points(samples[x])] for x in self.languages]
-        self.tables = [parse_table(automaton(x.tolist())) for x in coded]
+        self.tables = [Table(automaton(x.tolist())) for x in coded]
         self.bits = np.array([math.log2(max(2, len(x))) for x in coded])
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -132,14 +197,9 @@ class Model:
         out = np.zeros((len(texts), len(self.languages)), np.int64)
         columns = np.ascontiguousarray(grid.T)
         owner = np.repeat(np.arange(len(texts)), blocks)
-        for n, steps in enumerate(self.tables):
-            state, count = np.zeros(len(grid), np.int32), np.zeros(len(grid), np.int32)
-            for symbol in columns:
-                state >>= 1
-                state += symbol
-                state = steps.take(state)
-                count += state & 1
-            out[:, n] = np.bincount(owner, count, len(texts)).astype(np.int64)
+        follows = np.r_[False, owner[1:] == owner[:-1]][: len(owner)]
+        for n, table_ in enumerate(self.tables):
+            out[:, n] = np.bincount(owner, table_.phrases(columns, follows), len(texts)).astype(np.int64)
         return out, letters
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
@@ -156,9 +216,9 @@ class Model:
         return [self.languages[b] if k else "und" for b, k in zip(best.tolist(), named.tolist(), strict=True)], np.where(named, sure, 0.0).clip(0, 1)
 
 
-def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
-    """All columns of docs with lang_pred and lang_score."""
-    shared = docs.sparkSession.sparkContext.broadcast(samples)  # no more than languages x chars characters
+def _found(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
+    """(d, text, lang_pred, lang_score): d holds the other columns of docs."""
+    shared = docs.sparkSession.sparkContext.broadcast(samples)  # no more than `total` characters
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
@@ -168,8 +228,24 @@ def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("text"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["d", "text", "lang_pred", "lang_score"])
 
     rows = docs.select(others(docs, "text").alias("d"), "text")
-    made = rows.mapInArrow(task(run), f"d {rows.schema['d'].dataType.simpleString()}, text string, lang_pred string, lang_score double")
-    return made.select(*[F.col(c) if c == "text" else F.col(f"d.`{c}`").alias(c) for c in docs.columns], "lang_pred", "lang_score")
+    return rows.mapInArrow(task(run), f"d {rows.schema['d'].dataType.simpleString()}, text string, lang_pred string, lang_score double")
+
+
+def _own(column: str) -> Column:
+    return F.col(column) if column == "text" else F.col(f"d.`{column}`").alias(column)
+
+
+def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
+    """All columns of docs with lang_pred and lang_score."""
+    return _found(docs, samples).select(*[_own(c) for c in docs.columns if c.lower() not in ("lang_pred", "lang_score")], "lang_pred", "lang_score")
+
+
+def with_language(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
+    """docs with the predicted language as `lang`, without the rows that have no letter. Without samples, `lang` stays as it is."""
+    if not samples:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    found = _found(docs, samples).filter("lang_pred <> 'und'")
+    return found.select(*[F.col("lang_pred").alias(c) if c == "lang" else _own(c) for c in docs.columns])
 
 
 def learn(docs: DataFrame) -> dict[str, str]:

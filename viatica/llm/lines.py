@@ -7,7 +7,8 @@ last run of a range, which may go on next door, are settled from their counts ov
 
 Edge cases: a null text is empty, and an empty text is one empty line; a key of fewer than `least` code points is never
 dropped; a document of which all lines go keeps an empty text; documents with equal ids count as one document, and
-null ids as one more; repeated rows are treated alike; an empty table gives no rows; other columns pass unchanged.
+null ids as one more; repeated rows are treated alike; an empty table gives no rows; other columns pass unchanged, but for
+own ones by the names n_lines and n_dropped, which give way to the new ones where these are asked for.
 """
 
 from __future__ import annotations
@@ -177,8 +178,9 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, least: int = 1, first_stay
     return gone.mapInArrow(task(run), "doc long, row long, keep binary")
 
 
-def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """docs with text cut to the lines that stay, and n_lines and n_dropped. The texts are moved once, by document."""
+def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, counted: bool = True) -> DataFrame:
+    """docs with text cut to the lines that stay, and, if counted, n_lines and n_dropped. The texts are moved once, by document."""
+    new = ["n_lines", "n_dropped"] if counted else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "whole"):
@@ -200,11 +202,11 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     keyed = keyed.select("d", "whole", F.coalesce("d.doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64("whole").alias("row"))
     joined = keyed.join(bitmaps, ["doc", "row"], "left").select("d", "whole", "keep")
     made = joined.mapInArrow(task(run), f"d {joined.schema['d'].dataType.simpleString()}, kept string, n_lines long, n_dropped long")
-    return made.select(*[F.col("kept").alias("text") if c == "text" else F.col(f"d.`{c}`").alias(c) for c in docs.columns], "n_lines", "n_dropped")
+    return made.select(*[F.col("kept").alias("text") if c == "text" else F.col(f"d.`{c}`").alias(c) for c in docs.columns if c.lower() not in new], *new)
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, least: int = 1, first_stays: bool = False) -> DataFrame:
-    return apply_bitmaps(docs, keep_bitmaps(docs, min_docs, least, first_stays))
+def dedup_lines(docs: DataFrame, min_docs: int = 10, least: int = 1, first_stays: bool = False, counted: bool = True) -> DataFrame:
+    return apply_bitmaps(docs, keep_bitmaps(docs, min_docs, least, first_stays), counted)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

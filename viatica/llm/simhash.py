@@ -66,14 +66,15 @@ def fingerprint(text: bytes, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, fp) of every row."""
+    """(doc_id, fp) of every row, whatever type its name has."""
+    rows = docs.select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             fps = pa.array([fingerprint(x, width) for x in binaries(batch.column("text"))], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), fps], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), fps], names=["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(task(run), "doc_id long, fp long")
+    return rows.mapInArrow(task(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def _syndromes(bits31: np.ndarray) -> np.ndarray:
@@ -213,7 +214,7 @@ def linked(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, width: int = 3, threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, fp, component_id) for every row of documents (doc_id, text)."""
-    marked = cut(fingerprints(docs, width))
+    marked = cut(fingerprints(docs.select(F.col("doc_id").cast("long"), "text"), width))
     least = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(linked(marked, threshold))
     placed = least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
@@ -223,9 +224,22 @@ def near_duplicates(docs: DataFrame, width: int = 3, threshold: int = THRESHOLD)
 
 
 def one_of_each(docs: DataFrame, width: int = 3, threshold: int = THRESHOLD) -> DataFrame:
-    """One row of each component: that with its least id. Rows of one id count as one document, of which one row stays; rows without an id have no name to stay by and go."""
-    keep = near_duplicates(docs, width, threshold).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One row of each component: that with the least id, rows without an id last, and of these and of one id's texts that with the least hash.
+
+    Rows are told apart by id and 128 bits of their text's hash; of rows that have both in common one stays. Which row stays is decided on these alone;
+    texts are moved once, to meet the decisions.
+    """
+    t, u = F.xxhash64(F.coalesce("text", F.lit(""))), F.xxhash64(F.coalesce("text", F.lit("")), F.lit(1))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), t.alias("t"), u.alias("u"))
+    marked = cut(fingerprints(docs.select(key.alias("doc_id"), "text"), width))
+    alike = marked.groupBy("fp", "doc_id").agg(F.count("*").alias("n"))
+    roots = components(linked(marked, threshold))
+    placed = alike.join(roots, F.col("fp") == F.col("node"), "left").select(F.coalesce("root", "fp").alias("root"), F.struct("doc_id", "n").alias("row"))
+    first = placed.groupBy("root").agg(F.min("row").alias("row")).select("row.doc_id.*", "row.n")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), key.alias("k")).select("d", "k.*")
+    found = rows.join(first.hint("shuffle_hash"), ["none", "id", "t", "u"])
+    once, more = found.filter("n = 1"), found.filter("n > 1").dropDuplicates(["none", "id", "t", "u"])
+    return once.unionByName(more).select(*[F.col(f"d.`{c}`").alias(c) for c in docs.columns])
 
 
 def hex_of(fp):
