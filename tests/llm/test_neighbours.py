@@ -30,6 +30,18 @@ def test_edges_and_ties(spark):
     assert neighbours.nearest(few, few.filter("vec_id = 0"), k=5).count() == 2
 
 
+def test_vectors_of_two_sizes(spark):
+    """The size most vectors have counts, for the queries too, even if most of these have another; ties go to the larger."""
+    rows = [(i, [float(i % 7), 1.0, 0.5]) for i in range(30)] + [(40 + i, [1.0, float(i)]) for i in range(21)] + [(20, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = df.filter("vec_id >= 20")
+    got = neighbours.nearest(df, asked, k=3).collect()
+    want = brute([r for r in rows if len(r[1]) == 3], set(range(20, 30)), 3)
+    assert {r.query_id for r in got} == set(want) and all([r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == v for q, v in want.items())
+    even = spark.createDataFrame([(1, [1.0]), (2, [2.0]), (3, [1.0, 1.0]), (4, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    assert {r.vec_id for r in neighbours.valid_vectors(even).collect()} == {3, 4}
+
+
 def test_recall(spark):
     rows = base.table(spark, "/root/testdata/sf0.1", "embeddings")
     found = neighbours.nearest(rows, rows.filter("vec_id % 20 = 0"), shard_size=700).toPandas()

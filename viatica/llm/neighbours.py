@@ -1,14 +1,18 @@
 """Approximate nearest neighbours: a hierarchical navigable small-world graph per shard, shard results merged.
 
 Vectors are first reduced to different ones, each with its `k + 1` least ids (an exact reduction: more copies can never
-be among the k nearest of a query other than themselves). A shard holds about `shard_size` of them. Its graph is
+be among the k nearest of a query other than themselves). A shard holds up to `shard_size` of them. Its graph is
 stored as flat neighbour arrays, one (nodes x links) matrix a layer; nodes stand in order of falling level, so that layer
-l is the first n_l of them. A layer's candidate links come from blocks of exact products within the shard, and are thinned
-so that no link is closer to another link than to its node; links go both ways. Inner products become distances by
+l is the first n_l of them. Layers are built from the top. The first nodes of a layer are linked by exact products; the others are inserted in
+batches: each is searched for in the layers above and in what the layer holds so far, its links are chosen among what that finds and its
+batch, thinned so that no link is closer to another link than to its node, and lead both ways; a node that gets more than it has room for chooses anew. So a
+node's insertion costs a search, not a pass over its shard. Inner products become distances by
 one more coordinate that gives all vectors of a shard the same length.
 
 Queries are searched in blocks in every shard, a beam of `beam` nodes per query moving in step for the whole block; what a
-shard finds is scored again in double precision on the original vectors, and the best k of all shards are kept.
+shard finds is scored again in double precision on the original vectors, and the best k of all shards are kept. A search grows with the logarithm of its
+shard, but every shard is searched: visiting only the shards whose centres are closest loses a third of the neighbours on vectors without clusters, as
+`embeddings` are (with half the shards visited). Shards are as large as a worker's memory holds for that reason.
 
 Edge cases: vectors that are null, empty, zero, or hold nulls, NaN or infinities take no part, nor do rows without an
 id or vectors whose dimension is not the commonest one (ties: the larger); a query never finds its own id; ids that occur
@@ -76,8 +80,29 @@ def _layer(x: np.ndarray, links: int, pool: int) -> np.ndarray:
     return out
 
 
+def _thinned(x: np.ndarray, rows: np.ndarray, found: np.ndarray, most: int, links: int, block: int = 512) -> np.ndarray:
+    """For nodes `rows`, up to `links` of those found for each (-1 is none): first, nearest first, up to `most` of which none is closer to one before it than to the node; then the nearest of the rest."""
+    out = np.full((len(rows), links), -1, np.int32)
+    for at in range(0, len(rows), block):
+        own, cand = rows[at : at + block], found[at : at + block]
+        vectors = x[np.maximum(cand, 0)]
+        near = np.einsum("bcd,bd->bc", vectors, x[own])
+        near[cand < 0] = -np.inf
+        order = np.argsort(-near, 1, kind="stable")
+        cand, near, vectors = np.take_along_axis(cand, order, 1), np.take_along_axis(near, order, 1), np.take_along_axis(vectors, order[:, :, None], 1)
+        between = vectors @ vectors.transpose(0, 2, 1)
+        take = np.zeros(cand.shape, bool)
+        for c in range(cand.shape[1]):
+            closer = (between[:, c, :] > near[:, c, None]) & take
+            take[:, c] = ~closer.any(1) & (take.sum(1) < most) & (cand[:, c] >= 0)
+        rank = np.where(take, 0, np.where(cand >= 0, 1, 2)) * cand.shape[1] + np.arange(cand.shape[1])
+        order = np.argsort(rank, 1)[:, :links]
+        out[at : at + block, : order.shape[1]] = np.take_along_axis(cand, order, 1)
+    return out
+
+
 class Graph:
-    def __init__(self, vectors: np.ndarray, ids: list[list[int]], links: int = 16, pool: int = 48):
+    def __init__(self, vectors: np.ndarray, ids: list[list[int]], links: int = 16, pool: int = 48, first: int = 8192):
         """vectors: one row per different vector, ids: its least ids."""
         draw = np.array([xxhash.xxh64_intdigest(v.tobytes(), 7) for v in vectors], np.float64) / 2**64
         level = np.floor(-np.log(np.maximum(draw, 1e-12)) / math.log(links)).astype(int)
@@ -87,7 +112,61 @@ class Graph:
         squares = (x * x).sum(1)
         self.x = np.concatenate([x, np.sqrt(np.maximum(squares.max() - squares, 0))[:, None]], 1)
         tops = [n for n in (int((level >= lv).sum()) for lv in range(int(level.max()) + 1)) if n]
-        self.layers = [_layer(self.x[:n], links * (2 if lv == 0 else 1), pool) for lv, n in enumerate(tops)]
+        self.layers: list[np.ndarray] = []
+        for lv in range(len(tops) - 1, -1, -1):
+            self.layers.insert(0, self._grown(tops[lv], links * (2 if lv == 0 else 1), pool, first))
+
+    def _grown(self, n: int, links: int, pool: int, first: int) -> np.ndarray:
+        """One more layer, of the first n nodes, below those there are."""
+        out = np.full((n, links), -1, np.int32)
+        at = min(n, first)
+        out[:at] = _layer(self.x[:at], links, pool)
+        while at < n:
+            new = np.arange(at, min(n, at + first, at + at // 2))
+            own = self.x[new]
+            found = np.concatenate([self._beam(own[i : i + 256], out[:at], self._entries(own[i : i + 256], at, pool), pool) for i in range(0, len(new), 256)])
+            sims = own @ own.T
+            np.fill_diagonal(sims, -np.inf)
+            few = min(pool // 2, len(new) - 1)
+            beside = np.argpartition(-sims, few - 1, 1)[:, :few] + at if few else np.zeros((len(new), 0), int)
+            out[new, : links // 2] = _thinned(self.x, new, np.concatenate([np.where(found < at, found, -1), beside], 1), links // 2, links // 2)
+            self._lead_back(out, new, links)
+            at += len(new)
+        return out
+
+    def _entries(self, queries: np.ndarray, below: int, beam: int) -> np.ndarray:
+        """Where to begin in a layer that holds the nodes below `below`: what the layers above find, and the highest nodes."""
+        top = np.tile(np.arange(min(below, 8), dtype=np.int32), (len(queries), 1))
+        if not self.layers:
+            return top
+        found = self._descend(queries, 0, 16)[:, : beam - top.shape[1]]
+        found = np.where(found < below, found, below).astype(np.int32)
+        found[(found[:, :, None] == top[:, None, :]).any(2)] = below
+        return np.concatenate([top, found], 1)
+
+    def _lead_back(self, out: np.ndarray, new: np.ndarray, links: int) -> None:
+        """Links back to the new nodes from those they lead to."""
+        source, place = np.nonzero(out[new] >= 0)
+        to, back = out[new][source, place], new[source]
+        order = np.lexsort((-np.einsum("nd,nd->n", self.x[to], self.x[back]), to))
+        to, back = to[order], back[order]
+        rows, begin = np.unique(to, return_index=True)
+        column = np.arange(len(to)) - np.repeat(begin, np.diff(np.r_[begin, len(to)]))
+        keep = column < links
+        more = np.full((len(rows), int(column[keep].max()) + 1), -1, np.int32)
+        more[np.searchsorted(rows, to[keep]), column[keep]] = back[keep]
+        both = np.concatenate([out[rows], more], 1)
+        both.sort(1)
+        both = both[:, ::-1].copy()
+        both[:, 1:][both[:, 1:] == both[:, :-1]] = -1  # a link that leads there already
+        both.sort(1)
+        both = both[:, ::-1]
+        counts = (both >= 0).sum(1)
+        fits = counts <= links
+        out[rows[fits]] = np.pad(both[fits][:, :links], ((0, 0), (0, max(0, links - both.shape[1]))), constant_values=-1)
+        full = np.flatnonzero(~fits)
+        if len(full):
+            out[rows[full]] = _thinned(self.x, rows[full], both[full][:, : int(counts.max())], links, links)
 
     def _beam(self, queries: np.ndarray, layer: np.ndarray, start: np.ndarray, beam: int, at_once: int = 4) -> np.ndarray:
         n, m = len(queries), len(layer)
@@ -130,17 +209,26 @@ class Graph:
         order = np.argsort(-sims, 1, kind="stable")
         return np.where(np.isfinite(np.take_along_axis(sims, order, 1)), np.take_along_axis(nodes, order, 1), m)
 
+    def _descend(self, queries: np.ndarray, to: int, beam: int) -> np.ndarray:
+        """What the layers find from the top down to layer `to`, nearest first."""
+        top = self.layers[-1]
+        start = np.tile(np.arange(min(len(top), beam), dtype=np.int32), (len(queries), 1))
+        for lv in range(len(self.layers) - 1, to - 1, -1):
+            layer = self.layers[lv]
+            found = self._beam(queries, layer, start, max(start.shape[1], beam))
+            start = np.where(found < len(layer), found, len(self.layers[lv - 1]) if lv else len(self.x)).astype(np.int32)
+        return start
+
     def search(self, queries: np.ndarray, own: np.ndarray, k: int, beam: int) -> Iterator[tuple[int, int, float]]:
         """(query's position, id, inner product) of the k best found in this shard."""
         for at in range(0, len(queries), 256):
             block = queries[at : at + 256]
             q = np.concatenate([block.astype(np.float32), np.zeros((len(block), 1), np.float32)], 1)
-            top = self.layers[-1]
-            start = np.tile(np.arange(min(len(top), beam), dtype=np.int32), (len(block), 1))
-            for lv in range(len(self.layers) - 1, -1, -1):
-                layer = self.layers[lv]
-                found = self._beam(q, layer, start, max(start.shape[1], beam if lv == 0 else min(beam, 24)))
-                start = found if lv == 0 else np.where(found < len(layer), found, len(self.layers[lv - 1])).astype(np.int32)
+            if len(self.layers) > 1:
+                start = self._descend(q, 1, min(beam, 24))
+            else:
+                start = np.tile(np.arange(min(len(self.x), beam), dtype=np.int32), (len(block), 1))
+            start = self._beam(q, self.layers[0], start, max(start.shape[1], beam))
             for i in range(len(block)):
                 nodes = start[i][start[i] < len(self.x)]
                 scores = self.vectors[nodes] @ block[i]
@@ -148,22 +236,27 @@ class Graph:
                 yield from ((at + i, v, -s) for s, v in rows[:k])
 
 
-def valid_vectors(rows: DataFrame) -> DataFrame:
-    """(vec_id, v) with v as doubles."""
+def valid_vectors(rows: DataFrame, size: int | None = None) -> DataFrame:
+    """(vec_id, v) with v as doubles, of `size` numbers, or as many as most vectors have."""
     v = F.col("embedding").cast("array<double>")
     good = rows.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).filter("vec_id is not null and v is not null and size(v) > 0")
     good = good.filter(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
-    size = good.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    return good.filter(F.size("v") == (size[0] if size else 0))
+    return good.filter(F.size("v") == (common_size(good) if size is None else size))
+
+
+def common_size(good: DataFrame) -> int:
+    most = good.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
+    return most[0] if most else 0
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, shard_size: int = 8192, beam: int = 128, block: int = 4096) -> DataFrame:
+def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, shard_size: int = 16_384, beam: int = 128, block: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, score) for queries among rows (vec_id, embedding)."""
-    good = valid_vectors(rows)
+    good = cut(valid_vectors(rows))
+    size = common_size(good)
     ranked = good.withColumn("n", F.dense_rank().over(Window.partitionBy("v").orderBy("vec_id"))).filter(F.col("n") <= k + 1)
     different = cut(ranked.groupBy("v").agg(F.sort_array(F.collect_set("vec_id")).alias("ids")))
     shards = max(1, math.ceil(different.count() / shard_size))
-    asked = cut(valid_vectors(queries).distinct())
+    asked = cut(valid_vectors(queries, size).distinct())
     blocks = max(1, math.ceil(asked.count() / block))
 
     def build(_, held: pa.Table) -> pa.Table:
