@@ -2,7 +2,7 @@
 
 A page is parsed into an ordered array of structs: text blocks, and media references with their digest and caption
 (the figure's caption, else the alternative text). References are exploded with their position and joined to a media
-store by digest, so a payload is stored once however many pages show it; positions and captions stay with the reference,
+store by digest, so pages that show one payload share what is known of it; positions and captions stay with the reference,
 and `assemble` puts a page's items together again in order.
 
 A stored payload is a grey PNG of 8-bit samples, 64 a row: lossless, read by any image library. Features are computed
@@ -10,7 +10,9 @@ from the bytes read back from the store, not from what was to be written.
 
 Edge cases: null and empty HTML have no items; unclosed tags are closed at the page's end; script and style are not text;
 a reference without a digest, or to a digest that the store lacks, stays with null columns; repeated rows give repeated
-items; equal payloads in the store count once; an empty table gives no rows; other columns are carried along by `parse`.
+items; equal payloads in the store count once (those of one batch are also stored once); an empty table gives no rows; other columns are carried along by
+`parse` and `resolve`, but for own ones by the name items, which give way, and own ones by the name of an item's field or of a column of the store, which
+come out of `resolve` with page_ in front.
 """
 
 from __future__ import annotations
@@ -28,7 +30,8 @@ from pyspark.sql import functions as F
 
 from viatica.llm.base import binaries, cut, others, slices, table, task
 
-ITEM = "array<struct<kind: string, text: string, digest: string, caption: string>>"
+FIELDS = ("kind", "text", "digest", "caption")
+ITEM = "array<struct<" + ", ".join(f"{x}: string" for x in FIELDS) + ">>"
 ROW = 64
 PNG = b"\x89PNG\r\n\x1a\n"
 PREFIX = "sha256:"
@@ -103,13 +106,13 @@ def parse(pages: DataFrame, html: str = "html") -> DataFrame:
     """pages with the column items (in place of html): what a page shows, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([(x, pa.string()) for x in ("kind", "text", "digest", "caption")]))
+        kind = pa.list_(pa.struct([(x, pa.string()) for x in FIELDS]))
         for batch in slices(batches, "html"):
             yield pa.RecordBatch.from_arrays([batch.column("d"), pa.array([items(x) for x in batch.column("html").to_pylist()], kind)], names=["d", "items"])
 
     rows = pages.select(others(pages, html).alias("d"), F.col(html).alias("html"))
     made = rows.mapInArrow(task(run), f"d {rows.schema['d'].dataType.simpleString()}, items {ITEM}")
-    return made.select(*[F.col(f"d.`{c}`").alias(c) for c in pages.columns if c != html], "items")
+    return made.select(*[F.col(f"d.`{c}`").alias(c) for c in pages.columns if c.lower() not in (html.lower(), "items")], "items")
 
 
 def resolve(parsed: DataFrame, store: DataFrame) -> DataFrame:
@@ -118,9 +121,11 @@ def resolve(parsed: DataFrame, store: DataFrame) -> DataFrame:
     store has one row per digest. Join it before its payload is needed only if that fits: with `features` of a store
     in its place, no payload is moved.
     """
-    kept = [c for c in parsed.columns if c != "items"]
-    rows = parsed.select(*kept, F.posexplode("items").alias("position", "item")).select(*kept, "position", "item.*")
-    return rows.join(store, "digest", "left")
+    taken = {"position", *FIELDS, *(c.lower() for c in store.columns)}
+    own = [F.col(f"`{c}`").alias(f"page_{c}" if c.lower() in taken else c) for c in parsed.columns if c != "items"]
+    rows = parsed.select(F.struct(F.lit(True).alias("_"), *own).alias("d"), F.posexplode("items").alias("position", "item")).select("d", "position", "item.*")
+    found = rows.join(store, "digest", "left")
+    return found.select(*[F.col(f"d.`{c}`").alias(c) for c in found.schema["d"].dataType.names[1:]], *[c for c in found.columns if c != "d"])
 
 
 def assemble(resolved: DataFrame, key: str) -> DataFrame:
@@ -208,11 +213,20 @@ def features(store: DataFrame) -> DataFrame:
 FEATURES = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
 
+def page_of(digest: Column, n_bytes: Column) -> Column:
+    """A page of seven items: a heading, the payload as a figure between two paragraphs, a picture that no store has, and the payload again, with alternative text only."""
+    image = lambda x: F.concat(F.lit(f'<img src="{PREFIX}'), x, F.lit('" alt="'), F.substring(x, 1, 8), F.lit('">'))
+    caption = F.concat(F.lit("<figcaption>all <b>"), n_bytes.cast("string"), F.lit("</b> bytes</figcaption>"))
+    return F.concat(F.lit("<h1>Document</h1><p>Before"), F.lit("<figure>"), image(digest), caption, F.lit("</figure><p>Between</p>"), image(F.lit("none")), F.lit("<p>After"), image(digest))
+
+
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document is the picture of a page that shows it with its length as caption."""
+    """Every document is a figure of a page. All columns come out of the pages and the store: n_bytes out of the figure's caption, position and caption from the reference."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("data"))
     docs = docs.select("doc_id", F.octet_length("data").cast("long").alias("n_bytes"), padded(F.col("data")).alias("payload")).withColumn("digest", F.sha2("payload", 256))
     told = cut(features(media_store(docs)))  # one row a digest; cut, so that a digest that very many pages show can be split in the join
-    html = F.concat(F.lit(f'<p>document</p><figure><img src="{PREFIX}'), F.col("digest"), F.lit('"><figcaption>'), F.col("n_bytes"), F.lit(" bytes</figcaption></figure>"))
-    shown = resolve(parse(docs.select("doc_id", "n_bytes", html.alias("html"))), told).filter("kind = 'media'")
-    return shown.select("doc_id", "n_bytes", *FEATURES)
+    pages = parse(docs.select("doc_id", page_of(F.col("digest"), F.col("n_bytes")).alias("html")))
+    # of a page's references, the captioned one is resolved here
+    figures = pages.withColumn("items", F.transform("items", lambda x: F.when((x["kind"] == "media") & x["caption"].endswith(" bytes"), x)))
+    shown = resolve(figures, told).filter("kind = 'media'")
+    return shown.select("doc_id", F.regexp_extract("caption", "([0-9]+) bytes$", 1).cast("long").alias("n_bytes"), *FEATURES, F.col("position").cast("long").alias("position"), "caption")
