@@ -11,6 +11,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from viatica.llm import base, language, lines, lm, media, mixing, packing, queries, simhash, tokencount, tokens, toxicity
 
@@ -100,7 +101,16 @@ def test_near_duplicates_edges(docs, empty):
     assert got[(2, 1)] == 1 and got[(4, 3)] == 1 and got[(5, 3)] == 1 and got[(7, 7)] == 2 and got[(None, None)] == 1
     assert simhash.near_duplicates(empty).count() == 0
     kept = simhash.one_of_each(docs)
-    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3, 6, 7, 8]
+    assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "6", "7", "8", "None"]
+
+
+def test_one_of_each_keeps_every_text(spark):
+    """Rows without an id, and different texts of one id, are documents of their own; of rows alike in both one stays."""
+    other = [" ".join(f"{w}{i}" for i in range(40)) for w in ("some", "quite", "wholly", "entirely")]
+    rows = [(None, other[0]), (None, other[1]), (None, other[0]), (7, other[2]), (7, other[3]), (7, other[3]), (9, other[2]), (None, other[2]), (None, None), (None, "")]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert sorted((str(r.doc_id), r.text or "") for r in kept.collect()) == sorted([("None", other[0]), ("None", other[1]), ("7", other[2]), ("7", other[3]), ("None", "")])
+    assert simhash.one_of_each(kept.limit(0)).count() == 0
 
 
 # -- lines
@@ -224,17 +234,61 @@ def test_media_round_trip(spark, docs):
         assert media.from_png(media.to_png(data)) == data
 
 
+def brute_feature(payload):
+    n, c = len(payload), Counter(payload)
+    entropy = max(0.0, -sum(x / n * math.log2(x / n) for x in c.values()))
+    return f"{n // 64}x64 mean={sum(payload) / n:.4f} entropy={entropy:.4f}"
+
+
+def brute_png(payload):
+    import struct
+
+    out = b"\x89PNG\r\n\x1a\n"
+    lines = b"".join(b"\0" + payload[i : i + 64] for i in range(0, len(payload), 64))
+    for name, data in ((b"IHDR", struct.pack(">IIBBBBB", 64, len(payload) // 64, 8, 0, 0, 0, 0)), (b"IDAT", zlib.compress(lines, 6)), (b"IEND", b"")):
+        out += struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
+    return out
+
+
 def test_media_query(spark, docs, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
-    got = Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in media.op3_media(spark, str(tmp_path)).collect())
+    got = Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256, r.feature, r.position, r.caption) for r in media.op3_media(spark, str(tmp_path)).collect())
     want: Counter = Counter()
     for r in docs.collect():
         data = (r.text or "").encode()
         payload = data + b"\0" * (64 if not data else -len(data) % 64)
-        want[(r.doc_id, len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))] += 1
+        png = brute_png(payload)
+        want[(r.doc_id, len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(png), hashlib.sha256(png).hexdigest(), brute_feature(payload), 2, f"all {len(data)} bytes")] += 1
     assert got == want
 
 
+def test_a_page_keeps_its_order(spark):
+    """The query's page, item by item, with both its references resolved."""
+    html = spark.range(1).select("id", media.page_of(F.lit("ab"), F.lit(5)).alias("html"))
+    rows = media.resolve(media.parse(html), spark.createDataFrame([("ab", 9)], "digest string, size long")).orderBy("position").collect()
+    assert [(r.kind, r.text or r.digest, r.caption, r.size) for r in rows] == [
+        ("text", "Document", None, None), ("text", "Before", None, None), ("media", "ab", "all 5 bytes", 9), ("text", "Between", None, None), ("media", "none", "none", None), ("text", "After", None, None), ("media", "ab", "ab", 9)]
+
+
+def test_pages_of_the_web(spark):
+    """Every page of the table is parsed: its media references are those a search for tags finds, in order, and all come back together."""
+    pages = base.table(spark, "/root/testdata/sf0.001", "pages")
+    parsed = media.parse(pages)
+    for r, p in zip(parsed.orderBy("page_id").collect(), pages.orderBy("page_id").collect(), strict=True):
+        want = [m[1].lower() for m in re.finditer(r"<(img|video|audio|source|embed)\b[^>]*>", re.sub(r"(?s)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>", "", p.html or ""), re.I)]
+        assert len([i for i in r["items"] if i.kind == "media"]) == len(want)
+        assert all(i.text and i.text == " ".join(i.text.split()) for i in r["items"] if i.kind == "text")
+    store = spark.createDataFrame([("x", 1)], "digest string, size long")
+    again = {r.page_id: [(i["item"].kind, i["item"].text) for i in r["items"]] for r in media.assemble(media.resolve(parsed, store), "page_id").collect()}
+    assert again == {r.page_id: [(i.kind, i.text) for i in r["items"]] for r in parsed.collect() if r["items"]}
+
+
+def test_clashing_names_of_pages(spark):
+    pages = spark.createDataFrame([(1, "<p>a<img src='sha256:x'>", "t", "k", "d", "c", 7, "s", "i")], "page_id long, html string, text string, kind string, digest string, caption string, position long, size string, items string")
+    rows = media.resolve(media.parse(pages), spark.createDataFrame([("x", 3)], "digest string, size long")).orderBy("position").collect()
+    assert [(r.kind, r.digest, r.size, r.page_text, r.page_kind, r.page_digest, r.page_caption, r.page_position, r.page_size) for r in rows] == [("text", None, None, "t", "k", "d", "c", 7, "s"), ("media", "x", 3, "t", "k", "d", "c", 7, "s")]
+
+
 def test_interleaved_order_and_captions(spark):
     html = "<p>one<figure><img src='sha256:aa' alt='x'><figcaption>cap <b>tion</b></figcaption></figure>two<script>no</script><img src='sha256:bb' alt='alt'><img src='u'>three"
     pages = spark.createDataFrame([(1, html), (2, None), (3, "")], "page_id long, html string")
@@ -263,15 +317,43 @@ def test_parse_table_counts_phrases():
 
     random.seed(5)
     sample = [random.randint(0, 3) for _ in range(200)]
-    steps = language.parse_table(language.automaton(sample))
+    table = language.Table(language.automaton(sample))
     as_text = "".join(map(str, sample))
     for _ in range(50):
         text = [random.randint(0, 4) for _ in range(60)]
-        state, count = 0, 0
-        for c in text:
-            v = int(steps[state + c])
-            state, count = v >> 1, count + (v & 1)
-        assert count == brute_phrases(as_text, "".join(map(str, text)))
+        count, _ = table.run(table.column[np.array(text)[:, None]], np.zeros(1, np.int32))
+        assert count[0] == brute_phrases(as_text, "".join(map(str, text)))
+
+
+def test_phrases_of_whole_texts():
+    """Blocks make no difference: texts of 1 to 100,000 letters, pieces of the sample over many blocks, and both in turn."""
+    import random
+
+    random.seed(6)
+    draw = lambda n, letters="abcd": "".join(random.choices(letters, k=n))
+    samples = {"aa": draw(20_000), "bb": draw(3_000, "abce")}
+    model = language.Model(samples)
+    texts = [draw(n, "abcdef") for n in (1, 2, 511, 512, 513, 1024, 5000, 100_000)] + [samples["aa"], samples["aa"][77:15_000], "f" * 3000, ""]
+    texts += [samples["aa"][i : i + n] + draw(m, "abcdef") + samples["bb"][:2000] for i, n, m in ((5, 9000, 3), (0, 600, 700), (300, 5000, 1))]
+    got, letters = model.phrases(texts)
+    assert letters.tolist() == [len(x) for x in texts]
+    for n, lang in enumerate(model.languages):
+        assert got[:, n].tolist() == [brute_phrases(samples[lang], x) for x in texts]
+    assert got[8, 0] == 1 and got[9, 0] == 1
+    cost = got * np.log2([20_000, 3_000])
+    lang, score = model.predict(texts)
+    assert lang == [model.languages[c.argmin()] if x else "und" for c, x in zip(cost, texts, strict=True)]
+    assert np.allclose(score, [1 - c.min() / c.max() if x else 0 for c, x in zip(cost, texts, strict=True)])
+
+
+def test_language_sample_is_of_whole_texts(spark):
+    rows = [(i, "en", f"short text {i} " * 5) for i in range(200)] + [(300, "xx", "only long " * 1000), (301, "xx", "longer " * 3000), (302, None, "none"), (303, "en", None), (304, "en", "long " * 2000)]
+    docs_ = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    got = language.training_sample(docs_, rows=50, chars=500)
+    assert set(got) == {"en", "xx"} and len(got["en"]) <= 500 and all(x in {r[2] for r in rows[:200]} for x in got["en"].split("\n"))
+    assert got["xx"] == ("only long " * 1000)[:500]
+    assert set(language.training_sample(docs_, languages=1)) == {"en"}
+    assert sum(map(len, language.training_sample(docs_, chars=500, total=600).values())) <= 600
 
 
 def test_language_edges(docs, empty):
@@ -359,23 +441,49 @@ def test_rare_tokens_have_their_own_probability(spark):
         assert got[0].score > got[1].score + 0.1 and got[3].score > got[2].score + 0.1
 
 
+def test_most_frequent_words(spark):
+    random = np.random.default_rng(3)
+    rows = [(int(h), int(c)) for h, c in zip(random.integers(-(2**63), 2**63 - 1, 5000), np.r_[random.integers(1, 4, 4900), random.integers(4, 900_000, 100)], strict=True)]
+    words = spark.createDataFrame(rows, "h long, c long")
+    for most in (0, 1, 40, 100, 130, 2000, 4999, 5000, 9000):
+        hashes, counted = lm.most_frequent(words, most)
+        want = sorted((-c, h) for h, c in rows)[:most]
+        assert hashes.tolist() == [h for _, h in want] and counted.tolist() == [-c for c, _ in want]
+    assert len(lm.most_frequent(words.limit(0), 5)[0]) == 0
+
+
 def test_leaves_are_normalised():
     random = np.random.default_rng(1)
     context = random.normal(size=(40, 5)).astype(np.float32)
-    leaves = lm.Leaves(random.integers(-(2**63), 2**63 - 1, 300), random.integers(1, 9, 300).astype(float), context)
-    assert list(leaves.find(np.r_[leaves.hashes[7], 12345])) == [7, 300]
-    for _ in range(2):  # untaught, then taught
-        q, b, z = leaves.learn()
+    hashes, counted = random.integers(-(2**63), 2**63 - 1, 300), random.integers(1, 9, 300).astype(float)
+    leaf, before = random.integers(0, 300, 5000), random.integers(0, 40, 5000)
+    whole = lm.Leaves(hashes, counted, context)
+    assert list(whole.find(np.r_[whole.hashes[7], 12345])) == [7, 300]
+    group = lm.Group.of(context, np.bincount(before, minlength=40), float((counted + 1).sum() + 1))
+    for taught in (False, True):
+        if taught:
+            whole.add(leaf, before)
+        q, b, total = whole.learn(group)
+        z = np.log(total + math.exp(group.unseen()))
         p = np.exp(lm.leaf_scores(context @ q.astype(np.float32).T, b) - z[:, None])
-        assert np.allclose(p.sum(1), 1, atol=1e-4)
-        leaves.add(random.integers(0, 300, 5000), random.integers(0, 40, 5000))
+        assert np.allclose(p.sum(1) + np.exp(group.unseen() - z), 1, atol=1e-4)
     assert q.any()
+    parts = [lm.Leaves(whole.hashes[s], whole.counted[s], context) for s in (slice(0, 100), slice(100, 300))]  # as in parts
+    parts[0].add(leaf[leaf < 100], before[leaf < 100])
+    parts[1].add(leaf[leaf >= 100] - 100, before[leaf >= 100])
+    learned = [x.learn(group) for x in parts]
+    assert np.allclose(np.concatenate([x[1] for x in learned]), b, atol=1e-5) and np.allclose(sum(x[2] for x in learned), total)
 
 
 def test_score_is_the_sum_of_its_tokens(spark, docs):
     """Every token's probability once more, one by one, from the parameters learned."""
     learned = docs.filter("doc_id is null or doc_id <> 6").select("doc_id", "text").union(spark.createDataFrame([(50 + i, f"lorem{i % 7} ipsum{i % 3} dolor elit{i}") for i in range(300)], "doc_id long, text string"))
-    own = lm.learn(learned, classes=9, near=12, width=4)
+    lm_tokens, lm.TASK_TOKENS = lm.TASK_TOKENS, 3  # groups in parts
+    try:
+        own = lm.learn(learned, classes=9, near=12, width=4)
+    finally:
+        lm.TASK_TOKENS = lm_tokens
+    assert own.more > 0 and own.tasks > 8
     asked = learned.union(spark.createDataFrame([(900, "never seen lorem1 ipsum2"), (901, "elit5 elit6 elit7")], "doc_id long, text string"))
     a1, a2, z = own.model.tables()
     leaf = {}

@@ -19,7 +19,8 @@ normaliser of a pair of contexts is a product of two matrices, exp(A1) exp(A2 +
 normaliser for each class before, from the product of its vectors and all contexts.
 
 The `near` next frequent tokens are broadcast with their vectors (a bound: 2^18 of them are 18 MB) and scored where the text is. All
-tokens beyond are scored in the task of their group, where the text sends (hash, class before, row) and gets back sums a row.
+tokens beyond are scored where their part of a group is, to which the text sends (hash, class before, row) and gets back sums a row. Groups are
+parted by further bits of the hashes, up to 2^16 parts, so that a part has about TASK_TOKENS training tokens; sums and normalisers add up over parts.
 As a context, a token below the top has the vector of its group.
 
 Edge cases: a null text is empty, its one token the end; documents with a null id are learned from; without training
@@ -48,6 +49,7 @@ REST, CLOSE = 0, 1  # class of the first group of tokens that have none of their
 BITS = 7
 GROUPS = 1 << BITS  # the other groups' classes follow those of the frequent tokens
 RIDGE, STEP, SPREAD = 10.0, 0.4, 0.6  # of a leaf's vector: ridge, length of the step, and what its bias gives back of its spread
+TASK_TOKENS = 400_000  # training tokens below the top for a task, about
 HIGHEST = 60.0  # no leaf's exponent goes beyond, so that sums stay finite
 
 
@@ -83,8 +85,9 @@ def counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(task(run), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).filter("c > 0")
 
 
-def groups_of(hashes: np.ndarray) -> np.ndarray:
-    return (hashes.view(np.uint64) >> np.uint64(64 - BITS)).astype(np.int64)
+def groups_of(hashes: np.ndarray, more: int = 0) -> np.ndarray:
+    """Groups by the first bits of hashes; with some bits more, parts of groups."""
+    return (hashes.view(np.uint64) >> np.uint64(64 - BITS - more)).astype(np.int64)
 
 
 class _Codes(dict):
@@ -243,49 +246,60 @@ class LogBilinear:
         return a1, a2, z
 
 
+@dataclass
+class Group:
+    """What all leaves of a group share: mean of its contexts, their covariance with its axes and variances along them, and the sum of its weights."""
+
+    mean: np.ndarray
+    spread: np.ndarray
+    axes: np.ndarray
+    size: np.ndarray
+    weight: float
+
+    @classmethod
+    def of(cls, context: np.ndarray, before: np.ndarray, weight: float) -> Group:
+        """before: how often each class stands before a token of the group."""
+        x, seen = context.astype(np.float64), max(1.0, before.sum())
+        mean = before @ x / seen
+        spread = (x * before[:, None]).T @ x / seen - np.outer(mean, mean)
+        size, axes = np.linalg.eigh(spread)
+        return cls(mean, spread, axes, np.maximum(size, 1e-9), weight)
+
+    def unseen(self) -> float:
+        """The bias of tokens never seen; their vector is zero."""
+        return -math.log(self.weight)
+
+
 class Leaves:
-    """The tokens of one group: hashes in order, counts, and as last leaf the tokens never seen."""
+    """Tokens of a group, or of a part of it: hashes in order, counts, and the sums of the contexts they stand in."""
 
     def __init__(self, hashes: np.ndarray, counted: np.ndarray, context: np.ndarray):
         order = np.argsort(hashes)
-        self.hashes, self.counted = hashes[order], np.r_[counted[order], 0.0]
+        self.hashes, self.counted = hashes[order], counted[order]
         self.context = context
-        self.sums = np.zeros((len(self.counted), context.shape[1]))
-        self.pairs, self.before = np.zeros(len(self.counted)), np.zeros(len(context))
+        self.sums, self.pairs = np.zeros((len(hashes), context.shape[1])), np.zeros(len(hashes))
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         return _find(self.hashes, hashes)
 
     def add(self, leaf: np.ndarray, before: np.ndarray) -> None:
         """Training tokens and the class before each."""
-        n = len(self.counted)
-        self.pairs += np.bincount(leaf, minlength=n)
-        self.before += np.bincount(before, minlength=len(self.before))
+        self.pairs += np.bincount(leaf, minlength=len(self.pairs))
         for k, column in enumerate(np.ascontiguousarray(self.context.T)):
-            self.sums[:, k] += np.bincount(leaf, column.take(before), n)
-
-    def learn(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(vectors as 16-bit floats, biases, the normaliser after each class)."""
-        weight = self.counted + 1
-        b = np.log(weight / weight.sum())
-        q, mean = np.zeros_like(self.sums), np.zeros(self.context.shape[1])
-        seen = self.before.sum()
-        if seen:
-            x = self.context.astype(np.float64)
-            mean = self.before @ x / seen
-            spread = (x * self.before[:, None]).T @ x / seen - np.outer(mean, mean)
-            size, axes = np.linalg.eigh(spread)
-            size = np.maximum(size, 1e-9)
-            q = (self.sums - self.pairs[:, None] * mean) @ axes
-            q = STEP * (q / (self.pairs[:, None] * size + RIDGE * size.mean())) @ axes.T
-            b = b - SPREAD * np.einsum("nd,nd->n", q @ spread, q)
+            self.sums[:, k] += np.bincount(leaf, column.take(before), len(self.pairs))
+
+    def learn(self, group: Group) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(vectors as 16-bit floats, biases, these leaves' share of the group's normaliser after each class)."""
+        q = (self.sums - self.pairs[:, None] * group.mean) @ group.axes
+        q = STEP * (q / (self.pairs[:, None] * group.size + RIDGE * group.size.mean())) @ group.axes.T
+        b = np.log((self.counted + 1) / group.weight) - SPREAD * np.einsum("nd,nd->n", q @ group.spread, q)
         half = q.astype(np.float16)
         vectors = half.astype(np.float32)
-        b = (b - vectors @ mean).astype(np.float32)
-        z, step = np.empty(len(self.context), np.float32), max(1, (1 << 21) // len(b))
-        for at in range(0, len(z), step):
-            z[at : at + step] = np.log(np.exp(leaf_scores(self.context[at : at + step] @ vectors.T, b)).sum(1))
-        return half, b, z
+        b = (b - vectors @ group.mean).astype(np.float32)
+        total, step = np.empty(len(self.context)), max(1, (1 << 21) // max(1, len(b)))
+        for at in range(0, len(total), step):
+            total[at : at + step] = np.exp(leaf_scores(self.context[at : at + step] @ vectors.T, b)).sum(1)
+        return half, b, total
 
 
 def _find(ordered: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -302,8 +316,8 @@ def leaf_scores(products: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 SENT = "key int, kind int, at long, a binary, b binary, c binary"
-PARAMETERS, WORDS, NEAR, FAR, DOCS = range(5)  # what a row brings, in the order a group reads them
-CHUNK = 4096
+WORDS, NEAR, FAR, DOCS = range(1, 5)  # what a row brings, in the order a part of a group reads them
+CHUNK, BEFORE = 4096, 1 << 20  # negative keys are of sums over all rows: parameters by chunks, and from BEFORE on the classes before a group's tokens
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -311,13 +325,14 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True) if rows else [()] * 6, types, strict=True)], names=["key", "kind", "at", "a", "b", "c"])
 
 
-def _by_group(kind: int, at: int, group: np.ndarray, *arrays: np.ndarray) -> list[tuple]:
-    """One row a group, with its part of up to three arrays."""
-    order = np.argsort(group.astype(np.uint8), kind="stable")
-    edges = np.searchsorted(group[order], np.arange(GROUPS + 1))
-    ordered = [x[order] for x in arrays]
+def _by_key(kind: int, at: int, keys: np.ndarray, *arrays: np.ndarray) -> list[tuple]:
+    """One row a key, with its part of up to three arrays."""
+    order = np.argsort(keys.astype(np.uint16), kind="stable")
+    ordered = keys[order]
+    begin = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]][: len(ordered)])
+    arrays_ = [x[order] for x in arrays]
     blank = (None,) * (3 - len(arrays))
-    return [(g, kind, at, *[x[s:e].tobytes() for x in ordered], *blank) for g, (s, e) in enumerate(itertools.pairwise(edges.tolist())) if e > s]
+    return [(g, kind, at, *[x[s:e].tobytes() for x in arrays_], *blank) for g, (s, e) in zip(ordered[begin].tolist(), itertools.pairwise([*begin.tolist(), len(keys)]), strict=True)]
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -330,8 +345,8 @@ def _in_groups(sent: DataFrame, n: int) -> DataFrame:
     return sent.repartitionById(n, F.col("key")).sortWithinPartitions("key", "kind", "at")
 
 
-def lessons(learned: DataFrame, shared, start: LogBilinear) -> DataFrame:
-    """One reading of all training text: the parameters each partition has trained, and (token, class before) of all tokens below the top, by group."""
+def lessons(learned: DataFrame, shared, start: LogBilinear, more: int) -> DataFrame:
+    """One reading of all training text: the parameters each partition has trained, and (token, class before) of all tokens below the top, by parts of groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -341,25 +356,28 @@ def lessons(learned: DataFrame, shared, start: LogBilinear) -> DataFrame:
         model = LogBilinear(start.share, start.r.shape[1])
         model.set(start.parameters())
         random, tokens, part = np.random.default_rng(9), 0, TaskContext.get().partitionId()
+        near_keys, all_before = groups_of(near, more), np.zeros(GROUPS * coder.classes, np.int64)
         for n, batch in enumerate(slices(batches, "text", 4 << 20)):
             codes, sizes, far, hashes = coder.stream(binaries(batch.column("text")))
             classes = coder.class_of.take(codes)
             model.steps(classes, sizes, random)
             tokens += len(codes)
-            before = contexts(classes, sizes)[0].astype(np.uint16)
+            before = contexts(classes, sizes)[0]
             close = np.flatnonzero((codes >= coder.classes) & (codes < coder.rest))
             places = codes[close] - coder.classes
-            at = part << 32 | n
-            yield _rows(_by_group(NEAR, at, coder.near_group[places], places.astype(np.uint32), before[close]) + _by_group(FAR, at, groups_of(hashes), hashes, before[far]))
+            all_before += np.bincount(np.r_[coder.near_group[places], groups_of(hashes)] * coder.classes + np.r_[before[close], before[far]], minlength=len(all_before))
+            before, at = before.astype(np.uint16), part << 32 | n
+            yield _rows(_by_key(NEAR, at, near_keys[places], places.astype(np.uint32), before[close]) + _by_key(FAR, at, groups_of(hashes, more), hashes, before[far]))
         if tokens:
             flat = model.parameters() * tokens
-            yield _rows([(-1 - i // CHUNK, PARAMETERS, part, np.r_[tokens, flat[i : i + CHUNK]].tobytes(), None, None) for i in range(0, len(flat), CHUNK)])
+            yield _rows([(-1 - i // CHUNK, 0, part, np.r_[tokens, flat[i : i + CHUNK]].tobytes(), None, None) for i in range(0, len(flat), CHUNK)])
+            yield _rows([(-BEFORE - g, 0, part, x.astype(np.float64).tobytes(), None, None) for g, x in enumerate(all_before.reshape(GROUPS, -1)) if x.any()])
 
     return learned.select("text").mapInArrow(task(run), SENT)
 
 
-def averaged(rows: DataFrame, start: LogBilinear) -> LogBilinear:
-    """The model whose parameters are the average by tokens of what partitions have trained."""
+def sums_by_key(rows: DataFrame) -> dict[int, np.ndarray]:
+    """The arrays `a` of rows, summed by key on the executors, in a fixed order. Keys and lengths are bounded by `classes` and GROUPS."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, total = None, None
@@ -367,16 +385,13 @@ def averaged(rows: DataFrame, start: LogBilinear) -> LogBilinear:
             own = np.frombuffer(a)
             if k != key:
                 if key is not None:
-                    yield _rows([(key, 0, 0, (total[1:] / total[0]).tobytes(), None, None)])
+                    yield _rows([(key, 0, 0, total.tobytes(), None, None)])
                 key, total = k, np.zeros(len(own))
             total = total + own
         if key is not None:
-            yield _rows([(key, 0, 0, (total[1:] / total[0]).tobytes(), None, None)])
+            yield _rows([(key, 0, 0, total.tobytes(), None, None)])
 
-    found = rows.filter("key < 0").repartition(8, "key").sortWithinPartitions("key", "at").mapInArrow(task(run), SENT).collect()
-    out = LogBilinear(start.share, start.r.shape[1])
-    out.set(np.concatenate([np.frombuffer(r.a) for r in sorted(found, key=lambda r: -r.key)]) if found else start.parameters())
-    return out
+    return {r.key: np.frombuffer(r.a) for r in rows.repartition(8, "key").sortWithinPartitions("key", "at").mapInArrow(task(run), SENT).select("key", "a").collect()}
 
 
 @dataclass
@@ -394,6 +409,7 @@ class Learned:
     leaves: DataFrame  # FAR rows: hashes, counts, vectors and biases of all other tokens, by group
     n: int
     v: int
+    more: int  # bits of a hash beyond its group's that tell parts of a group
     tasks: int
 
 
@@ -405,29 +421,61 @@ def _leaf_arrays(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.float16, len(data) // 2 - 2 * n).reshape(n, -1), np.frombuffer(data, "<f4", n, len(data) - 4 * n)
 
 
+def most_frequent(words: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts of the `most` words (h, c) with the greatest counts, the least hashes of a tie, in that order.
+
+    The least count that is taken is found by counting words by ranges of counts, then by count, so nothing is sorted and no task sees more than its part.
+    """
+    step = F.floor(F.log("c") * 64).cast("int")
+    wanted, level = most, None
+    for r in sorted(words.groupBy(step.alias("s")).count().collect(), reverse=True):  # some thousands of ranges
+        if r["count"] > wanted:
+            level = r.s
+            break
+        wanted -= r["count"]
+    kept_ = words
+    if level is not None:
+        least, part = None, 0.0
+        for c, n in sorted(words.filter(step == level).groupBy("c").agg(F.count("*")).collect(), reverse=True):
+            if n > wanted:
+                least, part = c, wanted / n
+                break
+            wanted -= n
+        edge = int(-(2**63) + part * 2**64 + 8 * 2**64 * math.sqrt(part + 1e-9) / math.sqrt(n))  # of evenly spread hashes, enough for the ties wanted and few more
+        kept_ = words.filter((F.col("c") > least) | ((F.col("c") == least) & (F.col("h") <= min(edge, 2**63 - 1))))
+    found = kept_.toArrow()
+    hashes, counted = (found.column(x).to_numpy().astype(t) for x, t in (("h", np.int64), ("c", np.float64)))
+    order = np.lexsort((hashes, -counted))[:most]
+    return hashes[order], counted[order]
+
+
 def learn(learned: DataFrame, classes: int = 2048, near: int = 1 << 18, width: int = 24) -> Learned:
     known = cut(counts(learned))
     total = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("h") == END_HASH, F.col("c"))), F.lit(0))).first()
     n, v, ends = int(total[0]), int(total[1]), float(total[2])
     words = known.filter(F.col("h") != END_HASH)
-    frequent = words.orderBy(F.desc("c"), "h").limit(classes - 2 + near).toArrow()  # bounded by `classes` and `near`
-    hashes, counted = (frequent.column(x).to_numpy() for x in ("h", "c"))
-    order = np.lexsort((hashes, -counted))
-    hashes, counted = hashes[order], counted[order].astype(np.float64)
+    hashes, counted = most_frequent(words, classes - 2 + near)
     top, own, close, close_counts = hashes[: classes - 2], counted[: classes - 2], hashes[classes - 2 :], counted[classes - 2 :]
-    rest = np.zeros(GROUPS)
-    for g, c in words.groupBy(F.shiftrightunsigned("h", 64 - BITS).alias("g")).agg(F.sum("c")).collect():
-        rest[g] = c
+    rest, weight = np.zeros(GROUPS), np.ones(GROUPS)
+    for g, c, w in words.groupBy(F.shiftrightunsigned("h", 64 - BITS).alias("g")).agg(F.sum("c"), F.sum(F.col("c") + 1)).collect():
+        rest[g], weight[g] = c, w + 1  # one for tokens never seen
     rest -= np.bincount(groups_of(top), own, GROUPS)
+    weight -= np.bincount(groups_of(top), own + 1, GROUPS)
     unigram = np.r_[rest[0], ends, own, rest[1:]] + 1
     start = LogBilinear(unigram / unigram.sum(), width)
     spark = learned.sparkSession
     shared = spark.sparkContext.broadcast((top, close))
-    taught = cut(lessons(learned, shared, start))
-    model = averaged(taught, start)
+    wanted = int(rest.sum()) // TASK_TOKENS + 1
+    more = min(16, max(BITS, (wanted - 1).bit_length())) - BITS
+    tasks = min(1 << BITS + more, wanted)
+    taught = cut(lessons(learned, shared, start, more))
+    found = sums_by_key(taught.filter("key < 0"))
+    model = LogBilinear(start.share, width)
+    chunks = [found[k][1:] / found[k][0] for k in sorted(found, reverse=True) if k > -BEFORE]
+    model.set(np.concatenate(chunks) if chunks else start.parameters())
     context = model.context()
-    tasks = min(GROUPS, int(rest.sum()) // 400_000 + 1)
-    bound = spark.sparkContext.broadcast((top, close, context))
+    stats = [Group.of(context, found.get(-BEFORE - g, np.zeros(len(unigram))), float(weight[g])) for g in range(GROUPS)]
+    bound = spark.sparkContext.broadcast((top, close, context, stats))
 
     def send_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -436,13 +484,13 @@ def learn(learned: DataFrame, classes: int = 2048, near: int = 1 << 18, width: i
         for i, batch in enumerate(batches):
             h, c = (batch.column(k).to_numpy() for k in ("h", "c"))
             below = _find(above, h) == len(above)
-            yield _rows(_by_group(WORDS, part << 32 | i, groups_of(h[below]), h[below], c[below].astype(np.float64)))
+            yield _rows(_by_key(WORDS, part << 32 | i, groups_of(h[below], more), h[below], c[below].astype(np.float64)))
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, near_hashes, own_context = bound.value
+        _, near_hashes, own_context, own_stats = bound.value
         by_hash = np.argsort(near_hashes)
         held: dict[int, list[tuple]] = {}
-        group, leaves = None, None
+        part, leaves = None, None
 
         def flush(kind: int) -> None:
             parts = held.pop(kind, [])
@@ -455,50 +503,50 @@ def learn(learned: DataFrame, classes: int = 2048, near: int = 1 << 18, width: i
             return Leaves(*[np.concatenate([np.empty(0, t), *[np.frombuffer(p[k], t) for p in parts]]) for k, t in ((0, np.int64), (1, np.float64))], own_context)
 
         def finish() -> pa.RecordBatch:
-            own = leaves if leaves is not None else plant()
+            nonlocal leaves
+            leaves = leaves if leaves is not None else plant()
             flush(NEAR)
             flush(FAR)
-            q, b, z = own.learn()
-            at = _find(near_hashes[by_hash], own.hashes)
-            close_by = np.flatnonzero(at < len(near_hashes))
-            far = np.flatnonzero(at == len(near_hashes))
-            rows = [(group, WORDS, 0, z.tobytes(), b[-1:].tobytes(), None)]
+            group = part >> more
+            q, b, total = leaves.learn(own_stats[group])
+            at = _find(near_hashes[by_hash], leaves.hashes)
+            close_by, far = np.flatnonzero(at < len(near_hashes)), np.flatnonzero(at == len(near_hashes))
+            rows = [(-1 - group, WORDS, part, total.tobytes(), None, None)]
             if len(close_by):
-                rows.append((group, NEAR, 0, by_hash[at[close_by]].astype(np.int64).tobytes(), None, _leaf_bytes(q[close_by], b[close_by])))
-            rows += [(group, FAR, k, own.hashes[s].tobytes(), own.counted[s].tobytes(), _leaf_bytes(q[s], b[s])) for k, s in enumerate(far[i : i + 8192] for i in range(0, len(far), 8192))]
+                rows.append((part, NEAR, 0, by_hash[at[close_by]].astype(np.int64).tobytes(), None, _leaf_bytes(q[close_by], b[close_by])))
+            rows += [(part, FAR, k, leaves.hashes[s].tobytes(), leaves.counted[s].tobytes(), _leaf_bytes(q[s], b[s])) for k, s in enumerate(far[i : i + 8192] for i in range(0, len(far), 8192))]
             return _rows(rows)
 
         for key, kind, _, a, b, _ in _groups(batches):
-            if key != group:
-                if group is not None:
+            if key != part:
+                if part is not None:
                     yield finish()
-                group, leaves = key, None
+                part, leaves = key, None
                 held.clear()
             if kind != WORDS and leaves is None:
                 leaves = plant()
             held.setdefault(kind, []).append((a, b))
             if kind != WORDS and sum(len(p[1]) for p in held[kind]) > max(400_000, 8 * len(leaves.counted)):
                 flush(kind)
-        if group is not None:
+        if part is not None:
             yield finish()
 
     rows = words.mapInArrow(task(send_words), SENT).union(taught.filter("key >= 0"))
     grown = cut(_in_groups(rows, tasks).mapInArrow(task(grow), SENT))
     near_q, near_b = np.zeros((len(close), width), np.float16), np.zeros(len(close), np.float32)
-    unseen, z = np.zeros(GROUPS, np.float32), np.zeros((GROUPS, len(unigram)), np.float32)
-    for r in grown.filter(F.col("kind") != FAR).collect():  # a vector a near token, a normaliser a group and class
-        if r.kind == WORDS:
-            z[r.key], unseen[r.key] = np.frombuffer(r.a, np.float32), np.frombuffer(r.b, np.float32)[0]
-        else:
-            at = np.frombuffer(r.a, np.int64)
-            near_q[at], near_b[at] = _leaf_arrays(r.c, len(at))
-    return Learned(top, own, ends, close, close_counts, near_q, near_b, unseen, z, model, grown.filter(F.col("kind") == FAR), n, v, tasks)
+    for r in grown.filter(F.col("kind") == NEAR).collect():  # a vector a near token
+        at = np.frombuffer(r.a, np.int64)
+        near_q[at], near_b[at] = _leaf_arrays(r.c, len(at))
+    unseen, totals = np.array([x.unseen() for x in stats], np.float32), sums_by_key(grown.filter("key < 0"))
+    z = np.stack([np.log(totals.get(-1 - g, 0.0) + np.exp(unseen[g], dtype=np.float64) * np.ones(len(unigram))) for g in range(GROUPS)]).astype(np.float32)
+    return Learned(top, own, ends, close, close_counts, near_q, near_b, unseen, z, model, grown.filter(F.col("kind") == FAR), n, v, more, tasks)
 
 
 def apply(docs: DataFrame, own: Learned) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row of docs."""
     tree = (own.top, own.top_counts, own.ends, own.near, own.near_counts, own.near_q, own.near_b, own.unseen_b, own.z, own.model)
     shared = docs.sparkSession.sparkContext.broadcast(tree)  # bounded by `classes`, GROUPS, `near` and `width`
+    more, keys = own.more, 1 << BITS + own.more
     name = ("lm", hash((own.top.tobytes(), own.near.tobytes(), own.near_q.tobytes(), own.model.parameters().tobytes())))
     nats = math.log(10)
 
@@ -528,7 +576,7 @@ def apply(docs: DataFrame, own: Learned) -> DataFrame:
             ids = batch.column("doc_id").cast(pa.int64())
             named = np.asarray(ids.is_valid())
             ids = np.asarray(ids.fill_null(0)).astype(np.int64)
-            yield _rows([*_by_group(FAR, at, groups_of(hashes), hashes, one[far].astype(np.uint16), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[far]), ((at >> 32) % GROUPS, DOCS, at, sums.tobytes(), sizes.tobytes(), ids.tobytes() + named.tobytes())])
+            yield _rows([*_by_key(FAR, at, groups_of(hashes, more), hashes, one[far].astype(np.uint16), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[far]), ((at >> 32) % keys, DOCS, at, sums.tobytes(), sizes.tobytes(), ids.tobytes() + named.tobytes())])
             at += len(sizes)
 
     def score_far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -543,7 +591,7 @@ def apply(docs: DataFrame, own: Learned) -> DataFrame:
             row = np.concatenate([p[0] + np.frombuffer(p[3], np.int32).astype(np.int64) for p in held])
             held.clear()
             found = _find(hashes, h)
-            s = leaf_scores(np.einsum("nd,nd->n", q.take(found, 0), context.take(before, 0)), b.take(found)) - z[group][before]
+            s = leaf_scores(np.einsum("nd,nd->n", q.take(found, 0), context.take(before, 0)), b.take(found)) - z[group >> more][before]
             scored.append((row, s / nats, plus.take(found), found < len(hashes)))
 
         def summed() -> pa.RecordBatch:
@@ -575,7 +623,7 @@ def apply(docs: DataFrame, own: Learned) -> DataFrame:
                 plus = np.log10(np.r_[np.concatenate([np.empty(0), *[np.frombuffer(p[1]) for p in words]]), 0.0] + 1)
                 leaves = [_leaf_arrays(p[2], len(p[0]) // 8) for p in words]
                 q = np.concatenate([*[p[0] for p in leaves], np.zeros((1, context.shape[1]), np.float16)]).astype(np.float32)
-                b = np.r_[np.concatenate([np.empty(0, np.float32), *[p[1] for p in leaves]]), unseen[key]]
+                b = np.r_[np.concatenate([np.empty(0, np.float32), *[p[1] for p in leaves]]), unseen[key >> more]]
             held.append((at, x, y, w))
             if sum(len(p[1]) for p in held) > 1_600_000:
                 flush()
