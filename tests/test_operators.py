@@ -61,3 +61,24 @@ def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i, i + 1) for i in range(9)] + [(20, 30, 31)], "link long, from_node long, to_node long")
     got = {r.node: r.component for r in network.components(links).collect()}
     assert got == {**{i: 0 for i in range(10)}, 30: 30, 31: 30}
+
+
+def test_self_regulated_steps_lag_by_two(spark):
+    """1, 2, then a rise, then each comparison of gaps two iterations on; an equal or missing gap is a rise."""
+    from viatica.operators import choice
+
+    gaps = [0.9, 0.5, 0.5, 0.4, None, 0.3, 0.2]
+    rows = spark.createDataFrame([(1, i, g) for i, g in enumerate(gaps)], "run long, iteration long, gap double")
+    got = [r.eta for r in choice.self_regulated_steps(rows).orderBy("iteration").collect()]
+    assert got == [1.0, 2.0, 3.5, 3.7, 5.2, 5.4, 6.9]
+    assert [round(1 / x, 6) for x in got] == [r.step for r in choice.self_regulated_steps(rows).orderBy("iteration").collect()]
+
+
+def test_kinds_of_route_types(spark):
+    from pyspark.sql import functions as F
+
+    from viatica.operators import transit
+
+    want = {"tram": [0, 5, 900, 999], "metro": [1, 12, 400, 599, 699], "rail": [2, 100, 199, 300, 399], "bus": [3, 11, 200, 299, 700, 899], "ferry": [4, 1000, 1099, 1200, 1299], "other": [6, 7, 10, 13, 99, 1100, 1199, 1300, 1700]}
+    rows = spark.createDataFrame([(t, k) for k, own in want.items() for t in own], "t long, kind string")
+    assert rows.filter(transit.kind_of(F.col("t")) != F.col("kind")).isEmpty()

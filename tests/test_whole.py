@@ -29,12 +29,12 @@ def test_nearest_node_of_all(spark):
 def test_snap_whole(spark):
     points = [(k, k * 37 % 500, k * 91 % 500) for (k,) in spark.read.parquet(f"{DATA}/customer.parquet").select("c_custkey").collect()]
     nodes = [(k, k * 53 % 500, k * 29 % 500) for (k,) in spark.read.parquet(f"{DATA}/supplier.parquet").select("s_suppkey").collect()]
-    assert {r.point: (r.node, r.d2) for r in QUERIES["snap_nearest_node_whole"](spark, DATA).collect()} == _nearest(points, nodes)
+    assert {r.point: (r.node, r.d2) for r in QUERIES["snap_nearest_node"](spark, DATA).collect()} == _nearest(points, nodes)
 
 
 def test_quota_spread_whole(spark, duck):
     trips = [t for (t,) in duck.sql("SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey").fetchall()]
-    assert {r.trip: r.u for r in QUERIES["quota_spread_whole"](spark, DATA).collect()} == {t: int(f"{t:053b}"[::-1], 2) / 2**53 for t in trips}
+    assert {r.trip: r.u for r in QUERIES["quota_spread"](spark, DATA).collect()} == {t: int(f"{t:053b}"[::-1], 2) / 2**53 for t in trips}
     large = spark.createDataFrame([(65_536,), (5_000_001,)], "trip long").select("trip", geo.reversed_bits(F.col("trip")).alias("u"))
     assert {r.trip: r.u for r in large.collect()} == {t: int(f"{t:053b}"[::-1], 2) / 2**53 for t in (65_536, 5_000_001)}
 
@@ -53,7 +53,7 @@ def test_route_seconds_whole(spark):
             t += sums.get((link, t // 900), 30)
         want[vehicle] = t
     assert max(len(x) for x in routes.values()) > 6
-    assert {r.vehicle: r.arrive_s for r in QUERIES["route_seconds_whole"](spark, DATA).collect()} == want
+    assert {r.vehicle: r.arrive_s for r in QUERIES["route_seconds"](spark, DATA).collect()} == want
 
 
 def _links(spark):
@@ -75,7 +75,7 @@ def test_fastest_routes_of_every_trip(spark):
     """Against arrivals relaxed until nothing changes, for a sample of trips; every trip has an answer."""
     seconds = {(r.link, r.bin): r.pcu_seconds // r.pcu for r in view(spark, DATA, "v_traversals").transform(loading.link_bins).collect()}
     trips, links = view(spark, DATA, "v_trip_results").collect(), _links(spark)
-    got = {r.ask: r.arrive_s for r in QUERIES["fastest_routes_in_time_whole"](spark, DATA).collect()}
+    got = {r.ask: r.arrive_s for r in QUERIES["fastest_routes_in_time"](spark, DATA).collect()}
     assert set(got) == {r.trip for r in trips}
     for r in trips[::29]:
         at, turn = {r.o_zone: r.departure_s}, True
@@ -98,16 +98,16 @@ def _costs(spark):
 
 def test_costs_reach_and_components_whole(spark):
     cost = _costs(spark)
-    assert {(r.origin, r.destination): r.cost for r in QUERIES["shortest_path_costs_whole"](spark, DATA).collect()} == cost
-    assert {(r.origin, r.node): r.cost for r in QUERIES["bounded_reach_whole"](spark, DATA).collect()} == {k: c for k, c in cost.items() if c <= 2500}
-    assert {(r.node, r.component) for r in QUERIES["network_components_whole"](spark, DATA).collect()} == {(n, 0) for n in range(25)}
+    assert {(r.origin, r.destination): r.cost for r in QUERIES["shortest_path_costs"](spark, DATA).collect()} == cost
+    assert {(r.origin, r.node): r.cost for r in QUERIES["bounded_reach"](spark, DATA).collect()} == {k: c for k, c in cost.items() if c <= 2500}
+    assert {(r.node, r.component) for r in QUERIES["network_components"](spark, DATA).collect()} == {(n, 0) for n in range(25)}
 
 
 def test_demand_whole(spark):
     cells = {(r.o, r.d): r.n for r in QUERIES["od_integerise"](spark, DATA).collect()}
     want = [(o, d, i, 25200 + int(hashlib.md5(f"9:{o}:{d}:{i}".encode()).hexdigest()[:8], 16) % 7200) for (o, d), n in cells.items() for i in range(1, n + 1)]
     assert max(o for o, *_ in want) > 4
-    assert sorted(map(tuple, QUERIES["demand_from_od_whole"](spark, DATA).collect())) == sorted(want)
+    assert sorted(map(tuple, QUERIES["demand_from_od"](spark, DATA).collect())) == sorted(want)
 
 
 def test_raptor_whole(spark):
@@ -130,7 +130,7 @@ def test_raptor_whole(spark):
                                     new[there] = min(new.get(there, (10**9, n)), (when, n))
             best |= {s: min(x, best.get(s, x)) for s, x in new.items()}
         want |= {(o * 100 + d, s): x for s, x in best.items()}
-    assert {(r.ask, r.stop): (r.t, r.rides) for r in QUERIES["raptor_arrivals_whole"](spark, DATA).collect()} == want
+    assert {(r.ask, r.stop): (r.t, r.rides) for r in QUERIES["raptor_arrivals"](spark, DATA).collect()} == want
 
 
 def test_gridlock_whole(spark):
@@ -143,4 +143,4 @@ def test_gridlock_whole(spark):
             at = step[at]
         if at == s:
             want[s] = min(ring)
-    assert {r.link: r.ring for r in QUERIES["gridlock_cycles_whole"](spark, "/root/testdata/sf0.1").collect()} == want and max(want) > 50
+    assert {r.link: r.ring for r in QUERIES["gridlock_cycles"](spark, "/root/testdata/sf0.1").collect()} == want and max(want) > 50

@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir, or the one set on the context, or, only if there is neither, one in the warehouse."""
+    sc = spark.sparkContext
+    told = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    there = sc._jsc.sc().getCheckpointDir()
+    if there.isEmpty():
+        sc.setCheckpointDir(told or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints")
+        there = sc._jsc.sc().getCheckpointDir()
+    return told or there.get()
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df written to the shared folder that the session names in spark.checkpoint.dir; one is set here only if it names none."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints")
+    """df written to the shared folder, to go on from there."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)

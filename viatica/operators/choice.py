@@ -129,11 +129,18 @@ def reselects(seed: int, iteration: int, share: float, key: str) -> Column:
 
 
 def self_regulated_steps(reports: DataFrame, fell: float = 0.2, rose: float = 1.5) -> DataFrame:
-    """eta of each iteration: it grows by `rose` where the gap grew, else by `fell`; the step is 1 / eta."""
+    """eta of each iteration, 1, 2, and then one growth an iteration; the step is 1 / eta.
+
+    A growth is `fell` if the gap fell below the one before and `rose` if it rose, stayed or is not known. An iteration knows the gaps up to the
+    second before it only, so the growth to the third counts as a rise, and each later one compares the gap two iterations back with the one before that.
+    """
     order = Window.partitionBy("run").orderBy("iteration")
-    grow = F.when(F.lag("gap").over(order).isNull(), 1.0).when(F.col("gap") > F.lag("gap").over(order), rose).otherwise(fell)
-    eta = F.sum("g").over(order)
-    return reports.withColumn("g", grow).withColumn("eta", F.round(eta, 6)).withColumn("step", F.round(1 / F.col("eta"), 6)).drop("g")
+    n = F.row_number().over(order)
+    grow = F.when(n == 1, 0.0).when((F.col("gap") < F.lag("gap").over(order)) & ~F.isnan("gap"), fell).otherwise(rose)
+    rows = reports.withColumns({"n": n, "g": grow})
+    seen = F.coalesce(F.sum("g").over(order.rowsBetween(Window.unboundedPreceding, -2)), F.lit(0.0))
+    eta = F.when(F.col("n") <= 2, F.col("n").cast("double")).otherwise(2 + rose + seen)
+    return rows.withColumn("eta", F.round(eta, 6)).withColumn("step", F.round(1 / F.col("eta"), 6)).drop("g", "n")
 
 
 def converged(reports: DataFrame, tolerance: float, least: int = 4) -> DataFrame:

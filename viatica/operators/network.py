@@ -100,17 +100,87 @@ def adjacency(links: DataFrame) -> DataFrame:
     return links.groupBy("from_node").agg(F.sort_array(F.collect_list("to_node")).alias("targets"))
 
 
-def audit(links: DataFrame) -> DataFrame:
-    """Findings by rule: (check, found, verdict)."""
-    pair = Window.partitionBy("from_node", "to_node")
-    out = links.groupBy(F.col("from_node").alias("node")).agg(F.count("*").alias("outs"))
-    dead = links.select(F.col("to_node").alias("node")).distinct().join(out, "node", "left_anti").agg(F.count("*").alias("dead_ends"))
-    n = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).cast("long")
-    found = links.withColumn("twins", F.count("*").over(pair)).agg(n(F.col("from_node") == F.col("to_node")).alias("self_loops"), n(F.col("length_m") <= 0).alias("length_not_positive"), n(F.col("length_m") < 400).alias("short_links"), n(F.col("twins") > 1).alias("parallel_links"), n(F.col("lanes") > 6).alias("many_lanes"), n(F.col("signalised")).alias("signalised"))
-    row = found.crossJoin(F.broadcast(dead))  # one row and one row
-    names = ["self_loops", "length_not_positive", "short_links", "parallel_links", "many_lanes", "signalised", "dead_ends"]
-    rows = row.select(F.explode(F.array(*[F.struct(F.lit(x).alias("check"), F.col(x).alias("found")) for x in names])).alias("x")).select("x.check", "x.found")
-    return rows.withColumn("verdict", F.when(F.col("found") == 0, "pass").when(F.col("check").isin("short_links", "signalised", "dead_ends"), "warn").otherwise("fail"))
+# Plausible median free-flow km/h by class, and by layer.
+CLASS_SPEEDS = {
+    "motorway": (50, 130),
+    "trunk": (35, 110),
+    "primary": (20, 90),
+    "secondary": (18, 80),
+    "tertiary": (15, 70),
+    "unclassified": (10, 70),
+    "residential": (8, 50),
+    "living_street": (4, 30),
+    "service": (4, 40),
+}
+LAYER_SPEEDS = {"bike": (8.0, 30.0), "walk": (2.5, 7.0)}
+
+
+def _check(name: str, value: Column, good: Column, bad: str = "warn") -> Column:
+    return F.struct(F.lit(name).alias("check"), F.round(value.cast("double"), 6).alias("value"), F.when(good, "pass").otherwise(bad).alias("status"))
+
+
+def _share(condition: Column) -> Column:
+    return F.coalesce(F.avg(F.when(condition, 1.0).otherwise(0.0)), F.lit(0.0))
+
+
+def common_checks(links: DataFrame, pieces: DataFrame) -> list[DataFrame]:
+    """What every layer is checked for: links (from_node, to_node, length_m, free_s, straight_m), pieces (node, component) of its strong components."""
+    positive = (F.col("length_m") > 0) & (F.col("free_s") > 0) & (F.col("free_s") < float("inf"))
+    short = _share(F.col("length_m") / F.col("straight_m") < 0.99)
+    n = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    return [
+        pieces.agg(F.countDistinct("component").alias("v")).select(_check("strongly connected", F.col("v"), F.col("v") <= 1, "fail").alias("x")),
+        links.agg(n(F.col("from_node") == F.col("to_node")).alias("a"), n(~F.coalesce(positive, F.lit(False))).alias("b")).select(F.explode(F.array(_check("no self-loops", F.col("a"), F.col("a") == 0, "fail"), _check("lengths and times positive", F.col("b"), F.col("b") == 0, "fail"))).alias("x")),
+        links.filter("straight_m > 5").agg(short.alias("v")).select(_check("length not below the straight line", F.col("v"), F.col("v") < 0.005).alias("x")),
+    ]
+
+
+def audit(links: DataFrame, pieces: DataFrame, merge_m: float = 25.0) -> DataFrame:
+    """(layer, check, value, status) of a road network's drivable links (from_node, to_node, length_m, free_s, straight_m, class, lanes, capacity, signalised).
+
+    value is the number or share found (of odd classes: how many), status pass, warn or fail. A link that a signal stops is signalised; its node has the signal.
+    """
+    pairs = links.groupBy("from_node", "to_node").agg(F.count("*").alias("n"))
+    parallel = pairs.agg(((F.sum("n") - F.count("*")) / F.sum("n")).alias("v")).select(_check("parallel links", F.col("v"), F.col("v") < 0.01).alias("x"))
+    speed = F.col("length_m") * 3.6 / F.col("free_s")
+    stopped = F.col("signalised")
+    median = lambda c: F.percentile(F.when(c, speed), 0.5)
+    by_class = links.groupBy("class").agg(F.sum(F.when(~stopped, 1).otherwise(0)).alias("free"), F.count("*").alias("all"), median(~stopped).alias("own"), median(F.lit(True)).alias("any"))
+    by_class = by_class.select(F.regexp_replace("class", "_link$", "").alias("base"), F.when(F.col("free") >= 20, F.col("own")).otherwise(F.col("any")).alias("km_h"), "all").filter("all >= 20")
+    odd = F.lit(False)
+    for name, (low, high) in CLASS_SPEEDS.items():
+        odd = odd | ((F.col("base") == name) & ~F.col("km_h").between(low, high))
+    speeds = by_class.agg(F.coalesce(F.sum(F.when(odd, 1).otherwise(0)), F.lit(0)).alias("v")).select(_check("speeds plausible by class", F.col("v"), F.col("v") == 0).alias("x"))
+    per_lane = F.col("capacity") / F.greatest("lanes", F.lit(1))
+    plain = links.agg(_share(F.col("length_m") < 5).alias("short"), _share((per_lane < 500) | (per_lane > 2400)).alias("lane"), F.sum(F.when(F.col("lanes") > 6, 1).otherwise(0)).alias("wide"))
+    plain = plain.select(F.explode(F.array(_check("very short links", F.col("short"), F.col("short") < 0.03), _check("capacity per lane plausible", F.col("lane"), F.col("lane") < 0.02), _check("lanes per direction", F.col("wide"), F.col("wide") == 0))).alias("x"))
+    ends = links.select(F.col("from_node").alias("node"), F.col("to_node").alias("other"), F.lit(1).alias("out"), F.lit(False).alias("stopped"), "length_m")
+    ends = ends.unionByName(links.select(F.col("to_node").alias("node"), F.col("from_node").alias("other"), F.lit(0).alias("out"), stopped.alias("stopped"), "length_m"))
+    node = ends.groupBy("node").agg(F.sum("out").alias("outs"), F.sum(1 - F.col("out")).alias("ins"), F.min("other").alias("lo"), F.max("other").alias("hi"), F.sum(F.when(F.col("stopped"), 1).otherwise(0)).alias("held"))
+    # streets at a node: pairs of nodes, a loop counting at both its ends
+    streets = links.select(F.least("from_node", "to_node").alias("a"), F.greatest("from_node", "to_node").alias("b"), "length_m").groupBy("a", "b").agg(F.min("length_m").alias("length_m"))
+    at = streets.select(F.col("a").alias("node"), F.col("b").alias("other"), "length_m").unionByName(streets.select(F.col("b").alias("node"), F.col("a").alias("other"), "length_m"))
+    degree = at.groupBy("node").agg(F.count("*").alias("degree"))
+    junctions = degree.filter("degree >= 3").select(F.col("node").alias("other"))
+    near = at.filter(F.col("length_m") <= merge_m).join(junctions, "other", "left_semi").select("node").distinct()
+    dead = node.agg(_share((F.col("ins") == 1) & (F.col("outs") == 1) & (F.col("lo") == F.col("hi"))).alias("v")).select(_check("dead ends", F.col("v"), F.col("v") < 0.25).alias("x"))
+    lines = node.filter("held > 0 and ins >= 2").join(degree.filter("degree = 2"), "node", "left_semi").join(near, "node", "left_semi")
+    signals = lines.agg(_share(F.col("held") == F.col("ins")).alias("v")).select(_check("stop lines stop one direction", F.col("v"), F.col("v") < 0.1).alias("x"))
+    return _rows("road", [*common_checks(links, pieces), plain, parallel, speeds, dead, signals])
+
+
+def audit_layer(links: DataFrame, pieces: DataFrame, layer: str) -> DataFrame:
+    """As audit, of a bike or walk layer (from_node, to_node, length_m, free_s, straight_m, km_h, class)."""
+    low, high = LAYER_SPEEDS[layer]
+    speed = links.filter("class <> 'ferry'").agg(F.percentile("km_h", 0.5).alias("v")).filter("v is not null").select(_check("speed plausible", F.col("v"), F.col("v").between(low, high)).alias("x"))
+    return _rows(layer, [*common_checks(links, pieces), speed])
+
+
+def _rows(layer: str, checks: list[DataFrame]) -> DataFrame:
+    out = checks[0]
+    for own in checks[1:]:
+        out = out.unionByName(own)
+    return out.select(F.lit(layer).alias("layer"), "x.*")
 
 
 def class_medians(links: DataFrame) -> DataFrame:
@@ -161,13 +231,31 @@ def distances(links: DataFrame, origins: DataFrame, cost: str, bound: int) -> Da
             return best
 
 
-def shortest_routes(links: DataFrame, pairs: DataFrame, cost: str) -> DataFrame:
+def relaxed_routes(links: DataFrame, pairs: DataFrame) -> DataFrame:
+    """As shortest_routes, of links (link, from_node, to_node, c), by turns of joins that carry each route: neither the network nor a tree is held in one place."""
+    steps = links.select(F.col("from_node").alias("node"), F.col("to_node").alias("next"), "link", "c")
+    blank = F.array().cast("array<long>")
+    best = kept(pairs.select("origin").distinct().select("origin", F.col("origin").alias("node"), F.struct(F.lit(0.0).alias("cost"), F.lit(0).alias("n"), blank.alias("links")).alias("r")))
+    fresh = best
+    while not fresh.isEmpty():
+        tried = fresh.join(steps, "node").select("origin", F.col("next").alias("node"), F.struct((F.col("r.cost") + F.col("c")).alias("cost"), (F.col("r.n") + 1).alias("n"), F.concat("r.links", F.array("link")).alias("links")).alias("r"))
+        merged = best.withColumn("new", F.lit(0)).unionByName(tried.withColumn("new", F.lit(1))).groupBy("origin", "node").agg(F.min(F.struct("r", "new")).alias("x"))
+        both = kept(merged.select("origin", "node", "x.r", "x.new"))
+        best, fresh = both.select("origin", "node", "r"), both.filter("new = 1").select("origin", "node", "r")
+    asked = pairs.select("origin", "destination").distinct()
+    return asked.join(best.withColumnRenamed("node", "destination"), ["origin", "destination"]).select("origin", "destination", "r.cost", "r.links")
+
+
+def shortest_routes(links: DataFrame, pairs: DataFrame, cost: str, most: int = 2_000_000) -> DataFrame:
     """(origin, destination, cost, links) by one search tree per origin, in the partition of the origin.
 
-    The network is broadcast as arrays: it is one city's, of a size known beforehand; the pairs are what grows. Ties go to
-    the route with fewer links, then to the smaller link at the last difference.
+    The network is broadcast as arrays if it has at most `most` links; a larger one is searched by joins. Ties go to
+    the route with fewer links.
     """
-    arrays = links.select("link", "from_node", "to_node", F.col(cost).cast("double").alias("c")).toPandas()
+    columns = ["link", "from_node", "to_node", F.col(cost).cast("double").alias("c")]
+    if links.limit(most + 1).count() > most:
+        return relaxed_routes(links.select(*columns), pairs)
+    arrays = links.select(*columns).toPandas()
     shared = links.sparkSession.sparkContext.broadcast(arrays)
 
     def search(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -227,14 +315,12 @@ def grid(spark: SparkSession, n: int, block_m: int) -> DataFrame:
     return to.select(F.col("id").alias("from_node"), (F.col("id") + F.col("w.dx") + n * F.col("w.dy")).alias("to_node"), F.lit(block_m).cast("long").alias("length_m"))
 
 
-def nearest_node(points: DataFrame, nodes: DataFrame, cell: int, widen: bool = True) -> DataFrame:
+def nearest_node(points: DataFrame, nodes: DataFrame, cell: int) -> DataFrame:
     """The nearest node, the least id of a tie; null only for a point without a place or if there is no node.
 
     A turn looks at the point's cell and the eight around it. What it finds is nearest of all if it is no farther than a cell; points that
-    are not settled so take another turn with cells of twice the width, until nine cells hold everything. Without `widen` there is one turn.
+    are not settled so take another turn with cells of twice the width, until nine cells hold everything.
     """
-    if not widen:
-        return points.select("point").join(_nearest_around(points, nodes, cell), "point", "left").select("point", "b.node", "b.d2")
     span = points.select("x", "y").union(nodes.select("x", "y")).agg(F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))).first()[0]
     left, found = points.select("point", "x", "y").filter("x is not null and y is not null"), None
     while True:

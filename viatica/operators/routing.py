@@ -10,6 +10,7 @@ import heapq
 import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,6 +24,7 @@ class Net:
     def __init__(self, table: pd.DataFrame):
         self.out: dict[int, list[tuple[int, int]]] = {}
         self.cost: dict[int, float] = {}
+        self.bias: dict[int, float] = dict(zip(table["link"].tolist(), table["bias"].tolist(), strict=True)) if "bias" in table else {}
         for link, a, b, c in zip(table["link"], table["from_node"], table["to_node"], table["cost"], strict=True):
             self.out.setdefault(int(a), []).append((int(link), int(b)))
             self.cost[int(link)] = float(c)
@@ -73,36 +75,59 @@ def by_penalty(net: Net, o: int, d: int, most: int = 5, detour: float = 1.3, ove
     return sorted(found, key=lambda r: (r[0], len(r[1]), r[1]))
 
 
-def by_draws(net: Net, o: int, d: int, draws: int = 16, sigma: float = 0.5, detour: float = 2.0, most: int = 10, seed: int = 0) -> list[tuple[float, list[int]]]:
-    """Shortest routes under seeded noise on the links' costs (log-normal), the different ones within the detour limit."""
+def by_draws(net: Net, o: int, d: int, draws: int = 16, sigma: float = 4.0, detour: float = 2.0, overlap: float = 0.9, most: int = 10, seed: int = 0) -> list[tuple[float, list[int]]]:
+    """Shortest routes when links' costs are raised by up to sigma times themselves, by a seeded draw times the link's bias (0 to 1, its propensity to congest; 1 if the network has none).
+
+    The shortest route comes first. A route stays if it is new, costs no more than `detour` times the best and shares no more than `overlap` of its cost with any that stayed before it.
+    """
     best = net.search(o, d, lambda link, _at: net.cost[link])
     if best is None:
         return []
-    found = {tuple(best[1]): best[0]}
+    found = [(sum(net.cost[x] for x in best[1]), best[1])]
     for n in range(draws):
-        noise: dict[int, float] = {}
+        if len(found) >= most:
+            break
+        raised: dict[int, float] = {}
 
-        def cost(link: int, _at: float, noise: dict[int, float] = noise, n: int = n) -> float:
-            if link not in noise:
-                u, v = _draw(seed, o, d, n, link, 0), _draw(seed, o, d, n, link, 1)
-                noise[link] = math.exp(sigma * math.sqrt(-2 * math.log(u)) * math.cos(2 * math.pi * v))
-            return net.cost[link] * noise[link]
+        def cost(link: int, _at: float, raised: dict[int, float] = raised, n: int = n) -> float:
+            if link not in raised:
+                raised[link] = net.cost[link] * (1 + sigma * _draw(seed, o, d, n, link) * net.bias.get(link, 0.0 if net.bias else 1.0))
+            return raised[link]
 
-        hit = net.search(o, d, cost)
-        if hit:
-            true = sum(net.cost[x] for x in hit[1])
-            if true <= detour * best[0]:
-                found[tuple(hit[1])] = true
-    return sorted(((c, list(r)) for r, c in found.items()), key=lambda r: (r[0], len(r[1]), r[1]))[:most]
+        links = (net.search(o, d, cost) or best)[1]
+        true = sum(net.cost[x] for x in links)
+        alike = max(sum(net.cost[x] for x in set(links) & set(other)) / max(true, 1e-9) for _, other in found)
+        if true <= detour * found[0][0] and alike <= overlap and all(links != other for _, other in found):
+            found.append((true, links))
+    return sorted(found, key=lambda r: (r[0], len(r[1]), r[1]))
 
 
 METHODS = {"link_penalty": by_penalty, "simulation": by_draws, "shortest": lambda net, o, d, **_: [x for x in [net.search(o, d, lambda link, _at: net.cost[link])] if x]}
 
 
-def route_sets(links: DataFrame, pairs: DataFrame, cost: str, method: str = "link_penalty", **options) -> DataFrame:
-    """(origin, destination, route, cost, links) by one of METHODS, routes numbered from the best."""
+#: A network of at most so many links is searched in memory and broadcast (some 100 MB); a larger one is searched by joins.
+MOST_LINKS = 2_000_000
+
+
+def small_network(links: DataFrame, *columns, most: int = MOST_LINKS) -> pd.DataFrame | None:
+    """These columns of the links, if there are few enough to broadcast."""
+    return links.select(*columns).toPandas() if links.limit(most + 1).count() <= most else None
+
+
+def route_sets(links: DataFrame, pairs: DataFrame, cost: str, method: str = "link_penalty", bias: DataFrame | None = None, **options) -> DataFrame:
+    """(origin, destination, route, cost, links) by one of METHODS, routes numbered from the best. bias: (link, propensity), for `simulation`.
+
+    Search kernels need the network in memory; one beyond MOST_LINKS is refused, but for `shortest`, which has `network.shortest_routes`.
+    """
     build = METHODS[method]
-    shared = links.sparkSession.sparkContext.broadcast(links.select("link", "from_node", "to_node", F.col(cost).cast("double").alias("cost")).toPandas())
+    rows, columns = links, ["link", "from_node", "to_node", F.col(cost).cast("double").alias("cost")]
+    if bias is not None:
+        rows = links.join(bias, "link", "left")
+        columns.append(F.coalesce("propensity", F.lit(0.0)).alias("bias"))
+    table = small_network(rows, *columns)
+    if table is None:
+        raise ValueError(f"the network has more than {MOST_LINKS} links: build route sets by region, or use shortest_routes")
+    shared = links.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         net = Net(shared.value)
@@ -113,18 +138,36 @@ def route_sets(links: DataFrame, pairs: DataFrame, cost: str, method: str = "lin
     return pairs.select("origin", "destination").distinct().repartition("origin").mapInPandas(run, "origin long, destination long, route long, cost double, links array<long>")
 
 
-def fastest_at(links: DataFrame, times: DataFrame, asks: DataFrame, width: int) -> DataFrame:
-    """(ask, arrive_s, links): the fastest route of asks (ask, origin, destination, depart_s) with link times by bin of entry; free flow where a bin has none."""
+def fastest_at(links: DataFrame, times: DataFrame, asks: DataFrame, width: int, most_bins: int = 50_000_000) -> DataFrame:
+    """(ask, arrive_s, links): the fastest route of asks (ask, origin, destination, depart_s) with link times by bin of entry; free flow where a bin has none.
+
+    Times are broadcast as one matrix of links and bins, of at most `most_bins` numbers; a larger network or day is refused.
+    """
     spark = links.sparkSession
-    net_ = spark.sparkContext.broadcast(links.select("link", "from_node", "to_node", F.col("free_s").cast("double").alias("cost")).toPandas())
-    table = spark.sparkContext.broadcast({(int(r.link), int(r.bin)): float(r.seconds) for r in times.select("link", "bin", "seconds").toLocalIterator()})  # links x bins of one day
+    table = small_network(links, "link", "from_node", "to_node", F.col("free_s").cast("double").alias("cost"))
+    span = times.agg(F.min("bin"), F.max("bin")).first()
+    first, last = (int(x) if x is not None else 0 for x in span)
+    if table is None or len(table) * (last - first + 1) > most_bins:
+        raise ValueError("the network's link times are too many to broadcast: search it by region or by part of the day")
+    place = {int(x): n for n, x in enumerate(table["link"])}
+    matrix = np.repeat(table["cost"].to_numpy(np.float64)[:, None], last - first + 1, 1)
+    known = times.select("link", "bin", F.col("seconds").cast("double").alias("seconds")).toPandas()
+    known = known[known["link"].isin(place.keys())]
+    matrix[known["link"].map(place).to_numpy(np.int64), known["bin"].to_numpy(np.int64) - first] = known["seconds"].to_numpy()
+    shared = spark.sparkContext.broadcast((table, place, matrix, first))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        net, at_bin = Net(net_.value), table.value
+        own, row, at_bin, start = shared.value
+        net, bins = Net(own), at_bin.shape[1]
+
+        def seconds(link: int, at: float) -> float:
+            n = int(at // width) - start
+            return float(at_bin[row[link], n]) if 0 <= n < bins else net.cost[link]
+
         for rows in batches:
             out = []
             for r in rows.itertuples():
-                hit = net.search(int(r.origin), int(r.destination), lambda link, at: at_bin.get((link, int(at // width)), net.cost[link]), float(r.depart_s))
+                hit = net.search(int(r.origin), int(r.destination), seconds, float(r.depart_s))
                 if hit:
                     out.append((r.ask, hit[0], hit[1]))
             yield pd.DataFrame(out, columns=["ask", "arrive_s", "links"])
@@ -132,14 +175,29 @@ def fastest_at(links: DataFrame, times: DataFrame, asks: DataFrame, width: int)
     return asks.select("ask", "origin", "destination", "depart_s").mapInPandas(run, "ask long, arrive_s double, links array<long>")
 
 
-def choose_with(alternatives: DataFrame, model: Callable[[pd.DataFrame], pd.Series], batches: int = 64) -> DataFrame:
-    """A user's model over whole situations: model gets a frame of many situations sorted by situation and alternative, and returns which rows are chosen."""
+def choose_with(alternatives: DataFrame, model: Callable[[pd.DataFrame], pd.Series], most: int = 32_768) -> DataFrame:
+    """A user's model over whole situations: model gets a frame of up to `most` situations sorted by situation and alternative, and returns which rows are chosen."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["situation", "alternative"], ignore_index=True)
+    def picked(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.reset_index(drop=True)
         return rows.loc[model(rows).astype(bool).to_numpy(), ["situation", "alternative"]]
 
-    return alternatives.groupBy(F.pmod(F.xxhash64("situation"), F.lit(batches))).applyInPandas(run, "situation long, alternative long")
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        count = 0
+        for frame in frames:
+            held.append(frame)
+            count += frame["situation"].nunique()
+            if count > most:  # the last situation may go on in the next frame
+                rows = pd.concat(held, ignore_index=True)
+                new = rows["situation"].ne(rows["situation"].shift()).cumsum()
+                for start in range(1, int(new.iloc[-1]), most):
+                    yield picked(rows[(new >= start) & (new < min(start + most, int(new.iloc[-1])))])
+                held, count = [rows[new == new.iloc[-1]]], 1
+        if held:
+            yield picked(pd.concat(held, ignore_index=True))
+
+    return alternatives.repartition("situation").sortWithinPartitions("situation", "alternative").mapInPandas(run, "situation long, alternative long")
 
 
 def equilibrium(routes: DataFrame, links: DataFrame, people: DataFrame, turns: int, beta: float, tolerance: float = 0.0) -> tuple[DataFrame, list[tuple[int, float]]]:

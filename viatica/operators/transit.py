@@ -8,7 +8,24 @@ from pyspark.sql import functions as F
 from viatica.functions.lineage import kept
 
 # First and last route_type of each kind.
-KIND_RANGES = [("tram", 0, 0), ("metro", 1, 1), ("rail", 2, 2), ("bus", 3, 3), ("ferry", 4, 4), ("rail", 100, 199), ("bus", 200, 299), ("metro", 400, 499), ("bus", 700, 799), ("tram", 900, 999), ("ferry", 1000, 1099)]
+KIND_RANGES = [
+    ("tram", 0, 0),
+    ("metro", 1, 1),
+    ("rail", 2, 2),
+    ("bus", 3, 3),
+    ("ferry", 4, 4),
+    ("tram", 5, 5),
+    ("bus", 11, 11),
+    ("metro", 12, 12),
+    ("rail", 100, 199),
+    ("bus", 200, 299),
+    ("rail", 300, 399),
+    ("metro", 400, 699),
+    ("bus", 700, 899),
+    ("tram", 900, 999),
+    ("ferry", 1000, 1099),
+    ("ferry", 1200, 1299),
+]
 
 
 def seconds_of(text: Column) -> Column:
@@ -72,14 +89,25 @@ def active(services: DataFrame, exceptions: DataFrame, dates: DataFrame) -> Data
     return by_day.join(removed, ["date", "service"], "left_anti").unionByName(added).distinct()
 
 
-def next_runs(asks: DataFrame, calls: DataFrame) -> DataFrame:
-    """For each ask (ask, stop, at_s): the first departure no earlier, by line. An as-of join by one sort: asks and departures of a stop and line in time order, and the next departure read off."""
+def next_runs(asks: DataFrame, calls: DataFrame, slot_s: int = 3600) -> DataFrame:
+    """For each ask (ask, stop, at_s): the first departure no earlier, by line; the least run of a tie.
+
+    An as-of join by one sort: asks and departures of a stop, line and hour from the latest to the earliest, and the last departure
+    passed read off. Each hour also has the first departure after it, so a busy stop is split by hours.
+    """
     lines = calls.select("stop", "line").distinct()
-    left = asks.join(lines, "stop").select("stop", "line", F.col("at_s").alias("t"), F.lit(0).alias("kind"), "ask", F.lit(None).cast("long").alias("run"))
-    right = calls.select("stop", "line", F.col("depart_s").alias("t"), F.lit(1).alias("kind"), F.lit(None).alias("ask"), "run")
-    order = Window.partitionBy("stop", "line").orderBy("t", "kind").rowsBetween(0, Window.unboundedFollowing)
-    nxt = F.first(F.when(F.col("kind") == 1, F.struct(F.col("t").alias("depart_s"), F.col("run"))), ignorenulls=True).over(order)
-    return left.unionByName(right).withColumn("x", nxt).filter("kind = 0").select("ask", "stop", "line", "x.depart_s", "x.run")
+    slot = F.floor(F.col("t") / slot_s).alias("slot")
+    dep = F.struct(F.col("t").alias("depart_s"), F.col("run"))
+    left = asks.join(lines, "stop").select("stop", "line", F.col("at_s").alias("t"), F.lit(0).alias("kind"), "ask", F.lit(None).cast("long").alias("run")).select("*", slot)
+    right = calls.select("stop", "line", F.col("depart_s").alias("t"), F.lit(1).alias("kind"), F.lit(None).alias("ask"), "run").select("*", slot)
+    first = right.groupBy("stop", "line", "slot").agg(F.min(dep).alias("dep"))
+    slots = left.select("stop", "line", "slot").distinct().join(first, ["stop", "line", "slot"], "full_outer")
+    later = Window.partitionBy("stop", "line").orderBy(F.desc("slot")).rowsBetween(Window.unboundedPreceding, -1)
+    after = slots.withColumn("dep", F.last("dep", ignorenulls=True).over(later)).filter("dep is not null")
+    after = after.select("stop", "line", F.col("dep.depart_s").alias("t"), F.lit(1).alias("kind"), F.lit(None).alias("ask"), "dep.run", "slot")
+    down = Window.partitionBy("stop", "line", "slot").orderBy(F.desc("t"), F.desc("kind"), F.desc("run")).rowsBetween(Window.unboundedPreceding, 0)
+    nxt = F.last(F.when(F.col("kind") == 1, dep), ignorenulls=True).over(down)
+    return left.unionByName(right).unionByName(after).withColumn("x", nxt).filter("kind = 0").select("ask", "stop", "line", "x.depart_s", "x.run")
 
 
 def loads(calls: DataFrame, moves: DataFrame) -> DataFrame:
@@ -118,13 +146,27 @@ def pareto(journeys: DataFrame) -> DataFrame:
 
 
 def arrivals(asks: DataFrame, calls: DataFrame, walks: DataFrame, rides: int, slack_s: int) -> DataFrame:
-    """Earliest arrivals at stops with at most so many rides: RAPTOR's rounds as joins.
+    """Earliest arrivals at stops with at most so many rides: RAPTOR's rounds as joins."""
+    return _rounds(asks, calls, walks, rides, slack_s)[-1]
+
+
+def rounds(asks: DataFrame, calls: DataFrame, walks: DataFrame, rides: int, slack_s: int) -> DataFrame:
+    """(ask, stop, t, rides): what each round improves, one row a stop and number of rides that gets there earlier than with fewer. asks (ask, stop, at_s) may have several stops."""
+    found = _rounds(asks, calls, walks, rides, slack_s)
+    out = found[0]
+    for n, both in enumerate(found[1:], 1):
+        out = out.unionByName(both.filter(F.col("rides") == n))
+    return out
 
-    Each round takes, for every stop reached and line, the first run that can be caught (as-of), follows it to its later
+
+def _rounds(asks: DataFrame, calls: DataFrame, walks: DataFrame, rides: int, slack_s: int) -> list[DataFrame]:
+    """After no ride, one, and so on: (ask, stop, t, rides), the earliest time at each stop reached.
+
+    Each round takes, for every stop reached in the one before and line, the first run that can be caught (as-of), follows it to its later
     stops, walks on, and keeps each stop's earliest time.
     """
-    best = asks.select("ask", "stop", F.col("at_s").alias("t"), F.lit(0).alias("rides"))
-    fresh = best
+    best = asks.groupBy("ask", "stop").agg(F.min("at_s").alias("t")).withColumn("rides", F.lit(0))
+    fresh, out = best, [best]
     for n in range(1, rides + 1):
         at = (F.col("t") + (slack_s if n > 1 else 0)).alias("at_s")
         ready = fresh.select(F.concat_ws(":", "ask", "stop").alias("id"), "ask", "stop", at)
@@ -133,6 +175,51 @@ def arrivals(asks: DataFrame, calls: DataFrame, walks: DataFrame, rides: int, sl
         off = on.select("ask", "run", "from_pos").join(calls.select("run", F.col("stop").alias("to"), "pos", "arrive_s"), "run").filter("pos > from_pos").groupBy("ask", F.col("to").alias("stop")).agg(F.min("arrive_s").alias("t"))
         walked = off.join(walks.select(F.col("a").alias("stop"), "b", "walk_s"), "stop").select("ask", F.col("b").alias("stop"), (F.col("t") + F.col("walk_s")).alias("t"))
         new = off.unionByName(walked).groupBy("ask", "stop").agg(F.min("t").alias("t")).withColumn("rides", F.lit(n))
-        both = kept(best.unionByName(new).groupBy("ask", "stop").agg(F.min(F.struct("t", "rides")).alias("x")).select("ask", "stop", "x.t", "x.rides"))
-        best, fresh = both, both.filter(F.col("rides") == n)
-    return best
+        best = kept(best.unionByName(new).groupBy("ask", "stop").agg(F.min(F.struct("t", "rides")).alias("x")).select("ask", "stop", "x.t", "x.rides"))
+        fresh = best.filter(F.col("rides") == n)
+        out.append(best)
+    return out
+
+
+def ride_line(asks: DataFrame, calls: DataFrame, slack_s: int) -> DataFrame:
+    """For each ask (ask, line, board, alight, at_s), to ride a line again: the first run that can be caught and its arrival, (ask, run, depart_s, arrive_s)."""
+    boards = next_runs(asks.select("ask", F.col("board").alias("stop"), (F.col("at_s") + slack_s).alias("at_s")), calls)
+    own = asks.select("ask", "line", "board", "alight").join(boards.filter("run is not null"), ["ask", "line"])
+    on = own.join(calls.select("run", F.col("stop").alias("board"), F.col("pos").alias("from_pos")), ["run", "board"])
+    off = on.join(calls.select("run", F.col("stop").alias("alight"), "pos", "arrive_s"), ["run", "alight"]).filter("pos > from_pos")
+    return off.groupBy("ask").agg(F.min(F.struct("arrive_s", "run", "depart_s")).alias("x")).select("ask", "x.run", "x.depart_s", "x.arrive_s")
+
+
+def stops_within(points: DataFrame, stops: DataFrame, most_m: int, metres_per_minute: int = 80) -> DataFrame:
+    """Access or egress: (point, stop, walk_s) of the stops within a walk of points (point, x, y), by grid cells of that size."""
+    both = footpaths(points.select(F.concat(F.lit("p"), F.col("point").cast("string")).alias("stop"), "x", "y").unionByName(stops.select(F.concat(F.lit("s"), F.col("stop").cast("string")).alias("stop"), "x", "y")), most_m)
+    near = both.filter(F.col("a").startswith("p") & F.col("b").startswith("s"))
+    walk = F.ceil(F.sqrt("d2") * 60 / metres_per_minute).cast("long")
+    return near.select(F.substring("a", 2, 20).cast("long").alias("point"), F.substring("b", 2, 20).cast("long").alias("stop"), walk.alias("walk_s"))
+
+
+def disrupted(runs: DataFrame, disruptions: DataFrame) -> DataFrame:
+    """What becomes of runs (run, line, first departure start_s) under disruptions (line, from_s, to_s, delay_s, null for a cancellation): (run, cancelled, delay_s). A cancellation wins, delays add up."""
+    hit = runs.join(disruptions, "line").filter((F.col("start_s") >= F.col("from_s")) & (F.col("start_s") < F.col("to_s")))
+    return hit.groupBy("run").agg(F.max(F.col("delay_s").isNull()).alias("cancelled"), F.sum("delay_s").alias("d")).select("run", "cancelled", F.when(~F.col("cancelled"), F.col("d")).alias("delay_s"))
+
+
+def with_disruptions(calls: DataFrame, effects: DataFrame) -> DataFrame:
+    """calls without cancelled runs, and with delayed ones shifted."""
+    rows = calls.join(effects, "run", "left").filter("cancelled is null or not cancelled")
+    late = F.coalesce("delay_s", F.lit(0))
+    return rows.select("line", "run", "stop", "pos", (F.col("arrive_s") + late).alias("arrive_s"), (F.col("depart_s") + late).alias("depart_s"))
+
+
+def bus_summary(calls: DataFrame, arrivals_: DataFrame) -> DataFrame:
+    """Runs on roads, those that arrived, and the mean delay at the last call: arrivals_ (run, pos, arrived_s) has null where a run did not get."""
+    last = calls.groupBy("run").agg(F.max(F.struct("pos", "arrive_s")).alias("x")).select("run", "x.pos", F.col("x.arrive_s").alias("planned_s"))
+    rows = last.join(arrivals_, ["run", "pos"], "left")
+    return rows.agg(F.count("*").alias("runs_on_roads"), F.count("arrived_s").alias("runs_arrived"), F.round(F.avg(F.col("arrived_s") - F.col("planned_s")), 6).alias("delay_mean_s"))
+
+
+def line_patterns(calls: DataFrame) -> DataFrame:
+    """The different stop sequences of each line, and how many runs have them."""
+    runs = calls.groupBy("line", "run").agg(F.sort_array(F.collect_list(F.struct("pos", "stop"))).alias("x"))
+    text = F.array_join(F.transform("x", lambda c: c["stop"].cast("string")), " ")
+    return runs.groupBy("line", text.alias("stops")).agg(F.count("*").alias("runs"))

@@ -96,13 +96,13 @@ def route_sets_revised(routes):
     return op.revised_sets(all_, all_.filter("(pair + route) % 3 = 0"))
 
 
-DISRUPTED = """WITH d AS (SELECT l_partkey % 80 AS link, 27000 + l_orderkey % 3600 AS f, 27000 + l_orderkey % 3600 + 1800 AS t, 50 + l_suppkey % 50 AS p FROM lineitem WHERE l_orderkey % 97 = 0), b AS (SELECT link, range AS bin FROM v_links, range(30, 40))
+DISRUPTED = """WITH d AS (SELECT l_partkey % 80 AS link, 27000 + l_orderkey % 3600 AS f, 27000 + l_orderkey % 3600 + 1800 AS t, 99 + l_suppkey % 2 AS p FROM lineitem), b AS (SELECT link, range AS bin FROM v_links, range(30, 40))
 SELECT b.link, bin, round(exp(sum(ln(CAST(p AS DOUBLE) / 100))), 12) AS factor FROM b JOIN d ON b.link = d.link AND bin * 900 >= f AND bin * 900 < t GROUP BY 1, 2"""
 
 
 def _disruptions(lines, links):
     start = 27000 + F.col("l_orderkey") % 3600
-    d = lines.filter("l_orderkey % 97 = 0").select((F.col("l_partkey") % 80).alias("link"), start.alias("from_s"), (start + 1800).alias("to_s"), (50 + F.col("l_suppkey") % 50).alias("percent"))
+    d = lines.select((F.col("l_partkey") % 80).alias("link"), start.alias("from_s"), (start + 1800).alias("to_s"), (99 + F.col("l_suppkey") % 2).alias("percent"))
     return op.capacity_factors(d, links.select("link", F.explode(F.sequence(F.lit(30).cast("long"), F.lit(39).cast("long"))).alias("bin")), 900)
 
 
@@ -135,18 +135,12 @@ def link_seconds_at(traversals, trips):
 
 
 @query(
-    f"""WITH RECURSIVE {BINS}, tb AS (SELECT link, bin, pcu_seconds // pcu AS s FROM bins), f AS (SELECT vehicle, min(enter_s) AS d, max(pos) AS last FROM v_traversals WHERE pos < 6 GROUP BY 1),
+    f"""WITH RECURSIVE {BINS}, tb AS (SELECT link, bin, pcu_seconds // pcu AS s FROM bins), f AS (SELECT vehicle, min(enter_s) AS d, max(pos) AS last FROM v_traversals GROUP BY 1),
 x AS (SELECT f.vehicle, 0 AS n, d AS t, last FROM f UNION ALL SELECT x.vehicle, x.n + 1, x.t + coalesce(tb.s, 30), last FROM x JOIN v_traversals v ON v.vehicle = x.vehicle AND v.pos = x.n LEFT JOIN tb ON tb.link = v.link AND tb.bin = x.t // 900 WHERE x.n <= last)
 SELECT vehicle, CAST(t AS BIGINT) AS arrive_s FROM x WHERE n = last + 1""",
     "v_traversals",
 )
 def route_seconds(traversals):
-    """A clock through the first six links of each vehicle, as its SQL has it."""
-    return _clock(traversals.filter("pos < 6"), traversals)
-
-
-@query(None, "v_traversals")
-def route_seconds_whole(traversals):
     """A clock through all links of each vehicle."""
     return _clock(traversals, traversals)
 
@@ -158,17 +152,10 @@ def _clock(own, traversals):
 
 
 @query(
-    """WITH RECURSIVE w AS (SELECT s_suppkey AS link, (s_suppkey * 7 + 3) % 50 AS nxt FROM supplier WHERE s_suppkey < 50), r AS (SELECT link AS o, nxt AS at_l, 1 AS n FROM w UNION ALL SELECT o, w.nxt, n + 1 FROM r JOIN w ON w.link = at_l WHERE n < 60)
+    """WITH RECURSIVE w AS (SELECT s_suppkey AS link, (s_suppkey * 7 + 3) % (SELECT max(s_suppkey) + 1 FROM supplier) AS nxt FROM supplier), r AS (SELECT link AS o, nxt AS at_l FROM w UNION SELECT o, w.nxt FROM r JOIN w ON w.link = at_l)
 SELECT o AS link, min(at_l) AS ring FROM r WHERE o IN (SELECT o FROM r WHERE o = at_l) GROUP BY 1"""
 )
 def gridlock_cycles(spark, sf_dir):
-    """As its SQL has it: suppliers below 50 only."""
-    s = F.col("s_suppkey")
-    return op.waiting_cycles(spark.read.parquet(f"{sf_dir}/supplier.parquet").filter("s_suppkey < 50").select(s.alias("link"), ((s * 7 + 3) % 50).alias("next")))
-
-
-@query(None)
-def gridlock_cycles_whole(spark, sf_dir):
     """Of every supplier, the next one being among all of them."""
     s, supplier = F.col("s_suppkey"), spark.read.parquet(f"{sf_dir}/supplier.parquet")
     n = supplier.agg((F.max("s_suppkey") + 1).alias("n"))
@@ -176,10 +163,10 @@ def gridlock_cycles_whole(spark, sf_dir):
 
 
 @query(
-    "SELECT situation, attribute, value FROM (SELECT situation, unnest(['time_min', 'cost_eur', 'transfers']) AS attribute, unnest([time_min, CASE WHEN class = 1 THEN NULL ELSE cost_eur END, CAST(transfers AS DOUBLE)]) AS value FROM v_alternatives WHERE alternative = 0) WHERE value IS NOT NULL", "v_alternatives"
+    "SELECT situation, attribute, value FROM (SELECT situation * 100 + alternative AS situation, unnest(['time_min', 'cost_eur', 'transfers']) AS attribute, unnest([time_min, CASE WHEN class = 1 THEN NULL ELSE cost_eur END, CAST(transfers AS DOUBLE)]) AS value FROM v_alternatives) WHERE value IS NOT NULL", "v_alternatives"
 )
 def user_values_to_attributes(alternatives):
-    rows = alternatives.filter("alternative = 0").withColumn("cost_eur", F.when(F.col("class") != 1, F.col("cost_eur")))
+    rows = alternatives.withColumn("situation", F.col("situation") * 100 + F.col("alternative")).withColumn("cost_eur", F.when(F.col("class") != 1, F.col("cost_eur")))
     return op.wide_to_attributes(rows, "situation", ["time_min", "cost_eur", "transfers"])
 
 

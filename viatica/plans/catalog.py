@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from viatica.plans import assembly, choice, demand, loading, network, results, routing, scalars, transit  # noqa: F401  each module registers its queries
+from viatica.plans import assembly, choice, demand, loading, network, planning, results, routing, scalars, transit  # noqa: F401  each module registers its queries
 from viatica.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

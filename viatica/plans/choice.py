@@ -193,8 +193,8 @@ def _reports(spark, sf_dir):
 
 
 @query(
-    f"""WITH {REPORTS}, g AS (SELECT *, CASE WHEN lag(gap) OVER w IS NULL THEN 1e0 WHEN gap > lag(gap) OVER w THEN 15e-1 ELSE 2e-1 END AS g FROM r WINDOW w AS (PARTITION BY run ORDER BY iteration)),
-e AS (SELECT run, iteration, gap, round(sum(g) OVER (PARTITION BY run ORDER BY iteration), 6) AS eta FROM g) SELECT run, iteration, gap, eta, round(1 / eta, 6) AS step FROM e"""
+    f"""WITH {REPORTS}, k AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY iteration) - 1 AS k FROM r), c AS (SELECT a.run, a.k, CASE WHEN a.gap < b.gap THEN 2e-1 ELSE 15e-1 END AS g FROM k a JOIN k b ON b.run = a.run AND b.k = a.k - 1),
+e AS (SELECT k.run, k.iteration, k.gap, round(CASE WHEN k.k = 0 THEN 1e0 WHEN k.k = 1 THEN 2e0 ELSE 35e-1 + coalesce((SELECT sum(g) FROM c WHERE c.run = k.run AND c.k <= k.k - 2), 0) END, 6) AS eta FROM k) SELECT run, iteration, gap, eta, round(1 / eta, 6) AS step FROM e"""
 )
 def self_regulated_averaging(spark, sf_dir):
     return op.self_regulated_steps(_reports(spark, sf_dir))

@@ -139,17 +139,8 @@ def od_integerise(od):
     return op.integerise(od.withColumnRenamed("sevenths", "parts"), 7, 9)
 
 
-@query(
-    f"WITH {INTEGER_OD} SELECT o, d, x AS i, 25200 + CAST(('0x' || substr(md5('9:' || o || ':' || d || ':' || x), 1, 8)) AS BIGINT) % 7200 AS departure_s FROM (SELECT o, d, unnest(generate_series(1, n)) AS x FROM i WHERE o < 5)", "v_od"
-)
+@query(f"WITH {INTEGER_OD} SELECT o, d, x AS i, 25200 + CAST(('0x' || substr(md5('9:' || o || ':' || d || ':' || x), 1, 8)) AS BIGINT) % 7200 AS departure_s FROM (SELECT o, d, unnest(generate_series(1, n)) AS x FROM i)", "v_od")
 def demand_from_od(od):
-    """As its SQL has it: from the first five zones."""
-    return op.trips_of(op.integerise(od.withColumnRenamed("sevenths", "parts"), 7, 9).filter("o < 5"), 25200, 7200, 9)
-
-
-@query(None, "v_od")
-def demand_from_od_whole(od):
-    """From every zone."""
     return op.trips_of(op.integerise(od.withColumnRenamed("sevenths", "parts"), 7, 9), 25200, 7200, 9)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from viatica.operators import network as op
+from viatica.operators.assembly import strong_components
 from viatica.plans.registry import query
 
 DEFAULTS = "df(class, km_h, saturation, jam) AS (VALUES " + ", ".join(f"('{c}', {v}, {s}, {j})" for c, v, _, s, j in op.CLASS_DEFAULTS) + ")"
@@ -66,15 +67,53 @@ def csr_adjacency(links):
     return op.adjacency(links).select("from_node", F.array_join(F.transform("targets", lambda x: x.cast("string")), " ").alias("targets"))
 
 
+AUDITED = f"""ad AS (SELECT l.link, from_node, to_node, length_m, round(length_m * CAST(3.6 AS DOUBLE) / km_h, 6) AS free_s, l.class, lanes, CASE WHEN signalised THEN saturation * lanes * 48e-2 ELSE saturation * lanes * 1e0 END AS capacity, signalised,
+ round(2 * 6371008.8 * asin(sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))) / 18, 3) AS straight_m FROM v_links l JOIN df ON df.class = l.class JOIN v_zones a ON a.zone = from_node JOIN v_zones b ON b.zone = to_node),
+rc AS (SELECT from_node AS a, from_node AS b FROM ad UNION SELECT rc.a, ad.to_node FROM rc JOIN ad ON ad.from_node = rc.b), pc AS (SELECT count(DISTINCT c) AS pieces FROM (SELECT x.a, min(x.b) AS c FROM rc x JOIN rc y ON x.a = y.b AND x.b = y.a GROUP BY 1)),
+cm AS (SELECT 1 AS o, 'strongly connected' AS "check", pieces * 1e0 AS value, pieces <= 1 AS ok, 'fail' AS bad FROM pc UNION ALL SELECT 2, 'no self-loops', count(*), count(*) = 0, 'fail' FROM ad WHERE from_node = to_node
+ UNION ALL SELECT 3, 'lengths and times positive', count(*), count(*) = 0, 'fail' FROM ad WHERE length_m <= 0 OR free_s <= 0 UNION ALL SELECT 4, 'length not below the straight line', avg(CASE WHEN length_m / straight_m < 99e-2 THEN 1e0 ELSE 0 END), avg(CASE WHEN length_m / straight_m < 99e-2 THEN 1e0 ELSE 0 END) < 5e-3, 'warn' FROM ad WHERE straight_m > 5)"""
+
+
+def _audited(links, zones):
+    """The links with free-flow seconds, capacities and straight lines at an eighteenth of the zones' distances."""
+    at = lambda e: zones.select(F.col("zone").alias(f"{e}_node"), F.col("lon").alias(f"{e}_lon"), F.col("lat").alias(f"{e}_lat"))
+    metres = op.haversine(F.col("from_lon"), F.col("from_lat"), F.col("to_lon"), F.col("to_lat"))
+    rows = links.join(F.broadcast(op.class_defaults(links.sparkSession)), "class").join(at("from"), "from_node").join(at("to"), "to_node")
+    capacity = F.when(F.col("signalised"), F.col("saturation") * F.col("lanes") * 0.48).otherwise(F.col("saturation") * F.col("lanes") * 1.0)
+    return rows.withColumns({"free_s": F.round(F.col("length_m") * 3.6 / F.col("km_h"), 6), "capacity": capacity, "straight_m": F.round(metres / 18, 3)})
+
+
 @query(
-    """WITH c AS (SELECT count(*) FILTER (WHERE from_node = to_node) AS a, count(*) FILTER (WHERE length_m <= 0) AS b, count(*) FILTER (WHERE length_m < 400) AS c, (SELECT coalesce(sum(n), 0) FROM (SELECT count(*) AS n FROM v_links GROUP BY from_node, to_node HAVING count(*) > 1)) AS d,
- count(*) FILTER (WHERE lanes > 6) AS e, count(*) FILTER (WHERE signalised) AS f, (SELECT count(DISTINCT to_node) FROM v_links WHERE to_node NOT IN (SELECT from_node FROM v_links)) AS g FROM v_links),
-x AS (SELECT unnest(['self_loops', 'length_not_positive', 'short_links', 'parallel_links', 'many_lanes', 'signalised', 'dead_ends']) AS "check", unnest([a, b, c, CAST(d AS BIGINT), e, f, g]) AS found FROM c)
-SELECT "check", found, CASE WHEN found = 0 THEN 'pass' WHEN "check" IN ('short_links', 'signalised', 'dead_ends') THEN 'warn' ELSE 'fail' END AS verdict FROM x""",
+    f"""WITH RECURSIVE {DEFAULTS}, {AUDITED}, st AS (SELECT least(from_node, to_node) AS a, greatest(from_node, to_node) AS b, min(length_m) AS m FROM ad GROUP BY 1, 2), en AS (SELECT a AS node, b AS other, m FROM st UNION ALL SELECT b, a, m FROM st), dg AS (SELECT node, count(*) AS d FROM en GROUP BY 1),
+nr AS (SELECT DISTINCT en.node FROM en JOIN dg ON dg.node = en.other WHERE m <= 500 AND d >= 3), nd AS (SELECT node, (SELECT count(*) FROM ad WHERE to_node = node) AS ins, (SELECT count(*) FROM ad WHERE from_node = node) AS outs, (SELECT count(*) FROM ad WHERE to_node = node AND signalised) AS held, d FROM dg),
+sp AS (SELECT replace(class, '_link', '') AS base, CASE WHEN count(*) FILTER (WHERE NOT signalised) >= 20 THEN quantile_cont(length_m * 36e-1 / free_s, 0.5) FILTER (WHERE NOT signalised) ELSE quantile_cont(length_m * 36e-1 / free_s, 0.5) END AS v FROM ad GROUP BY class HAVING count(*) >= 20),
+sr(base, lo, hi) AS (VALUES {", ".join(f"('{c}', {a}, {b})" for c, (a, b) in op.CLASS_SPEEDS.items())}), x AS (SELECT * FROM cm
+ UNION ALL SELECT 5, 'very short links', avg(CASE WHEN length_m < 5 THEN 1e0 ELSE 0 END), avg(CASE WHEN length_m < 5 THEN 1e0 ELSE 0 END) < 3e-2, 'warn' FROM ad
+ UNION ALL SELECT 6, 'capacity per lane plausible', avg(CASE WHEN capacity / lanes BETWEEN 500 AND 2400 THEN 0 ELSE 1e0 END), avg(CASE WHEN capacity / lanes BETWEEN 500 AND 2400 THEN 0 ELSE 1e0 END) < 2e-2, 'warn' FROM ad
+ UNION ALL SELECT 7, 'lanes per direction', count(*), count(*) = 0, 'warn' FROM ad WHERE lanes > 6
+ UNION ALL SELECT 8, 'parallel links', (count(*) - count(DISTINCT from_node * 1000 + to_node)) * 1e0 / count(*), (count(*) - count(DISTINCT from_node * 1000 + to_node)) * 1e0 / count(*) < 1e-2, 'warn' FROM ad
+ UNION ALL SELECT 9, 'speeds plausible by class', count(*), count(*) = 0, 'warn' FROM sp JOIN sr USING (base) WHERE v < lo OR v > hi
+ UNION ALL SELECT 10, 'dead ends', avg(CASE WHEN ins = 1 AND outs = 1 AND d = 1 THEN 1e0 ELSE 0 END), avg(CASE WHEN ins = 1 AND outs = 1 AND d = 1 THEN 1e0 ELSE 0 END) < 25e-2, 'warn' FROM nd
+ UNION ALL SELECT 11, 'stop lines stop one direction', coalesce(avg(CASE WHEN held = ins THEN 1e0 ELSE 0 END), 0), coalesce(avg(CASE WHEN held = ins THEN 1e0 ELSE 0 END), 0) < 1e-1, 'warn' FROM nd WHERE held > 0 AND ins >= 2 AND d = 2 AND node IN (SELECT node FROM nr))
+SELECT 'road' AS layer, "check", round(value, 6) AS value, CASE WHEN ok THEN 'pass' ELSE bad END AS status FROM x""",
     "v_links",
+    "v_zones",
+)
+def network_check(links, zones):
+    """A stop line is within 500 m of its junction here, the links being long."""
+    rows = _audited(links, zones)
+    return op.audit(rows, strong_components(rows), 500.0)
+
+
+@query(
+    f"""WITH RECURSIVE {DEFAULTS}, {AUDITED} SELECT 'walk' AS layer, "check", round(value, 6) AS value, CASE WHEN ok THEN 'pass' ELSE bad END AS status FROM (SELECT * FROM cm UNION ALL
+ SELECT 5, 'speed plausible', quantile_cont(3 + link % 4, 0.5), quantile_cont(3 + link % 4, 0.5) BETWEEN 25e-1 AND 7, 'warn' FROM ad WHERE class <> 'ferry')""",
+    "v_links",
+    "v_zones",
 )
-def network_check(links):
-    return op.audit(links)
+def network_check_layer(links, zones):
+    rows = _audited(links, zones).withColumn("km_h", 3 + F.col("link") % 4)
+    return op.audit_layer(rows, strong_components(rows), "walk")
 
 
 @query("SELECT class, quantile_cont(length_m, 0.5) AS median_m, CAST(count(*) AS BIGINT) AS links FROM v_links GROUP BY 1", "v_links")
@@ -105,60 +144,36 @@ def node_degrees(links):
     return op.degrees(links)
 
 
-PARTS = "FROM v_links WHERE from_node % 5 <> 2 AND to_node % 5 <> 2"
-
-
 @query(
-    f"""WITH RECURSIVE e AS (SELECT from_node AS a, to_node AS b {PARTS} UNION SELECT to_node, from_node {PARTS}), r AS (SELECT a AS node, a AS l FROM e UNION SELECT e.b, r.l FROM r JOIN e ON e.a = r.node)
+    """WITH RECURSIVE e AS (SELECT from_node AS a, to_node AS b FROM v_links UNION SELECT to_node, from_node FROM v_links), r AS (SELECT a AS node, a AS l FROM e UNION SELECT e.b, r.l FROM r JOIN e ON e.a = r.node)
 SELECT node, min(l) AS component FROM r GROUP BY 1""",
     "v_links",
 )
 def network_components(links):
-    """Of the grid without its middle column: two halves."""
-    return op.components(links.filter("from_node % 5 <> 2 and to_node % 5 <> 2"))
-
-
-@query(None, "v_links")
-def network_components_whole(links):
-    """Of all links."""
     return op.components(links)
 
 
 @query(
-    """WITH RECURSIVE r AS (SELECT zone AS origin, zone AS node, CAST(0 AS BIGINT) AS cost FROM v_zones WHERE zone % 6 = 0 UNION SELECT origin, to_node, cost + length_m FROM r JOIN v_links ON node = from_node WHERE cost + length_m <= 2500)
+    """WITH RECURSIVE r AS (SELECT zone AS origin, zone AS node, CAST(0 AS BIGINT) AS cost FROM v_zones UNION SELECT origin, to_node, cost + length_m FROM r JOIN v_links ON node = from_node WHERE cost + length_m <= 2500)
 SELECT origin, node, min(cost) AS cost FROM r GROUP BY 1, 2""",
     "v_zones",
     "v_links",
 )
 def bounded_reach(zones, links):
-    """As its SQL has it: from every sixth zone."""
-    return op.distances(links, zones.filter("zone % 6 = 0").select(F.col("zone").alias("origin")), "length_m", 2500)
-
-
-@query(None, "v_zones", "v_links")
-def bounded_reach_whole(zones, links):
     """From every zone."""
     return op.distances(links, zones.select(F.col("zone").alias("origin")), "length_m", 2500)
 
 
 @query(
-    """WITH RECURSIVE r AS (SELECT zone AS origin, zone AS node, CAST(0 AS BIGINT) AS cost FROM v_zones WHERE zone IN (0, 12) UNION SELECT origin, to_node, cost + length_m FROM r JOIN v_links ON node = from_node WHERE cost + length_m <= 4000)
-SELECT origin, node AS destination, CAST(min(cost) AS DOUBLE) AS cost FROM r WHERE node IN (6, 7, 11, 13) GROUP BY 1, 2""",
+    """WITH RECURSIVE r AS (SELECT zone AS origin, zone AS node, CAST(0 AS BIGINT) AS cost FROM v_zones UNION SELECT origin, to_node, cost + length_m FROM r JOIN v_links ON node = from_node WHERE cost + length_m <= 9000)
+SELECT origin, node AS destination, CAST(min(cost) AS DOUBLE) AS cost FROM r GROUP BY 1, 2""",
     "v_zones",
     "v_links",
 )
 def shortest_path_costs(zones, links):
-    """As its SQL has it: two origins and four destinations."""
-    o = zones.filter("zone in (0, 12)").select(F.col("zone").alias("origin"))
-    d = zones.filter("zone in (6, 7, 11, 13)").select(F.col("zone").alias("destination"))
-    return op.shortest_routes(links, o.crossJoin(F.broadcast(d)), "length_m").select("origin", "destination", "cost")  # two rows and four
-
-
-@query(None, "v_zones", "v_links")
-def shortest_path_costs_whole(zones, links):
     """From every zone to every zone."""
     d = zones.select(F.col("zone").alias("destination"))
-    return op.shortest_routes(links, zones.select(F.col("zone").alias("origin")).crossJoin(d), "length_m").select("origin", "destination", "cost")
+    return op.shortest_routes(links, zones.select(F.col("zone").alias("origin")).crossJoin(d), "length_m").select("origin", "destination", "cost")  # the pairs asked for
 
 
 @query(None, "v_links", "v_od")
@@ -174,17 +189,10 @@ def manhattan_grid(spark, sf_dir):
 
 
 @query(
-    """WITH p AS (SELECT c_custkey AS point, (c_custkey * 37) % 500 AS x, (c_custkey * 91) % 500 AS y FROM customer), n AS (SELECT s_suppkey AS node, (s_suppkey * 53) % 500 AS nx, (s_suppkey * 29) % 500 AS ny FROM supplier),
-d AS (SELECT point, node, (x - nx) * (x - nx) + (y - ny) * (y - ny) AS d2 FROM p JOIN n ON abs(x // 100 - nx // 100) <= 1 AND abs(y // 100 - ny // 100) <= 1), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY point ORDER BY d2, node) AS r FROM d) WHERE r = 1)
-SELECT p.point, node, d2 FROM p LEFT JOIN b ON p.point = b.point"""
+    """WITH p AS (SELECT c_custkey AS point, (c_custkey * 37) % 500 AS x, (c_custkey * 91) % 500 AS y FROM customer), n AS (SELECT s_suppkey AS node, (s_suppkey * 53) % 500 AS nx, (s_suppkey * 29) % 500 AS ny FROM supplier)
+SELECT point, node, d2 FROM (SELECT point, node, d2, row_number() OVER (PARTITION BY point ORDER BY d2, node) AS r FROM (SELECT point, node, (x - nx) * (x - nx) + (y - ny) * (y - ny) AS d2 FROM p, n)) WHERE r = 1"""
 )
 def snap_nearest_node(spark, sf_dir):
-    """As its SQL has it: within the nine cells around a point only."""
-    return op.nearest_node(*_points(spark, sf_dir), 100, widen=False)
-
-
-@query(None)
-def snap_nearest_node_whole(spark, sf_dir):
     """The nearest of all nodes."""
     return op.nearest_node(*_points(spark, sf_dir), 100)
 

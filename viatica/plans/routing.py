@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from viatica.operators import loading, routing
-from viatica.plans.loading import BINS
 from viatica.plans.registry import query
 
 
@@ -20,32 +19,16 @@ def route_sets_penalty(zones, links):
     return routing.route_sets(links, _pairs(zones), "length_m")
 
 
-@query(None, "v_zones", "v_links")
-def route_sets_simulation(zones, links):
-    return routing.route_sets(links, _pairs(zones), "length_m", "simulation")
-
-
-@query(
-    f"""WITH RECURSIVE {BINS}, tb AS (SELECT link, bin, CAST(pcu_seconds // pcu AS DOUBLE) AS s FROM bins), a AS (SELECT DISTINCT o_zone * 10 + d_zone AS ask, o_zone AS o, o_zone + 6 AS d, CAST(27000 + 60 * d_zone AS DOUBLE) AS t FROM v_trip_results WHERE o_zone IN (0, 6, 12) AND d_zone < 3),
-x AS (SELECT ask, o AS node, t, d, 0 AS n FROM a UNION SELECT ask, to_node, t + coalesce(tb.s, length_m // 10), d, n + 1 FROM x JOIN v_links l ON from_node = node LEFT JOIN tb ON tb.link = l.link AND tb.bin = CAST(floor(t / 900) AS BIGINT) WHERE n < 4)
-SELECT ask, min(t) AS arrive_s FROM x WHERE node = d GROUP BY 1""",
-    "v_traversals",
-    "v_links",
-    "v_trip_results",
-)
-def fastest_routes_in_time(traversals, links, trips):
-    """Over at most one diagonal step, so that SQL can list all ways of up to four links."""
-    asks = trips.filter("o_zone in (0, 6, 12) and d_zone < 3").select((F.col("o_zone") * 10 + F.col("d_zone")).alias("ask"), F.col("o_zone").alias("origin"), (F.col("o_zone") + 6).alias("destination"), (27000 + 60 * F.col("d_zone")).alias("depart_s")).distinct()
-    return _fastest(traversals, links, asks)
+@query(None, "v_zones", "v_links", "v_traversals")
+def route_sets_simulation(zones, links, traversals):
+    """Drawn where the traffic of the traversals is heavy."""
+    return routing.route_sets(links, _pairs(zones), "length_m", "simulation", loading.propensity(traversals, 900))
 
 
 @query(None, "v_traversals", "v_links", "v_trip_results")
-def fastest_routes_in_time_whole(traversals, links, trips):
+def fastest_routes_in_time(traversals, links, trips):
     """Every trip from its origin to its destination at its departure."""
-    return _fastest(traversals, links, trips.select(F.col("trip").alias("ask"), F.col("o_zone").alias("origin"), F.col("d_zone").alias("destination"), F.col("departure_s").alias("depart_s")))
-
-
-def _fastest(traversals, links, asks):
+    asks = trips.select(F.col("trip").alias("ask"), F.col("o_zone").alias("origin"), F.col("d_zone").alias("destination"), F.col("departure_s").alias("depart_s"))
     times = loading.link_bins(traversals).select("link", "bin", F.expr("pcu_seconds div pcu").cast("double").alias("seconds"))
     return routing.fastest_at(links.withColumn("free_s", F.expr("length_m div 10")), times, asks, 900).select("ask", "arrive_s")
 

@@ -44,22 +44,13 @@ def taxi_expected_tries(trips):
     return trips.select("trip", F.round(geo.expected_wait(F.col("trip") % 10 / 10), 6).alias("tries"))
 
 
-@query("SELECT situation, alternative, round(cost_eur * (60 * -12e-1 / -2e-1), 6) AS extra_s FROM v_alternatives WHERE alternative = 0", "v_alternatives")
+@query("SELECT situation, alternative, round(cost_eur * (60 * -12e-1 / -2e-1), 6) AS extra_s FROM v_alternatives", "v_alternatives")
 def generalised_extra_seconds(alternatives):
-    return alternatives.filter("alternative = 0").select("situation", "alternative", F.round(geo.extra_seconds(-1.2, -0.2, F.col("cost_eur")), 6).alias("extra_s"))
+    return alternatives.select("situation", "alternative", F.round(geo.extra_seconds(-1.2, -0.2, F.col("cost_eur")), 6).alias("extra_s"))
 
 
-@query(
-    "SELECT trip, list_sum(list_transform(range(16), lambda b: CAST((trip >> b) & 1 AS DOUBLE) / (1 << (b + 1)))) AS u FROM v_trip_results WHERE trip < 5000", "v_trip_results"
-)
+@query("SELECT trip, list_sum(list_transform(range(53), lambda b: CAST((trip >> b) & 1 AS DOUBLE) / (CAST(1 AS BIGINT) << (b + 1)))) AS u FROM v_trip_results", "v_trip_results")
 def quota_spread(trips):
-    """As its SQL has it: trips below 5000 only."""
-    return trips.filter("trip < 5000").select("trip", geo.reversed_bits(F.col("trip")).alias("u"))
-
-
-@query(None, "v_trip_results")
-def quota_spread_whole(trips):
-    """Of every trip."""
     return trips.select("trip", geo.reversed_bits(F.col("trip")).alias("u"))
 
 

@@ -20,10 +20,11 @@ def gtfs_time_parse(spark, sf_dir):
 
 
 @query(
-    "SELECT p_partkey, CASE WHEN r = 0 OR r BETWEEN 900 AND 999 THEN 'tram' WHEN r = 1 OR r BETWEEN 400 AND 499 THEN 'metro' WHEN r = 2 OR r BETWEEN 100 AND 199 THEN 'rail' WHEN r = 3 OR r BETWEEN 200 AND 299 OR r BETWEEN 700 AND 799 THEN 'bus' WHEN r = 4 OR r BETWEEN 1000 AND 1099 THEN 'ferry' ELSE 'other' END AS kind FROM (SELECT p_partkey, p_partkey * 7 % 1200 AS r FROM part)"
+    """SELECT p_partkey, CASE WHEN r IN (0, 5) OR r BETWEEN 900 AND 999 THEN 'tram' WHEN r IN (1, 12) OR r BETWEEN 400 AND 699 THEN 'metro' WHEN r = 2 OR r BETWEEN 100 AND 199 OR r BETWEEN 300 AND 399 THEN 'rail'
+ WHEN r IN (3, 11) OR r BETWEEN 200 AND 299 OR r BETWEEN 700 AND 899 THEN 'bus' WHEN r = 4 OR r BETWEEN 1000 AND 1099 OR r BETWEEN 1200 AND 1299 THEN 'ferry' ELSE 'other' END AS kind FROM (SELECT p_partkey, p_partkey * 7 % 1800 AS r FROM part)"""
 )
 def service_kinds(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", op.kind_of(F.col("p_partkey") * 7 % 1200).alias("kind"))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", op.kind_of(F.col("p_partkey") * 7 % 1800).alias("kind"))
 
 
 @query(
@@ -154,7 +155,7 @@ def journey_pareto(alternatives):
     return op.pareto(alternatives.select(F.col("situation").alias("ask"), F.col("transfers").alias("rides"), F.col("time_min").cast("long").alias("arrive_s")))
 
 
-WALKS = "wk AS (SELECT zone AS a, zone + 5 AS b, CAST(240 AS BIGINT) AS walk_s FROM v_zones WHERE zone < 20)"
+WALKS = "wk AS (SELECT a.zone AS a, b.zone AS b, CAST(240 AS BIGINT) AS walk_s FROM v_zones a JOIN v_zones b ON b.zone = a.zone + 5)"
 RIDE = """o{n} AS (SELECT f.ask, c.stop AS at_stop, c.line, min(c.depart_s) AS dep FROM {before} f JOIN v_calls c ON c.stop = f.stop AND c.depart_s >= f.t + {slack} GROUP BY 1, 2, 3),
 h{n} AS (SELECT o.ask, d.stop, min(d.arrive_s) AS t FROM o{n} o JOIN v_calls b ON b.stop = o.at_stop AND b.line = o.line AND b.depart_s = o.dep JOIN v_calls d ON d.run = b.run AND d.pos > b.pos GROUP BY 1, 2),
 w{n} AS (SELECT ask, stop, t FROM h{n} UNION ALL SELECT ask, b, t + walk_s FROM h{n} JOIN wk ON stop = a), b{n} AS (SELECT ask, stop, min(t) AS t, min(r * 0 + r) FILTER (WHERE r >= 0) AS r0 FROM (SELECT ask, stop, t, {n} AS r FROM w{n}) GROUP BY 1, 2),
@@ -162,7 +163,7 @@ a{n} AS (SELECT ask, stop, x[1] AS t, x[2] AS rides FROM (SELECT ask, stop, min(
 
 
 @query(
-    f"""WITH {WALKS}, a0 AS (SELECT DISTINCT o_zone * 100 + d_zone AS ask, o_zone AS stop, CAST(25200 + 60 * d_zone AS BIGINT) AS t, CAST(0 AS BIGINT) AS rides FROM v_trip_results WHERE d_zone < 4),
+    f"""WITH {WALKS}, a0 AS (SELECT DISTINCT o_zone * 100 + d_zone AS ask, o_zone AS stop, CAST(25200 + 60 * d_zone AS BIGINT) AS t, CAST(0 AS BIGINT) AS rides FROM v_trip_results),
 {RIDE.format(n=1, before="a0", all="a0", slack=0)}, {RIDE.format(n=2, before="f1", all="a1", slack=60)}, {RIDE.format(n=3, before="f2", all="a2", slack=60)}
 SELECT ask, stop, CAST(t AS BIGINT) AS t, CAST(rides AS BIGINT) AS rides FROM a3""",
     "v_trip_results",
@@ -170,17 +171,10 @@ SELECT ask, stop, CAST(t AS BIGINT) AS t, CAST(rides AS BIGINT) AS rides FROM a3
     "v_zones",
 )
 def raptor_arrivals(trips, calls, zones):
-    """As its SQL has it: trips to the first four zones."""
-    return _arrivals(trips.filter("d_zone < 4"), calls, zones)
-
-
-@query(None, "v_trip_results", "v_calls", "v_zones")
-def raptor_arrivals_whole(trips, calls, zones):
-    """Trips to every zone."""
     return _arrivals(trips, calls, zones)
 
 
 def _arrivals(trips, calls, zones):
     asks = trips.select((F.col("o_zone") * 100 + F.col("d_zone")).alias("ask"), F.col("o_zone").alias("stop"), (25200 + 60 * F.col("d_zone")).alias("at_s")).distinct()
-    walks = zones.filter("zone < 20").select(F.col("zone").alias("a"), (F.col("zone") + 5).alias("b"), F.lit(240).cast("long").alias("walk_s"))
+    walks = zones.select(F.col("zone").alias("a")).join(zones.select(F.col("zone").alias("b")), F.col("b") == F.col("a") + 5).withColumn("walk_s", F.lit(240).cast("long"))
     return op.arrivals(asks, calls, walks, 3, 60).withColumn("rides", F.col("rides").cast("long"))
