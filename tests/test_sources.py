@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from viatica.sources import tables
+from viatica.sources import places, tables
 from viatica.streaming import bins
 
 
@@ -39,8 +39,10 @@ def test_zones_od_classes(spark, tmp_path):
 
 
 def test_networks(spark, tmp_path):
-    links = tables.read_links(spark, put(tmp_path, "l.csv", "link_id,from_node_id,to_node_id,length,lanes,free_speed\n1,a,b,0.5,2,30\n"), "km", "mph").first()
-    assert links.length == 500 and links.free_flow_speed == pytest.approx(48.28032)
+    links = tables.read_links(spark, put(tmp_path, "l.csv", "link_id,From_node,to_node,length,lanes,free_flow_speed,cap,note,signal\n1,a,b,0.5,2,30,900,x,yes\n"), "km", "mph").first()
+    assert links.length == 500 and links.free_flow_speed == pytest.approx(48.28032) and links.capacity == 900 and links.signalised and not links.roundabout
+    timed = tables.read_links(spark, put(tmp_path, "l2.csv", "init_node,term_node,length_m,fftt,speed\na,b,1000,2,0\n")).first()
+    assert timed.free_flow_speed == pytest.approx(30.0) and timed.id == "a-b"
     tntp = put(tmp_path, "n.tntp", "<NUMBER OF NODES> 2\n<END OF METADATA>\n~ init term\n\t1\t2\t25900.2\t6\t6\t0.15\t4\t0\t0\t1\t;\n")
     row = tables.tntp_links(spark, tntp).first()
     assert (row["from"], row["to"], row.capacity, row.power) == ("1", "2", 25900.2, 4.0)
@@ -48,6 +50,14 @@ def test_networks(spark, tmp_path):
     put(tmp_path / "g", "link.csv", "link_id,from_node_id,to_node_id,directed,length,lanes,capacity\n1,a,b,false,100,2,900\n2,b,c,true,50,1,800\n")
     got = {r.id: (r["from"], r["to"], r.capacity) for r in tables.gmns_links(spark, str(tmp_path / "g")).collect()}
     assert got == {"1": ("a", "b", 1800.0), "1_r": ("b", "a", 1800.0), "2": ("b", "c", 800.0)}
+    (tmp_path / "m").mkdir()
+    put(tmp_path / "m", "config.csv", "dataset_name,long_length,speed,crs\nx,miles,mph,EPSG:4326\n")
+    put(tmp_path / "m", "link.csv", "link_id,from_node_id,to_node_id,directed,length,free_speed\n1,a,b,No,2,30\n")
+    got = {r.id: (r.length, r.free_flow_speed) for r in tables.gmns_links(spark, str(tmp_path / "m")).collect()}
+    assert got == {"1": (3218.688, pytest.approx(48.28032)), "1_r": (3218.688, pytest.approx(48.28032))}
+    put(tmp_path / "m", "config.csv", "long_length\nfurlong\n")
+    with pytest.raises(tables.InputError, match="furlong"):
+        tables.gmns_units(spark, str(tmp_path / "m"))
 
 
 def test_gtfs_and_docks(spark, tmp_path):
@@ -86,3 +96,72 @@ def test_live_bins(spark, tmp_path):
     run.awaitTermination(120)
     got = sorted((r.crossings, r.pcu, r.pcu_seconds) for r in spark.table("live").collect())
     assert got == [(1, 1, 5), (2, 3, 40)]
+
+
+def test_persons_and_zone_points(spark, tmp_path):
+    spark.createDataFrame([(7, True), (8, None)], "traveller_id long, owns_car boolean").write.parquet(str(tmp_path / "p.parquet"))
+    assert [tuple(r) for r in places.read_persons_parquet(spark, str(tmp_path / "p.parquet")).orderBy("traveller_id").collect()] == [("7", True, None, None, None), ("8", None, None, None, None)]
+    got = places.read_zone_points(spark, put(tmp_path, "zp.csv", "zone,lon,lat,weight,weight_origin\na,4,52,2,\na,4.1,52,,3\n"))
+    assert [tuple(r) for r in got.orderBy("lon").collect()] == [("a", 4.0, 52.0, 2.0, 2.0), ("a", 4.1, 52.0, 3.0, 1.0)]
+    with pytest.raises(Exception, match="weight_origin"):
+        places.read_zone_points(spark, put(tmp_path, "zq.csv", "zone,lon,lat,weight\na,4,52,-1\n")).collect()
+
+
+def test_places(spark, tmp_path):
+    got = places.read_parkings(spark, put(tmp_path, "pk.csv", "Parking_ID,lon,lat,vehicle,capacity,fee_eur\np1,4,52,CAR,10,1.5\np2,4,52,bike,0,\n")).orderBy("parking_id").collect()
+    assert [(r.parking_id, r.vehicle, r.capacity, r.initial_occupancy, r.fee_eur, r.hub_id) for r in got] == [("p1", "car", 10, 0, 1.5, None), ("p2", "bike", 0, 0, None, None)]
+    for bad, what in (("p1,4,52,bus,1\n", "vehicle"), ("p1,4,52,car,1.5\n", "capacity"), ("p1,,52,car,1\n", "lon"), (",4,52,car,1\n", "parking_id")):
+        with pytest.raises(Exception, match=what):
+            places.read_parkings(spark, put(tmp_path, "bad.csv", "parking_id,lon,lat,vehicle,capacity\n" + bad)).collect()
+    with pytest.raises(tables.InputError, match="twice"):
+        places.read_dock_table(spark, put(tmp_path, "d.tsv", "dock_id\tlon\tlat\tcapacity\nd\t4\t52\t3\nd\t4\t52\t3\n"))
+    with pytest.raises(tables.InputError, match="no columns plugs"):
+        places.read_chargers(spark, put(tmp_path, "c.csv", "charger_id,lon,lat\nc,4,52\n"))
+    with pytest.raises(Exception, match="more than slots"):
+        places.read_dock_table(spark, put(tmp_path, "d2.csv", "dock_id,lon,lat,capacity,bikes\nd,4,52,3,4\n")).collect()
+    assert places.read_vehicles(spark, put(tmp_path, "v.csv", "vehicle_id,lon,lat,soc\nv,4,52,0.5\nw,4,52,\n")).orderBy("vehicle_id").first().soc == 0.5
+    assert places.read_chargers(spark, put(tmp_path, "c2.csv", "charger_id,lon,lat,plugs,kw\nc,4,52,2,22\n")).first().kw == 22
+
+
+def test_gbfs(spark, tmp_path):
+    info = put(tmp_path, "i.json", '{"data": {"stations": [{"station_id": "a", "lon": 4, "lat": 52, "capacity": 5, "name": "A "}, {"station_id": "b", "lon": 4, "lat": 52, "capacity": 3, "name": [{"text": "B", "language": "en"}]}, {"station_id": "c", "lon": 4, "lat": 52}]}}')
+    status = put(tmp_path, "s.json", '{"data": {"stations": [{"station_id": "a", "num_bikes_available": 2}, {"station_id": "b", "num_vehicles_available": 9}]}}')
+    assert [(r.dock_id, r.capacity, r.name, r.bikes) for r in places.read_gbfs(spark, info, status).orderBy("dock_id").collect()] == [("a", 5, "A", 2), ("b", 3, "B", 3)]
+    assert [r.bikes for r in places.read_gbfs(spark, info).collect()] == [None, None]
+    with pytest.raises(tables.InputError, match="stations"):
+        places.read_gbfs(spark, put(tmp_path, "x.json", "{}"))
+
+
+def test_transfers_feeds_options_and_classes(spark, tmp_path):
+    rows, report = places.read_transfers(spark, put(tmp_path, "transfers.txt", "from_stop_id,to_stop_id,transfer_type,min_transfer_time,from_route_id\na,b,2,90,\nb,a,1,,\na,c,0,,\na,d,2,60,r1\na,e,2,,\n"))
+    assert sorted(tuple(r) for r in rows.collect()) == [("a", "b", 90), ("b", "a", 0)] and tuple(report.first()) == (2, 3)
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "f.zip", "w") as z:
+        z.writestr("feed/stops.txt", "stop_id,stop_lat,stop_lon\ns,52,4\n")
+    (tmp_path / "out").mkdir()
+    assert tables._csv(spark, places.unpacked(str(tmp_path / "f.zip"), str(tmp_path / "out")) + "/stops.txt").count() == 1
+    options = put(tmp_path, "o.toml", "[msa]\niterations = 5\n[loading]\nbin_s = 900\n")
+    assert places.read_options(options, {"msa.iterations": int, "loading.bin_s": float}) == {"msa.iterations": 5, "loading.bin_s": 900}
+    with pytest.raises(tables.InputError, match="loading.bin_s"):
+        places.read_options(options, {"msa.iterations": int})
+    classes = spark.createDataFrame([("a", 0.5, ["walk", "car"], None, None, None), ("b", None, None, None, False, None), ("c", 0.2, ["bike_transit"], None, None, True)], "class string, share double, modes array<string>, owns_car boolean, owns_bike boolean, has_transit_pass boolean")
+    assert [tuple(r)[2:] for r in places.class_entries(classes).orderBy("class").collect()] == [(["car", "walk"], True, False, False), (None, True, False, False), (["bike_transit"], False, True, True)]
+    with pytest.raises(Exception, match="no such mode"):
+        places.class_entries(classes.withColumn("modes", F.array(F.lit("boat")))).collect()
+
+
+def test_small_results(spark, tmp_path):
+    kpis = spark.createDataFrame([(0, "all", "completed", 3.5), (0, "a,b", "mean", 0.1)], "iteration long, mode string, metric string, value double")
+    places.write_kpis_csv(kpis, str(tmp_path / "k"), "r1")
+    assert sorted(r.value for r in spark.read.csv(str(tmp_path / "k"), header=True, inferSchema=True).collect()) == [0.1, 3.5]
+    places.write_manifest(str(tmp_path / "m.json"), seed=3, names=["a"])
+    assert (tmp_path / "m.json").read_text() == '{\n "names": [\n  "a"\n ],\n "seed": 3\n}\n'
+    places.write_timings(str(tmp_path / "t.csv"), [("read", None, 1.5), ("load", 0, 2.0), ("load", 1, 1.0)])
+    got = places.timings_by_stage(spark.read.csv(str(tmp_path / "t.csv"), header=True, inferSchema=True))
+    assert {r.stage: (r.seconds, r.times) for r in got.collect()} == {"read": (1.5, 1), "load": (3.0, 2)}
+    bins_ = spark.createDataFrame([(1, 0, 2.0, 30.0), (1, 1, 0.0, 0.0)], "link long, bin long, pcu double, pcu_seconds double")
+    assert [tuple(r) for r in places.road_times(bins_).collect()] == [(1, 0, 15.0)]
+    trips = spark.createDataFrame([("a", 0, None), ("b", 1, "car")], "traveller_id string, trip_seq long, mode string")
+    places.write_trips(trips, str(tmp_path / "trips"))
+    assert sorted((r.traveller_id, r.mode) for r in spark.read.csv(str(tmp_path / "trips"), header=True).collect()) == [("a", None), ("b", "car")]
