@@ -55,3 +55,20 @@ def test_recall(spark):
         hit.append(len(set(mine.vec_id) & set(ids[np.argsort(-s)[:20]])) / 20)
         assert np.allclose(mine.sort_values("rank").score, [x[np.flatnonzero(ids == v)[0]] @ x[q] for v in mine.sort_values("rank").vec_id])
     assert np.mean(hit) >= 0.9
+
+
+def test_inserted_nodes_are_found():
+    """Of a graph whose nodes were nearly all inserted, not linked by exact products."""
+    x = np.random.default_rng(2).normal(size=(3000, 16))
+    graph = neighbours.Graph(x, [[i] for i in range(len(x))], first=256)
+    assert len(graph.layers) > 1 and all((layer < len(layer)).all() and (layer >= 0).any(1).all() for layer in graph.layers)
+    found: dict = {}
+    for i, v, s in graph.search(x[::50], np.arange(0, 3000, 50), 20, 128):
+        found.setdefault(i, []).append(v)
+        assert abs(s - float(x[v] @ x[50 * i])) < 1e-9
+    hit = []
+    for i, own in found.items():
+        s = x @ x[50 * i]
+        s[50 * i] = -np.inf
+        hit.append(len(set(own) & set(np.argsort(-s)[:20].tolist())) / 20)
+    assert np.mean(hit) >= 0.9

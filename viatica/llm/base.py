@@ -15,6 +15,9 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from viatica.functions.lineage import kept as checkpointed
+from viatica.functions.lineage import shared_dir
+
 SPACES = b" \t\n\r\x0b\x0c"
 
 
@@ -33,19 +36,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's spark.checkpoint.dir, or one set here if the session has none."""
-    sc = spark.sparkContext
-    told = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(told or "/tmp/checkpoints")
-    return told or "/tmp/checkpoints"
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the shared checkpoint folder and goes on from there, so that no later loss of an executor repeats what stands before."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return checkpointed(df)
 
 
 def fresh_dir(spark: SparkSession, what: str) -> str:

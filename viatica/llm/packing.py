@@ -63,8 +63,8 @@ def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 2, line
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode
-        task = TaskContext.get()
-        made = (task.partitionId() if task else 0) << 40
+        context = TaskContext.get()
+        made = (context.partitionId() if context else 0) << 40
         held: list[tuple[int | None, np.ndarray]] = []
         tokens = 0
 

@@ -125,7 +125,9 @@ class Scorer:
         for w in words(text):
             own = known.get(w)
             if own is None:
-                own = known[w] = tuple(number[p] for p in places(w) if p in number)
+                own = tuple(number[p] for p in places(w) if p in number)
+                if len(w) <= 48:  # so the memory is bounded in bytes
+                    known[w] = own
             if own:
                 found.update(own)
         return found
