@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from viatica.plans import assembly, choice, demand, kernels, loading, network, planning, readings, results, routing, scalars, services, transit  # noqa: F401  each module registers its queries
+from viatica.plans import assembly, choice, demand, kernels, loading, maps, network, planning, readings, results, routing, scalars, services, transit  # noqa: F401  each module registers its queries
 from viatica.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
