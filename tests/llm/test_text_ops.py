@@ -204,6 +204,22 @@ def test_encoder_equals_library():
             assert ids[first[n] : first[n + 1]].tolist() == own.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_encoder_forgets_by_bytes_and_refuses_others(tmp_path):
+    own = tokens.PieceEncoder(tokens.vocabulary(), limit=10_000, most=5_000)
+    for n in range(6):
+        texts = ["x" * 3000 + str(n), "short words " * 5, "\u4e2d\u6587" * 400]
+        ids, first = own.encode([t.encode() for t in texts])
+        assert [ids[a:b].tolist() for a, b in zip(first, first[1:], strict=False)] == [own.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert own.numbers.size <= 5_000 + sum(len(t.encode()) for t in texts)
+    own._forget()
+    assert own.numbers.size <= 64 * len(own.numbers)
+    from tokenizers import Tokenizer, models
+
+    Tokenizer(models.WordLevel({"Ab,": 0, " ": 1, "[UNK]": 2}, unk_token="[UNK]")).save(str(tmp_path / "t.json"))
+    with pytest.raises(ValueError, match="white space"):
+        tokens.PieceEncoder(str(tmp_path / "t.json"))
+
+
 def test_token_counts(spark, docs, empty):
     library = tokens.encoder(tokens.vocabulary()).tokenizer
     for block in (1, 7, 1000):

@@ -130,34 +130,41 @@ class PairMerger:
 
 
 class _Numbers(dict):
-    """Gives each new piece the next number; the encoder fills in its ids afterwards."""
+    """Gives each new piece the next number; the encoder fills in its ids afterwards. Counts the bytes of all pieces."""
 
     def __init__(self):
         super().__init__()
         self.new: list[bytes] = []
+        self.size = 0
 
     def __missing__(self, piece: bytes) -> int:
         n = self[piece] = len(self)
         self.new.append(piece)
+        self.size += len(piece)
         return n
 
 
 class PieceEncoder:
     """Encodes UTF-8 texts to ids.
 
-    The tokenizer must drop white space and never join text across it (as word_bpe_49k does): then the ids of a text
+    The tokenizer must drop white space and never join text across it (as word_bpe_49k does; another is refused): then the ids of a text
     are those of its pieces between ASCII white space, one after another, and equal pieces have equal ids. Ids of up to
-    `limit` pieces are remembered; beyond that the rarer ones are forgotten, so memory is bounded whatever the corpus holds.
+    `limit` pieces of `most` bytes together are remembered; beyond that the rarer and the longer ones are forgotten before the next texts, so memory is bounded whatever the corpus holds.
     Strings of special tokens in a text are ordinary text.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    LONG = 64  # bytes of a piece that is not remembered past its batch if memory is short
+
+    def __init__(self, path: str, limit: int = 600_000, most: int = 32 << 20):
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.limit = limit
+        self.limit, self.most = limit, most
+        alone = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in ("Ab,", "cd9", "\u00e9")]
+        if self.tokenizer.encode(" Ab,  cd9\n\t\u00e9 ", add_special_tokens=False).ids != sum(alone, []):
+            raise ValueError(f"{path}: its ids of a text are not those of the pieces between white space")
         model = json.loads(Path(path).read_text())
         kinds = [x.get("type") for x in model["pre_tokenizer"].get("pretokenizers", [])]
         self.merger = PairMerger(model["model"]) if kinds == ["Split", "ByteLevel"] else None
@@ -172,18 +179,19 @@ class PieceEncoder:
         self.hits = np.zeros(0, np.int64)
 
     def _forget(self) -> None:
-        """Keeps the pieces seen most often, half the limit at most."""
+        """Keeps the pieces seen most often, half the limit at most, and none that is long."""
         self.words.clear()
         seen = np.sort(self.hits)[::-1]
         least = max(2, int(seen[min(len(seen) - 1, self.limit // 2)]) + 1)
-        stay = np.flatnonzero(self.hits >= least)
         names = list(self.numbers)
+        stay = np.flatnonzero((self.hits >= least) & (np.fromiter(map(len, names), np.int64, len(names)) <= self.LONG))
         lengths = np.diff(self.first)[stay]
         ends = np.cumsum(lengths)
         flat = self.flat[np.repeat(self.first[stay] - (ends - lengths), lengths) + np.arange(int(lengths.sum()))]
         self._reset()
         for i in stay.tolist():
             self.numbers[names[i]] = len(self.numbers)
+            self.numbers.size += len(names[i])
         self.first, self.flat, self.hits = np.r_[0, ends], flat, np.zeros(len(stay), np.int64)
 
     def _by_library(self, pieces: list[str]) -> list[bytes]:
@@ -218,7 +226,7 @@ class PieceEncoder:
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and where each text's ids start (one more entry than texts)."""
-        if len(self.numbers) > self.limit:
+        if len(self.numbers) > self.limit or self.numbers.size > self.most:
             self._forget()
         number = self.numbers.__getitem__
         parts = [np.fromiter(map(number, pieces), np.int64, len(pieces)) for pieces in (x.split() for x in texts)]
