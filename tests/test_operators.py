@@ -82,3 +82,30 @@ def test_kinds_of_route_types(spark):
     want = {"tram": [0, 5, 900, 999], "metro": [1, 12, 400, 599, 699], "rail": [2, 100, 199, 300, 399], "bus": [3, 11, 200, 299, 700, 899], "ferry": [4, 1000, 1099, 1200, 1299], "other": [6, 7, 10, 13, 99, 1100, 1199, 1300, 1700]}
     rows = spark.createDataFrame([(t, k) for k, own in want.items() for t in own], "t long, kind string")
     assert rows.filter(transit.kind_of(F.col("t")) != F.col("kind")).isEmpty()
+
+
+def test_models_by_name(spark):
+    import pytest
+    from pyspark.sql import functions as F
+
+    from viatica.operators import registries
+
+    rows = spark.range(3000).selectExpr("id div 3 as situation", "id % 3 as alternative", "id % 2 as nest", "cast(id % 3 as double) as u")
+    counts = {}
+    for model in ("logit", "nested_logit", "deterministic"):
+        got = registries.choose(rows, model, 3)
+        assert got.count() == 1000 and got.select("situation").distinct().count() == 1000
+        counts[model] = {r.alternative: r["count"] for r in got.groupBy("alternative").count().collect()}
+    assert counts["deterministic"] == {2: 1000} and counts["logit"][2] > counts["logit"][1] > counts["logit"][0]
+    drawn = {r.alternative: r["count"] for r in registries.random_utility(rows, 5).groupBy("alternative").count().collect()}
+    assert abs(drawn[2] - counts["logit"][2]) < 80  # both draw from one logit
+    registries.register_model("first", lambda r, draw: r.groupBy("situation").agg(F.min("alternative").alias("alternative")))
+    assert registries.choose(rows, "first", 0).filter("alternative <> 0").isEmpty() and "first" in registries.choice_models()
+    with pytest.raises(ValueError, match="taken"):
+        registries.register_model("logit", lambda r, d: r)
+    with pytest.raises(ValueError, match="no choice model"):
+        registries.choose(rows, "none", 0)
+    assert "frank_wolfe" in registries.equilibration_strategies() and "simulation" in registries.route_methods()
+    assert {r.value for r in registries.parameters(spark, {"sra.eta_fell": 0.3}).filter("name = 'eta_fell'").collect()} == {0.3}
+    with pytest.raises(ValueError, match="no parameter"):
+        registries.parameters(spark, {"sra.x": 1.0})
