@@ -83,6 +83,18 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 8 << 20)
                 yield batch.slice(a, b - a)
 
 
+def slices_of(batches: Iterable[pa.RecordBatch], column: str, most: int = 1 << 17, rows: int = 2048) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of up to `rows` whose lists would hold about `most` numbers if all were as long as the longest; a longer list comes alone."""
+    for batch in batches:
+        at = 0
+        sizes = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(batch.column(column)), 0), dtype=np.int64)
+        while at < batch.num_rows:
+            own = np.maximum.accumulate(np.maximum(sizes[at : at + rows], 1))
+            n = max(1, int(np.count_nonzero(own * np.arange(1, len(own) + 1) <= most)))
+            yield batch.slice(at, n)
+            at += n
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

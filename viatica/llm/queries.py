@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from viatica.llm import language, lines, lm, media, mixing, neighbours, packing, simhash, tokencount, toxicity
+from viatica.llm import language, lines, lm, media, mixing, negatives, neighbours, packing, simhash, tokencount, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_lm": lm.op8_lm,
     "op9_mixing": mixing.op9_mixing,
     "op10_packing": packing.op10_packing,
+    "op11_negatives": negatives.op11_negatives,
 }
 
 ORACLES = {
     "op6_line_dedup": lines.SQL,
     "op9_mixing": mixing.SQL,
+    "op11_negatives": negatives.SQL,
 }
