@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from viatica.llm import language, lines, lm, media, mixing, negatives, neighbours, packing, simhash, tokencount, toxicity
+from viatica.llm import language, lines, lm, media, mixing, negatives, neighbours, packing, simhash, tokencount, toxicity, trie
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -16,10 +16,12 @@ QUERIES = {
     "op9_mixing": mixing.op9_mixing,
     "op10_packing": packing.op10_packing,
     "op11_negatives": negatives.op11_negatives,
+    "op13_trie": trie.op13_trie,
 }
 
 ORACLES = {
     "op6_line_dedup": lines.SQL,
     "op9_mixing": mixing.SQL,
     "op11_negatives": negatives.SQL,
+    "op13_trie": trie.SQL,
 }
