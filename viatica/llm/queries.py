@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from viatica.llm import language, lines, lm, media, mixing, negatives, neighbours, packing, simhash, tokencount, toxicity, trie
+from viatica.llm import language, lines, lm, media, mixing, negatives, neighbours, packing, quality, simhash, tokencount, toxicity, trie
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_mixing": mixing.op9_mixing,
     "op10_packing": packing.op10_packing,
     "op11_negatives": negatives.op11_negatives,
+    "op12_quality": quality.op12_quality,
     "op13_trie": trie.op13_trie,
 }
 
