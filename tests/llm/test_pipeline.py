@@ -12,7 +12,7 @@ import corpus_pipeline
 from viatica.llm import base, language, lines, mixing, simhash, tokens
 from viatica.llm.tokens import encoder
 
-CLASHING = ("n_lines", "N_DROPPED", "lang_pred", "lang_score", "items", "position", "d", "k", "n", "t", "none", "id", "copies", "fp", "h")
+CLASHING = ("_", "__", "n_lines", "N_DROPPED", "lang_pred", "lang_score", "items", "position", "d", "k", "n", "t", "none", "id", "copies", "fp", "h")
 
 
 @pytest.fixture

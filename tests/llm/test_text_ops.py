@@ -305,6 +305,31 @@ def test_clashing_names_of_pages(spark):
     assert [(r.kind, r.digest, r.size, r.page_text, r.page_kind, r.page_digest, r.page_caption, r.page_position, r.page_size) for r in rows] == [("text", None, None, "t", "k", "d", "c", 7, "s"), ("media", "x", 3, "t", "k", "d", "c", 7, "s")]
 
 
+def test_any_name_may_be_there(spark):
+    """Every name that the modules give their own columns, and those of the struct that carries the others."""
+    import ast
+    import pathlib
+    import re
+
+    found = {"_", "__"}
+    for path in pathlib.Path(media.__file__).parent.glob("*.py"):
+        for node in ast.walk(ast.parse(path.read_text())):
+            if isinstance(node, ast.Constant) and isinstance(node.value, str) and re.fullmatch(r"[A-Za-z_][A-Za-z_0-9]{0,15}", node.value):
+                found.add(node.value)
+    names = sorted({x.lower(): x for x in found}.values())
+    names = [x for x in names if x.lower() not in ("page_id", "html", "items", "doc_id", "text", "lang", "source", "n_chars")]
+    assert len(names) > 100
+    own = {x: F.lit(x) for x in names}
+    pages = spark.createDataFrame([(1, "<p>a<img src='sha256:x'>")], "page_id long, html string").withColumns(own)
+    shown = media.resolve(media.parse(pages), spark.createDataFrame([("x", 3)], "digest string, size long"))
+    rows = shown.filter("kind = 'media' and size = 3").collect()
+    assert len(rows) == 1 and all(rows[0][x if x in rows[0] and rows[0][x] == x else f"page_{x}"] == x for x in ("_", "__", "digest", "position"))
+    docs_ = spark.createDataFrame([(1, "one two\nthree", "en", "s", 1), (2, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long").withColumns(own)
+    for stage in (lambda d: language.with_language(d, {"en": "one two three", "de": "eins zwei drei"}), lambda d: lines.dedup_lines(d, counted=False), simhash.one_of_each, mixing.mix):
+        out = stage(docs_)
+        assert out.columns == docs_.columns and out.filter("_ <> '_' or __ <> '__' or digest <> 'digest'").isEmpty()
+
+
 def test_interleaved_order_and_captions(spark):
     html = "<p>one<figure><img src='sha256:aa' alt='x'><figcaption>cap <b>tion</b></figcaption></figure>two<script>no</script><img src='sha256:bb' alt='alt'><img src='u'>three"
     pages = spark.createDataFrame([(1, html), (2, None), (3, "")], "page_id long, html string")
@@ -333,12 +358,13 @@ def test_parse_table_counts_phrases():
 
     random.seed(5)
     sample = [random.randint(0, 3) for _ in range(200)]
-    table = language.Table(language.automaton(sample))
+    automaton = language.automaton(sample)
     as_text = "".join(map(str, sample))
     for _ in range(50):
         text = [random.randint(0, 4) for _ in range(60)]
-        count, _ = table.run(table.column[np.array(text)[:, None]], np.zeros(1, np.int32))
-        assert count[0] == brute_phrases(as_text, "".join(map(str, text)))
+        for table in (language.Table(automaton, 5), language.Hashed(automaton, 5)):
+            count, _ = table.run(table.column[np.array(text)[:, None]], np.zeros(1, np.int32))
+            assert count[0] == brute_phrases(as_text, "".join(map(str, text)))
 
 
 def test_phrases_of_whole_texts():
@@ -362,14 +388,58 @@ def test_phrases_of_whole_texts():
     assert np.allclose(score, [1 - c.min() / c.max() if x else 0 for c, x in zip(cost, texts, strict=True)])
 
 
+def scripts(n=8, size=400):
+    """(language, letters) of eight languages: six scripts, three of them of some hundred letters, and two languages of one script."""
+    starts = {"latin": (0x61, 26), "cyrillic": (0x430, 32), "greek": (0x3B1, 24), "hebrew": (0x5D0, 27), "thai": (0xE01, 46), "large1": (0x4E00, size), "large2": (0x4F00, size), "large3": (0xAC00, size)}
+    return {k: [chr(a + i) for i in range(m) if chr(a + i).isalpha()] for k, (a, m) in list(starts.items())[:n]}
+
+
+def test_languages_of_many_scripts():
+    """Each language has its own letters, however many there are in all."""
+    import random
+
+    random.seed(8)
+    letters = scripts()
+    draw = lambda own, n: "".join(random.choice(own) if random.random() < 0.8 else " " for _ in range(n))
+    words = {k: [draw(v, random.randint(2, 6)) for _ in range(300)] for k, v in letters.items()}
+    text = lambda k, n: " ".join(random.choice(words[k]) for _ in range(n))
+    samples = {k: text(k, 1500) for k in letters}
+    model = language.Model(samples)
+    assert sum(isinstance(t, language.Hashed) for t in model.tables) == 3 and len({c for x in letters.values() for c in x}) > 1000
+    asked = [(k, text(k, 30)) for k in letters for _ in range(40)]
+    found, _ = model.predict([x for _, x in asked])
+    assert all(sum(f == k for f, (k, _) in zip(found, asked, strict=True) if k == want) >= 39 for want in letters)
+    counts, _ = model.phrases([x for _, x in asked[::40]])  # spaces are one symbol, as in the sample
+    for n, k in enumerate(model.languages):
+        assert counts[:, n].tolist() == [brute_phrases(samples[k], x) for _, x in asked[::40]]
+
+
+def test_letters_that_no_sample_has_are_a_phrase_each():
+    model = language.Model({"aa": "abc" * 100, "kk": "".join(chr(0x4E00 + i) for i in range(300)) * 3})
+    counts, letters = model.phrases(["\u03b1\u03b2\u0430\u05d0", "a\u03b1bc", "\u4e00\u4e01\u03b1"])
+    assert counts.tolist() == [[4, 4], [3, 4], [3, 2]] and letters.tolist() == [4, 4, 3]
+
+
 def test_language_sample_is_of_whole_texts(spark):
-    rows = [(i, "en", f"short text {i} " * 5) for i in range(200)] + [(300, "xx", "only long " * 1000), (301, "xx", "longer " * 3000), (302, None, "none"), (303, "en", None), (304, "en", "long " * 2000)]
+    rows = [(i, "en", f"short text {i} " * 5) for i in range(200)] + [(300, "xx", "only long " * 1000), (301, "xx", "longer " * 3000), (302, None, "none"), (303, "en", None), (304, "en", "".join(f"long{i} " for i in range(2000)))]
     docs_ = spark.createDataFrame(rows, "doc_id long, lang string, text string")
     got = language.training_sample(docs_, rows=50, chars=500)
-    assert set(got) == {"en", "xx"} and len(got["en"]) <= 500 and all(x in {r[2] for r in rows[:200]} for x in got["en"].split("\n"))
-    assert got["xx"] == ("only long " * 1000)[:500]
+    assert set(got) == {"en", "xx"} and 400 < len(got["en"]) <= 500 and all(any(x in r[2] for r in rows if r[1] == "en" and r[2]) for x in got["en"].split("\n"))
+    assert len(got["xx"]) == 500 and (got["xx"] in rows[200][2] or got["xx"] in rows[201][2])
     assert set(language.training_sample(docs_, languages=1)) == {"en"}
     assert sum(map(len, language.training_sample(docs_, chars=500, total=600).values())) <= 600
+    long = language.training_sample(docs_.filter("doc_id = 304"), stretch=700)["en"]  # within a long text, not its beginning alone
+    assert len(long) == 700 and long in rows[-1][2] and not rows[-1][2].startswith(long)
+
+
+def test_long_labelled_documents_are_learned_from(spark):
+    """A corpus of articles of which none is short."""
+    letters = scripts(5)
+    docs_ = spark.createDataFrame([(i, k, "".join(own[(i * n * n + n) % len(own)] + " " * (n % 5 == 0) for n in range(9000))) for i in range(6) for k, own in letters.items()], "doc_id long, lang string, text string")
+    samples = language.training_sample(docs_)
+    assert set(samples) == set(letters) and all(len(x) > 20_000 for x in samples.values())
+    found = language.identify(docs_, samples)
+    assert found.filter("lang = lang_pred").count() == 30
 
 
 def test_language_edges(docs, empty):

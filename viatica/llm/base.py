@@ -28,7 +28,14 @@ def lean(spark: SparkSession) -> None:
 
 def others(df: DataFrame, *left_out: str) -> Column:
     """The other columns as one struct, to be carried past Python whatever their names."""
-    return F.struct(F.lit(True).alias("_"), *[F.col(f"`{c}`") for c in df.columns if c not in left_out])
+    own = [c for c in df.columns if c not in left_out]
+    return packed([F.col(f"`{c}`") for c in own], own)
+
+
+def packed(columns: list[Column], names: list[str]) -> Column:
+    """Columns as one struct of these names, after a first field of a name that none of them has, for Arrow has no struct without fields."""
+    free = "_" * (1 + max((len(n) for n in names), default=0))
+    return F.struct(F.lit(True).alias(free), *[c.alias(n) for c, n in zip(columns, names, strict=True)])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

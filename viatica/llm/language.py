@@ -2,17 +2,19 @@
 
 For each language a suffix automaton over a sample of its labelled text knows every substring of it. A text is parsed
 from left to right into the longest phrases that the automaton knows; it needs c phrases, and the language with the least
-c log2(size of its sample) a letter, the cross-parsing estimate of the entropy, wins. The automaton is turned into a
-table in which a step that leaves the sample starts the next phrase, with a column for each letter of this language only.
+c log2(size of its sample) a letter, the cross-parsing estimate of the entropy, wins. Symbols are code points: every letter of a language's
+sample is a symbol of its own automaton, however many scripts and letters there are in all. The automaton is turned into a
+table in which a step that leaves the sample starts the next phrase, with a column for each letter of this language only; that of a language of more than `NARROW`
+symbols is a hash table of its steps instead, as most of its columns would be empty.
 
 Whole batches of texts are parsed in step by array look-ups. A long text stands in several blocks, all parsed at once as if a phrase
 began at each; then every block is parsed again from the state in which the block before it ended, beside its first parse, until
 the two are in one state, from where on they agree. Where they do not meet, the next block is parsed again, and so on:
 the phrases are those of one parse of the whole text, however long.
 
-The sample is bounded: of the `languages` languages with most labelled rows, up to `rows` documents each, chosen by the hash of their id among those
-of up to `longest` characters, as many whole ones as fit `chars` characters (`total` over the number of languages, if that is less). If one has only
-longer documents, its shortest is taken, and `chars` characters of it if it is longer yet. So the tables' size does not grow with the corpus.
+The sample is bounded: up to `rows` documents of a language, chosen by the hash of their id, a stretch of up to `stretch` characters of each, which begins at a place given by that hash
+(a shorter document is taken whole), and of these as many as fit `chars` characters (`total` over the number of languages, if that is less). They are cut to that where they
+lie; no more is gathered. So the tables' size does not grow with the corpus. Of more than `languages` languages those with most labelled rows are learned.
 
 Edge cases: a null text, or one without a letter, is `und` with score 0; letters that no sample has are a phrase each;
 ties go to the language first in the alphabet; with no labelled row every language is `und`; with one language the score
@@ -23,7 +25,6 @@ and lang_score, which give way to the new ones.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,49 +35,44 @@ from pyspark.sql import functions as F
 from viatica.llm.base import fold, kept, others, slices, table, task
 
 BLOCK = 512
-LETTERS = 60  # symbols 1 to LETTERS are letters, then one for other letters, then the filling of blocks; 0 is anything else
-OTHER, FILL, WIDTH = LETTERS + 1, LETTERS + 2, 64
+NARROW = 96  # symbols of a language whose steps stand in a full table
 
 
-def training_sample(docs: DataFrame, rows: int = 96, longest: int = 4000, chars: int = 40_000, languages: int = 256, total: int = 1_600_000) -> dict[str, str]:
+def training_sample(docs: DataFrame, rows: int = 96, stretch: int = 4000, chars: int = 40_000, languages: int = 1024, total: int = 1_600_000) -> dict[str, str]:
     """Text by language, of bounded size."""
-    size = F.length("text")
-    labelled = docs.filter("lang is not null and text is not null and length(text) > 0").select("lang", F.when(size <= longest, F.col("text")).otherwise(F.substring("text", 1, chars)).alias("text"), F.when(size > longest, size).otherwise(0).alias("long"), F.xxhash64("doc_id", F.lit(4)).alias("h"))
-    order = Window.partitionBy("lang").orderBy("long", "h", "text")
-    ranked = labelled.withColumn("n", F.row_number().over(order)).filter((F.col("n") <= rows) & ((F.col("long") == 0) | (F.col("n") == 1)))
-    used = docs.filter("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
+    labelled = docs.filter("lang is not null and text is not null and length(text) > 0")
+    used = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).select("lang").collect()
+    each = min(chars, total // max(1, len(used)))
+    stretch = min(stretch, each)
+    size, h = F.length("text"), F.xxhash64("doc_id", F.lit(4))
+    first = F.pmod(h, F.greatest(size - stretch + 1, F.lit(1))) + 1
+    own = labelled.select("lang", h.alias("h"), F.substr("text", first.cast("int"), F.lit(stretch)).alias("text"))
+    order = Window.partitionBy("lang").orderBy("h", "text")
+    ranked = own.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= rows)  # cut to `rows` a language before the shuffle
+    so_far = F.sum(F.length("text") + 1).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    fits = ranked.withColumn("so_far", so_far).filter(F.col("so_far") <= each + 1).filter(F.col("lang").isin([r[0] for r in used]))
     found: dict[str, list[str]] = {}
-    for lang, text in ranked.join(F.broadcast(used), "lang", "left_semi").orderBy("lang", "n").select("lang", "text").collect():
+    for lang, text in fits.orderBy("lang", "n").select("lang", "text").collect():
         found.setdefault(lang, []).append(text)
-    each = min(chars, total // max(1, len(found)))
-    return {lang: _whole(texts, each) for lang, texts in found.items()}
-
-
-def _whole(texts: list[str], most: int) -> str:
-    """As many whole texts as fit, in order; a part of the first if none does."""
-    taken, left = [], most
-    for text in texts:
-        if len(text) < left:
-            taken.append(text)
-            left -= len(text) + 1
-    return "\n".join(taken) if taken else texts[0][:most]
-
-
-def symbol_table(samples: dict[str, str]) -> np.ndarray:
-    """The symbol of every code point: the letters most frequent in the samples have their own."""
-    counts: Counter[str] = Counter()
-    for text in samples.values():
-        size = max(1, len(text))
-        for letter, n in Counter(text.lower()).items():
+    return {lang: "\n".join(texts) for lang, texts in found.items()}
+
+
+class Symbols:
+    """Code points as symbols: 0 is no letter, every letter of a sample has its own, then one for letters that no sample has, then the filling of blocks."""
+
+    def __init__(self, samples: dict[str, str]):
+        letters = sorted({x[:1] for text in samples.values() for x in map(str.lower, set(text)) if x[:1].isalpha()})
+        self.other, self.fill = len(letters) + 1, len(letters) + 2
+        self.kind = np.uint8 if self.fill < 256 else np.int32
+        own = {letter: n + 1 for n, letter in enumerate(letters)}
+        self.of = np.zeros(0x110000, self.kind)
+        for point in range(0x110000):
+            letter = chr(point)
             if letter.isalpha():
-                counts[letter] += n / size
-    own = {letter: n + 1 for n, (letter, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:LETTERS])}
-    out = np.zeros(0x110000, np.uint8)
-    for point in range(0x110000):
-        letter = chr(point)
-        if letter.isalpha():
-            out[point] = own.get(letter.lower()[:1], OTHER)
-    return out
+                self.of[point] = own.get(letter.lower()[:1], self.other)
+
+    def coded(self, text: str) -> np.ndarray:
+        return self.of[code_points(text)]
 
 
 def code_points(text: str) -> np.ndarray:
@@ -115,14 +111,14 @@ def automaton(symbols: list[int]) -> list[dict[int, int]]:
 
 
 class Table:
-    """The greedy parse as a table: for state and symbol, twice the next state's row start, plus 1 if a phrase ends there and this symbol begins a new one."""
-
-    def __init__(self, step: list[dict[int, int]]):
-        used = sorted(step[0])  # all symbols of the sample; any other one, and the filling, have the last two columns
-        self.width = len(used) + 2
-        self.column = np.full(WIDTH, len(used), np.uint8)
-        self.column[used] = np.arange(len(used))
-        self.column[FILL] = len(used) + 1
+    """The greedy parse as a table: for state and symbol, twice the next state's row start, plus 1 if a phrase ends there and this symbol begins a new one.
+
+    Blocks and states are given by own columns: the symbols of the sample, then one for any other, then the filling, at which a state stays.
+    """
+
+    def __init__(self, step: list[dict[int, int]], fill: int):
+        self._columns(step, fill)
+        used = list(self.used)
         start = np.zeros(self.width, np.int64)
         start[self.column[used]] = [step[0][c] * self.width for c in used]
         out = np.empty((len(step), self.width), np.int32)
@@ -134,6 +130,13 @@ class Table:
         out[0, :-1] |= 1  # at the start, any symbol begins a phrase
         self.steps = out.ravel()
 
+    def _columns(self, step: list[dict[int, int]], fill: int) -> None:
+        self.used = sorted(step[0])
+        self.width = len(self.used) + 2
+        self.column = np.full(fill + 1, len(self.used), np.uint8 if self.width <= 256 else np.int32)
+        self.column[self.used] = np.arange(len(self.used))
+        self.column[fill] = len(self.used) + 1
+
     def run(self, columns: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(phrases begun, last state) of blocks, given by column, parsed from these states."""
         state, count = state << 1, np.zeros(len(state), np.int32)
@@ -175,21 +178,75 @@ class Table:
             end[changed] = state
 
 
+class Hashed(Table):
+    """The same parse by a hash table of the steps that stay in the sample, keyed by state and symbol: a language of very many letters has few steps a state."""
+
+    def __init__(self, step: list[dict[int, int]], fill: int):
+        self._columns(step, fill)
+        state = np.repeat(np.arange(len(step), dtype=np.int64), [len(x) for x in step])
+        symbol = self.column[np.fromiter((c for x in step for c in x), np.int64)].astype(np.int64)
+        keys, to = state * self.width + symbol, np.fromiter((t for x in step for t in x.values()), np.int32)
+        self.bits = int(4 * len(keys)).bit_length()
+        self.keys, self.to = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
+        at = self._place(keys)
+        while len(keys):  # each free place takes one of the keys that want it; the others look at the next place
+            free = np.flatnonzero(self.keys[at] < 0)
+            _, one = np.unique(at[free], return_index=True)
+            taken = free[one]
+            self.keys[at[taken]], self.to[at[taken]] = keys[taken], to[taken]
+            rest = np.ones(len(keys), bool)
+            rest[taken] = False
+            keys, to, at = keys[rest], to[rest], (at[rest] + 1) & ((1 << self.bits) - 1)
+        self.start = np.zeros(self.width, np.int32)
+        self.start[self.column[self.used]] = [step[0][c] for c in self.used]
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _found(self, keys: np.ndarray) -> np.ndarray:
+        """Where each key leads, -1 if it is not there."""
+        at = self._place(keys)
+        there = self.keys[at]
+        out = np.where(there == keys, self.to[at], -1)
+        live = np.flatnonzero((there != keys) & (there >= 0))
+        while len(live):
+            at[live] = (at[live] + 1) & ((1 << self.bits) - 1)
+            there = self.keys[at[live]]
+            hit = there == keys[live]
+            out[live[hit]] = self.to[at[live[hit]]]
+            live = live[~hit & (there >= 0)]
+        return out
+
+    def run(self, columns: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        state, count = state.astype(np.int32), np.zeros(len(state), np.int32)
+        for symbol in columns:
+            filling = symbol == self.width - 1
+            to = self._found(state.astype(np.int64) * self.width + symbol)
+            begins = ((to < 0) | (state == 0)) & ~filling
+            state = np.where(filling, state, np.where(to < 0, self.start[symbol], to)).astype(np.int32)
+            count += begins
+        return count, state
+
+
+def parser(step: list[dict[int, int]], fill: int) -> Table:
+    return (Table if len(step[0]) <= NARROW else Hashed)(step, fill)
+
+
 class Model:
     def __init__(self, samples: dict[str, str]):
-        self.symbols = symbol_table(samples)
+        self.symbols = Symbols(samples)
         self.languages = sorted(samples)
-        coded = [self.symbols[code_points(samples[x])] for x in self.languages]
-        self.tables = [Table(automaton(x.tolist())) for x in coded]
+        coded = [self.symbols.coded(samples[x]) for x in self.languages]
+        self.tables = [parser(automaton(x.tolist()), self.symbols.fill) for x in coded]
         self.bits = np.array([math.log2(max(2, len(x))) for x in coded])
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases (texts x languages) and letters of each text."""
-        coded = [self.symbols[code_points(x)] for x in texts]
+        coded = [self.symbols.coded(x) for x in texts]
         sizes = np.array([len(x) for x in coded], np.int64)
         blocks = -(-sizes // BLOCK)
         first = np.cumsum(blocks) - blocks
-        grid = np.full((int(blocks.sum()), BLOCK), FILL, np.uint8)
+        grid = np.full((int(blocks.sum()), BLOCK), self.symbols.fill, self.symbols.kind)
         flat = grid.reshape(-1)
         for at, x in zip((first * BLOCK).tolist(), coded, strict=True):
             flat[at : at + len(x)] = x

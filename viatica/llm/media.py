@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from viatica.llm.base import binaries, cut, others, slices, table, task
+from viatica.llm.base import binaries, cut, others, packed, slices, table, task
 
 FIELDS = ("kind", "text", "digest", "caption")
 ITEM = "array<struct<" + ", ".join(f"{x}: string" for x in FIELDS) + ">>"
@@ -122,8 +122,9 @@ def resolve(parsed: DataFrame, store: DataFrame) -> DataFrame:
     in its place, no payload is moved.
     """
     taken = {"position", *FIELDS, *(c.lower() for c in store.columns)}
-    own = [F.col(f"`{c}`").alias(f"page_{c}" if c.lower() in taken else c) for c in parsed.columns if c != "items"]
-    rows = parsed.select(F.struct(F.lit(True).alias("_"), *own).alias("d"), F.posexplode("items").alias("position", "item")).select("d", "position", "item.*")
+    own = [c for c in parsed.columns if c != "items"]
+    held = packed([F.col(f"`{c}`") for c in own], [f"page_{c}" if c.lower() in taken else c for c in own])
+    rows = parsed.select(held.alias("d"), F.posexplode("items").alias("position", "item")).select("d", "position", "item.*")
     found = rows.join(store, "digest", "left")
     return found.select(*[F.col(f"d.`{c}`").alias(c) for c in found.schema["d"].dataType.names[1:]], *[c for c in found.columns if c != "d"])
 
