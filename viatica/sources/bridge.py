@@ -46,6 +46,13 @@ FROM lineitem""",
 FROM lineitem""",
     "v_calls": """SELECT CAST(n_nationkey {div} 5 AS BIGINT) AS line, id * 5 + n_nationkey {div} 5 AS run, CAST(n_nationkey AS BIGINT) AS stop, CAST(n_nationkey % 5 AS BIGINT) AS pos,
   CAST(21600 + 600 * id + 120 * (n_nationkey % 5) AS BIGINT) AS arrive_s, CAST(21600 + 600 * id + 120 * (n_nationkey % 5) + 20 AS BIGINT) AS depart_s FROM nation CROSS JOIN {numbers}""",
+    # a network, places and trips that grow with the tables: 40 nodes a row, a place every 20 nodes, trips to places near by
+    "v_roads": """SELECT CAST(4 * f + k AS BIGINT) AS link, CAST(f AS BIGINT) AS from_node, CAST(f + s AS BIGINT) AS to_node, CAST(300 + 100 * ((7 * f + 13 * (f + s)) % 9) AS BIGINT) AS length_m, CAST(1 + (f + k) % 2 AS BIGINT) AS lanes, CAST((f + 2 * k) % 3 AS BIGINT) AS toll,
+  CAST((f + s) % 40 AS BIGINT) AS x, CAST((f + s) {div} 40 AS BIGINT) AS y, CAST(f % 40 AS BIGINT) AS from_x, CAST(f {div} 40 AS BIGINT) AS from_y
+FROM (SELECT p_partkey AS f FROM part ) AS nodes CROSS JOIN (VALUES (0, 1), (1, -1), (2, 40), (3, -40)) AS steps(k, s) WHERE f + s >= 0 AND f + s < (SELECT count(*) FROM part ) AND (abs(s) = 40 OR f {div} 40 = (f + s) {div} 40)""",
+    "v_journeys": """SELECT o_orderkey AS trip, CAST(20 * (o_custkey % (SELECT count(*) FROM supplier )) AS BIGINT) AS origin,
+  CAST(20 * ((o_custkey % (SELECT count(*) FROM supplier ) + 1 + o_orderkey % 7) % (SELECT count(*) FROM supplier )) AS BIGINT) AS destination,
+  CAST(25200 + (97 * o_orderkey) % 7200 AS BIGINT) AS departure_s, CAST(1 + o_custkey % 5 AS BIGINT) AS people, CAST(o_custkey % 3 AS BIGINT) AS class FROM orders""",
     "v_parkings": "SELECT s_suppkey AS parking, CAST(s_nationkey AS BIGINT) AS zone, 1 + (7 * s_suppkey) % 10 AS capacity FROM supplier",
     "v_parking_events": """SELECT l_suppkey AS parking, CAST(27000 + (37 * l_orderkey + 11 * l_partkey + 5 * l_suppkey) % 7200 AS BIGINT) AS arrive_s,
   CAST(27000 + (37 * l_orderkey + 11 * l_partkey + 5 * l_suppkey) % 7200 + 60 * CAST(l_quantity AS BIGINT) AS BIGINT) AS leave_s FROM lineitem""",
