@@ -146,39 +146,104 @@ def pareto(journeys: DataFrame) -> DataFrame:
 
 
 def arrivals(asks: DataFrame, calls: DataFrame, walks: DataFrame, rides: int, slack_s: int) -> DataFrame:
-    """Earliest arrivals at stops with at most so many rides: RAPTOR's rounds as joins."""
-    return _rounds(asks, calls, walks, rides, slack_s)[-1]
+    """Earliest arrivals at stops with at most so many rides, (ask, stop, t, rides): RAPTOR's rounds as joins."""
+    return _rounds(asks, calls, walks, rides, slack_s)[1]
 
 
 def rounds(asks: DataFrame, calls: DataFrame, walks: DataFrame, rides: int, slack_s: int) -> DataFrame:
     """(ask, stop, t, rides): what each round improves, one row a stop and number of rides that gets there earlier than with fewer. asks (ask, stop, at_s) may have several stops."""
-    found = _rounds(asks, calls, walks, rides, slack_s)
+    return labels(asks, calls, walks, rides, slack_s).select("ask", "stop", "t", "rides")
+
+
+def labels(asks: DataFrame, calls: DataFrame, walks: DataFrame, rides: int, slack_s: int) -> DataFrame:
+    """As `rounds`, with the last ride of each: (run, board, alight), the stop where it is left being `stop` itself or one from which a walk leads there. No ride has none of these."""
+    found = _rounds(asks, calls, walks, rides, slack_s)[0]
     out = found[0]
-    for n, both in enumerate(found[1:], 1):
-        out = out.unionByName(both.filter(F.col("rides") == n))
+    for improved in found[1:]:
+        out = out.unionByName(improved)
     return out
 
 
-def _rounds(asks: DataFrame, calls: DataFrame, walks: DataFrame, rides: int, slack_s: int) -> list[DataFrame]:
-    """After no ride, one, and so on: (ask, stop, t, rides), the earliest time at each stop reached.
+def _rounds(asks: DataFrame, calls: DataFrame, walks: DataFrame, rides: int, slack_s: int) -> tuple[list[DataFrame], DataFrame]:
+    """What each round improves, from no ride on, and the earliest time at each stop in the end.
 
-    Each round takes, for every stop reached in the one before and line, the first run that can be caught (as-of), follows it to its later
-    stops, walks on, and keeps each stop's earliest time.
+    Each round takes, for every stop improved in the one before and line, the first run that can be caught (as-of), follows it to its later
+    stops, walks on, and keeps what is earlier than before; of equal times the least run, then boarding stop, then stop where it is left.
     """
-    best = asks.groupBy("ask", "stop").agg(F.min("at_s").alias("t")).withColumn("rides", F.lit(0))
-    fresh, out = best, [best]
+    none = F.lit(None).cast("long")
+    first = kept(asks.groupBy("ask", "stop").agg(F.min("at_s").alias("t")).select("ask", "stop", "t", F.lit(0).alias("rides"), none.alias("run"), none.alias("board"), none.alias("alight")))
+    best, fresh, out = first.select("ask", "stop", "t", "rides"), first, [first]
     for n in range(1, rides + 1):
         at = (F.col("t") + (slack_s if n > 1 else 0)).alias("at_s")
         ready = fresh.select(F.concat_ws(":", "ask", "stop").alias("id"), "ask", "stop", at)
         caught = next_runs(ready.select(F.col("id").alias("ask"), "stop", "at_s"), calls).filter("run is not null")
         on = ready.join(caught.select(F.col("ask").alias("id"), "line", "run"), "id").join(calls.select("run", "stop", F.col("pos").alias("from_pos")), ["run", "stop"])
-        off = on.select("ask", "run", "from_pos").join(calls.select("run", F.col("stop").alias("to"), "pos", "arrive_s"), "run").filter("pos > from_pos").groupBy("ask", F.col("to").alias("stop")).agg(F.min("arrive_s").alias("t"))
-        walked = off.join(walks.select(F.col("a").alias("stop"), "b", "walk_s"), "stop").select("ask", F.col("b").alias("stop"), (F.col("t") + F.col("walk_s")).alias("t"))
-        new = off.unionByName(walked).groupBy("ask", "stop").agg(F.min("t").alias("t")).withColumn("rides", F.lit(n))
-        best = kept(best.unionByName(new).groupBy("ask", "stop").agg(F.min(F.struct("t", "rides")).alias("x")).select("ask", "stop", "x.t", "x.rides"))
-        fresh = best.filter(F.col("rides") == n)
-        out.append(best)
-    return out
+        later = on.select("ask", "run", F.col("stop").alias("board"), "from_pos").join(calls.select("run", F.col("stop").alias("to"), "pos", "arrive_s"), "run").filter("pos > from_pos")
+        off = later.groupBy("ask", F.col("to").alias("stop")).agg(F.min(F.struct(F.col("arrive_s").alias("t"), "run", "board", F.col("to").alias("alight"))).alias("x"))
+        walk = F.struct((F.col("x.t") + F.col("walk_s")).alias("t"), F.col("x.run").alias("run"), F.col("x.board").alias("board"), F.col("x.alight").alias("alight"))
+        walked = off.join(walks.select(F.col("a").alias("stop"), "b", "walk_s"), "stop").select("ask", F.col("b").alias("stop"), walk.alias("x"))
+        new = off.unionByName(walked).groupBy("ask", "stop").agg(F.min("x").alias("x"))
+        had = best.select("ask", "stop", F.col("t").alias("had"))
+        fresh = kept(new.join(had, ["ask", "stop"], "left").filter("had is null or x.t < had").select("ask", "stop", "x.t", F.lit(n).alias("rides"), "x.run", "x.board", "x.alight"))
+        best = kept(best.unionByName(fresh.select("ask", "stop", "t", "rides")).groupBy("ask", "stop").agg(F.min(F.struct("t", "rides")).alias("x")).select("ask", "stop", "x.t", "x.rides"))
+        out.append(fresh)
+    return out, best
+
+
+def shared_starts(asks: DataFrame, calls: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ask, stop, at_s, source) of asks (ask, stop, at_s), and the sources as asks of their own, (ask, stop, at_s).
+
+    Between two departures at a stop it makes no difference when one is there: who waits for the same next departure catches the same runs of all lines. So asks share the search from their stop at its next
+    departure, and there are at most as many searches as calls, however many ask. The source is null where nothing departs any more.
+    """
+    moments = asks.select("stop", "at_s").distinct().withColumn("ask", F.concat_ws("@", "stop", "at_s"))
+    slots = next_runs(moments, calls).groupBy("ask").agg(F.min("depart_s").alias("slot"))
+    slotted = moments.join(slots, "ask").filter("slot is not null").select("stop", "at_s", "slot", F.concat_ws("@", "stop", "slot").alias("source"))
+    own = kept(asks.join(slotted, ["stop", "at_s"], "left").select("ask", "stop", "at_s", "source"))
+    sources = slotted.select(F.col("source").alias("ask"), "stop", F.col("slot").alias("at_s")).distinct()
+    return own, sources
+
+
+def shared_arrivals(asks: DataFrame, calls: DataFrame, walks: DataFrame, rides: int, slack_s: int) -> DataFrame:
+    """As `arrivals`, of asks of one stop each, over shared searches."""
+    own, sources = shared_starts(asks, calls)
+    found = arrivals(sources, calls, walks, rides, slack_s).filter("rides > 0").withColumnRenamed("ask", "source")
+    there = own.select("ask", "source").join(found, "source").select("ask", "stop", "t", "rides")
+    return own.select("ask", "stop", F.col("at_s").alias("t"), F.lit(0).alias("rides")).unionByName(there)
+
+
+def shared_journeys(starts: DataFrame, ends: DataFrame, calls: DataFrame, walks: DataFrame, rides: int, slack_s: int, most_walk_s: int) -> tuple[DataFrame, DataFrame]:
+    """Pareto journeys (ask, rides, arrive_s, source, stop): an arrival by each number of rides that no arrival with fewer is as early as, and the labels of the shared searches they were found in.
+
+    starts (ask, stop, at_s) and ends (ask, stop, walk_s, the walk on from a stop) may have several stops an ask. Of equal arrivals the least last stop counts, then the least source. A stop that an ask can
+    start from no later than it is reached is no end of a ride.
+    """
+    own, sources = shared_starts(starts, calls)
+    found = kept(labels(sources, calls, walks, rides, slack_s).withColumnRenamed("ask", "source"))
+    asked = own.filter("source is not null").select("ask", "source").join(ends.filter(F.col("walk_s") <= most_walk_s), "ask")
+    there = asked.join(found.filter("rides > 0").select("source", "stop", "t", "rides"), ["source", "stop"])
+    there = there.join(own.select("ask", "stop", "at_s").groupBy("ask", "stop").agg(F.min("at_s").alias("at_s")), ["ask", "stop"], "left").filter("at_s is null or t < at_s")
+    best = there.groupBy("ask", "rides").agg(F.min(F.struct((F.col("t") + F.col("walk_s")).alias("arrive_s"), "stop", "source")).alias("x")).select("ask", "rides", "x.*")
+    before = F.min("arrive_s").over(Window.partitionBy("ask").orderBy("rides").rowsBetween(Window.unboundedPreceding, -1))
+    return best.withColumn("before", before).filter("before is null or arrive_s < before").drop("before"), found
+
+
+def legs(journeys: DataFrame, found: DataFrame, calls: DataFrame, rides: int) -> DataFrame:
+    """Journeys (ask, rides, source, stop) leg by leg: (ask, rides, leg from 1, line, run, board, alight, depart_s, arrive_s, walk_s on from there to the next leg or the last stop).
+
+    A journey is unwound from its end: each label names the ride that led to it and where that was boarded, which is where the label with one ride less ends.
+    """
+    at = journeys.select("ask", "rides", "source", "stop", F.col("rides").alias("leg"))
+    found = found.filter("rides > 0").select("source", "stop", F.col("rides").alias("leg"), "t", "run", "board", "alight")
+    out = None
+    for n in range(rides, 0, -1):
+        own = at.filter(F.col("leg") == n).join(found, ["source", "stop", "leg"])
+        taken = own.select("ask", "rides", "leg", "run", "board", "alight", "t")
+        out = taken if out is None else out.unionByName(taken)
+        at = kept(at.filter(F.col("leg") < n).unionByName(own.select("ask", "rides", "source", F.col("board").alias("stop"), (F.col("leg") - 1).alias("leg"))))
+    on = calls.select("run", "line", F.col("stop").alias("board"), "depart_s")
+    off = calls.select("run", F.col("stop").alias("alight"), "arrive_s")
+    return out.join(on, ["run", "board"]).join(off, ["run", "alight"]).select("ask", "rides", "leg", "line", "run", "board", "alight", "depart_s", "arrive_s", (F.col("t") - F.col("arrive_s")).alias("walk_s"))
 
 
 def ride_line(asks: DataFrame, calls: DataFrame, slack_s: int) -> DataFrame:

@@ -34,9 +34,8 @@ def turn_route_twins(zones, links):
 
 
 def _asks(trips):
-    """One ask a zone and hour, to all zones that trips of then go to."""
-    at = F.expr("departure_s div 3600")
-    return trips.groupBy(F.col("o_zone").alias("origin"), at.alias("h")).agg(F.sort_array(F.collect_set("d_zone")).alias("destinations")).select((F.col("origin") * 100 + F.col("h")).alias("ask"), "origin", (F.col("h") * 3600 + 900).alias("depart_s"), "destinations")
+    """Every trip at its own departure."""
+    return trips.select(F.col("trip").alias("ask"), F.col("o_zone").alias("origin"), F.col("departure_s").alias("depart_s"), F.array("d_zone").alias("destinations"))
 
 
 def _times(traversals):
@@ -45,7 +44,7 @@ def _times(traversals):
 
 @query(None, "v_traversals", "v_links", "v_trip_results", "v_zones")
 def earliest_arrivals_in_time(traversals, links, trips, zones):
-    """From every zone at every hour of departure to where its trips go."""
+    """Every trip at its own departure."""
     return search.in_time(links.withColumn("free_s", F.expr("length_m div 10")), _times(traversals), _asks(trips), "free_s", 900, nodes=_zones(zones)[1]).select("ask", "destination", "arrive_s")
 
 

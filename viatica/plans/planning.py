@@ -8,7 +8,7 @@ from viatica.operators import itineraries as op
 from viatica.operators import loading, transit
 from viatica.plans.loading import BINS
 from viatica.plans.registry import query
-from viatica.plans.transit import RIDE, WALKS
+from viatica.plans.transit import RIDE, WALKS, walks_up
 
 CAR_ROUTES = f"""{BINS}, ls AS (SELECT link, CAST(sum(pcu_seconds) // sum(pcu) AS BIGINT) AS s FROM bins GROUP BY 1),
 cr AS (SELECT pair, route, CAST(sum(s) AS BIGINT) AS seconds, CAST(sum(length_m) AS BIGINT) AS metres FROM v_routes JOIN ls USING (link) JOIN v_links USING (link) GROUP BY 1, 2), tp AS (SELECT trip, trip // 4 AS pair FROM v_trip_results)"""
@@ -69,7 +69,7 @@ def plan_direct(trips):
     return op.direct(legs.withColumn("seconds", F.expr("metres * 24 div 100")), "bike", 3600, 30, 45).unionByName(op.direct(legs.withColumn("seconds", F.expr("metres * 72 div 100")), "walk", 5400))
 
 
-PAIRS = "pr AS (SELECT DISTINCT o_zone AS o, d_zone AS d, o_zone * 100 + d_zone AS ask, CAST(25200 + 60 * d_zone AS BIGINT) AS dep FROM v_trip_results)"
+PAIRS = "pr AS (SELECT o_zone AS o, d_zone AS d, trip AS ask, departure_s AS dep FROM v_trip_results)"
 AT = "SELECT {ask} AS ask, {zone} AS stop, {t} + 60 AS t{more} FROM {rows} UNION ALL SELECT {ask}, {zone} + 5, {t} + 300{more2} FROM {rows} WHERE {zone} + 5 IN (SELECT zone FROM v_zones)"
 ROUNDS = f"""{RIDE.format(n=1, before="a0", all="a0", slack=0)}, {RIDE.format(n=2, before="f1", all="a1", slack=60)}, {RIDE.format(n=3, before="f2", all="a2", slack=60)},
 rd AS (SELECT ask, stop, t, 1 AS rides FROM f1 UNION ALL SELECT ask, stop, t, 2 FROM f2 UNION ALL SELECT ask, stop, t, 3 FROM f3), jt AS (SELECT rd.ask, rides, min(t + walk_s) AS arrive_s FROM rd JOIN eg ON eg.ask = rd.ask AND eg.stop = rd.stop GROUP BY 1, 2),
@@ -77,7 +77,8 @@ jn AS (SELECT * FROM jt a WHERE NOT EXISTS (SELECT 1 FROM jt b WHERE b.ask = a.a
 
 
 def _asks(trips):
-    return trips.select(F.col("o_zone").alias("o"), F.col("d_zone").alias("d"), (F.col("o_zone") * 100 + F.col("d_zone")).alias("ask"), (25200 + 60 * F.col("d_zone")).alias("dep")).distinct()
+    """Every trip at its own departure."""
+    return trips.select(F.col("o_zone").alias("o"), F.col("d_zone").alias("d"), F.col("trip").alias("ask"), F.col("departure_s").alias("dep"))
 
 
 def _around(rows, zones, zone: str):
@@ -87,18 +88,14 @@ def _around(rows, zones, zone: str):
     return there.select("*", "x.walk_s").drop("x")
 
 
-def _walks(zones):
-    return zones.select(F.col("zone").alias("a")).join(zones.select(F.col("zone").alias("b")), F.col("b") == F.col("a") + 5).withColumn("walk_s", F.lit(240).cast("long"))
-
-
 def _journeys(starts, ends, calls, zones):
     """starts (ask, stop, at_s), ends (ask, stop, walk_s)."""
-    return op.journeys(transit.rounds(starts, calls, _walks(zones), 3, 60), ends, 600)
+    return transit.shared_journeys(starts, ends, calls, walks_up(zones), 3, 60, 600)[0].select("ask", "rides", "arrive_s")
 
 
 @query(
     f"""WITH {WALKS}, {PAIRS}, a0 AS (SELECT ask, stop, min(t) AS t, 0 AS rides FROM ({AT.format(ask='ask', zone='o', t='dep', rows='pr', more='', more2='')}) GROUP BY 1, 2), eg AS (SELECT ask, stop, t AS walk_s FROM ({AT.format(ask='ask', zone='d', t='0', rows='pr', more='', more2='')})), {ROUNDS},
-tr AS (SELECT t.trip, jn.rides, arrive_s, 25200 + 60 * d_zone AS dep FROM v_trip_results t JOIN jn ON jn.ask = o_zone * 100 + d_zone) SELECT {_sql('transit', n='rides - 1', ride='(arrive_s - dep)')} FROM tr""",
+tr AS (SELECT t.trip, jn.rides, arrive_s, departure_s AS dep FROM v_trip_results t JOIN jn ON jn.ask = t.trip) SELECT {_sql('transit', n='rides - 1', ride='(arrive_s - dep)')} FROM tr""",
     "v_trip_results",
     "v_calls",
     "v_zones",
@@ -107,7 +104,7 @@ def plan_transit(trips, calls, zones):
     asks = _asks(trips)
     starts = _around(asks, zones, "o").select("ask", "stop", (F.col("dep") + F.col("walk_s")).alias("at_s"))
     found = _journeys(starts, _around(asks, zones, "d").select("ask", "stop", "walk_s"), calls, zones)
-    return op.transit(trips.select("trip", (F.col("o_zone") * 100 + F.col("d_zone")).alias("ask"), (25200 + 60 * F.col("d_zone")).alias("depart_s")), found)
+    return op.transit(trips.select("trip", F.col("trip").alias("ask"), F.col("departure_s").alias("depart_s")), found)
 
 
 PLACES = f"""pl AS (SELECT DISTINCT zone AS place FROM v_parkings), cd AS (SELECT ask, o, d, dep, place, 1500 * {STEPS.format(a='{drive}', b='place')} + 300 AS drive_m, (1500 * {STEPS.format(a='{drive}', b='place')} + 300) * 9 // 100 AS drive_s, 600 * {STEPS.format(a='place', b='{other}')} AS rest_s FROM pr, pl),

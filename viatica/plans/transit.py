@@ -163,7 +163,7 @@ a{n} AS (SELECT ask, stop, x[1] AS t, x[2] AS rides FROM (SELECT ask, stop, min(
 
 
 @query(
-    f"""WITH {WALKS}, a0 AS (SELECT DISTINCT o_zone * 100 + d_zone AS ask, o_zone AS stop, CAST(25200 + 60 * d_zone AS BIGINT) AS t, CAST(0 AS BIGINT) AS rides FROM v_trip_results),
+    f"""WITH {WALKS}, a0 AS (SELECT trip AS ask, o_zone AS stop, departure_s AS t, CAST(0 AS BIGINT) AS rides FROM v_trip_results),
 {RIDE.format(n=1, before="a0", all="a0", slack=0)}, {RIDE.format(n=2, before="f1", all="a1", slack=60)}, {RIDE.format(n=3, before="f2", all="a2", slack=60)}
 SELECT ask, stop, CAST(t AS BIGINT) AS t, CAST(rides AS BIGINT) AS rides FROM a3""",
     "v_trip_results",
@@ -171,10 +171,38 @@ SELECT ask, stop, CAST(t AS BIGINT) AS t, CAST(rides AS BIGINT) AS rides FROM a3
     "v_zones",
 )
 def raptor_arrivals(trips, calls, zones):
-    return _arrivals(trips, calls, zones)
+    """From every trip's zone at its departure to all stops."""
+    asks = trips.select(F.col("trip").alias("ask"), F.col("o_zone").alias("stop"), F.col("departure_s").alias("at_s"))
+    return op.shared_arrivals(asks, calls, walks_up(zones), 3, 60).withColumn("rides", F.col("rides").cast("long"))
+
+
+def walks_up(zones):
+    """From every zone to the one above it."""
+    return zones.select(F.col("zone").alias("a")).join(zones.select(F.col("zone").alias("b")), F.col("b") == F.col("a") + 5).withColumn("walk_s", F.lit(240).cast("long"))
+
+
+RIDE_LEG = """o{n} AS (SELECT f.ask, f.stop AS board, c.line, min([c.depart_s, c.run]) AS x FROM {before} f JOIN v_calls c ON c.stop = f.stop AND c.depart_s >= f.t + {slack} GROUP BY 1, 2, 3),
+h{n} AS (SELECT o.ask, d.stop, min([d.arrive_s, o.x[2], o.board, d.stop]) AS p FROM o{n} o JOIN v_calls b ON b.run = o.x[2] AND b.stop = o.board JOIN v_calls d ON d.run = b.run AND d.pos > b.pos GROUP BY 1, 2),
+b{n} AS (SELECT ask, stop, min(p) AS p FROM (SELECT ask, stop, p FROM h{n} UNION ALL SELECT ask, b, [p[1] + walk_s, p[2], p[3], p[4]] FROM h{n} JOIN wk ON stop = a) GROUP BY 1, 2),
+f{n} AS (SELECT b.ask, b.stop, p[1] AS t, p FROM b{n} b LEFT JOIN {all} g ON g.ask = b.ask AND g.stop = b.stop WHERE g.t IS NULL OR p[1] < g.t), g{n} AS (SELECT ask, stop, min(t) AS t FROM (SELECT ask, stop, t FROM {all} UNION ALL SELECT ask, stop, t FROM f{n}) GROUP BY 1, 2)"""
 
 
-def _arrivals(trips, calls, zones):
-    asks = trips.select((F.col("o_zone") * 100 + F.col("d_zone")).alias("ask"), F.col("o_zone").alias("stop"), (25200 + 60 * F.col("d_zone")).alias("at_s")).distinct()
-    walks = zones.select(F.col("zone").alias("a")).join(zones.select(F.col("zone").alias("b")), F.col("b") == F.col("a") + 5).withColumn("walk_s", F.lit(240).cast("long"))
-    return op.arrivals(asks, calls, walks, 3, 60).withColumn("rides", F.col("rides").cast("long"))
+@query(
+    f"""WITH {WALKS}, a0 AS (SELECT trip AS ask, o_zone AS stop, departure_s + 60 AS t FROM v_trip_results), eg AS (SELECT trip AS ask, d_zone AS stop, 60 AS walk_s FROM v_trip_results UNION ALL SELECT trip, d_zone + 5, 300 FROM v_trip_results WHERE d_zone < 20),
+{RIDE_LEG.format(n=1, before="a0", all="a0", slack=0)}, {RIDE_LEG.format(n=2, before="f1", all="g1", slack=60)}, {RIDE_LEG.format(n=3, before="f2", all="g2", slack=60)},
+e AS (SELECT f.ask, r AS rides, min([t + walk_s, stop]) AS x FROM (SELECT ask, stop, t, 1 AS r FROM f1 UNION ALL SELECT ask, stop, t, 2 FROM f2 UNION ALL SELECT ask, stop, t, 3 FROM f3) f JOIN eg USING (ask, stop) GROUP BY 1, 2),
+j AS (SELECT ask, rides, x[1] AS arrive_s, x[2] AS stop FROM e WHERE NOT EXISTS (SELECT 1 FROM e y WHERE y.ask = e.ask AND y.rides < e.rides AND y.x[1] <= e.x[1])),
+l3 AS (SELECT j.ask, j.rides, 3 AS leg, p FROM j JOIN f3 USING (ask, stop) WHERE rides = 3), l2 AS (SELECT s.ask, s.rides, 2 AS leg, p FROM (SELECT ask, rides, stop FROM j WHERE rides = 2 UNION ALL SELECT ask, rides, p[3] FROM l3) s JOIN f2 USING (ask, stop)),
+l1 AS (SELECT s.ask, s.rides, 1 AS leg, p FROM (SELECT ask, rides, stop FROM j WHERE rides = 1 UNION ALL SELECT ask, rides, p[3] FROM l2) s JOIN f1 USING (ask, stop)), l AS (SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3)
+SELECT l.ask AS trip, l.rides, l.leg, b.line, p[2] AS run, p[3] AS board, p[4] AS alight, b.depart_s, a.arrive_s, p[1] - a.arrive_s AS walk_s FROM l JOIN v_calls b ON b.run = p[2] AND b.stop = p[3] JOIN v_calls a ON a.run = p[2] AND a.stop = p[4]""",
+    "v_trip_results",
+    "v_calls",
+    "v_zones",
+)
+def transit_journey_legs(trips, calls, zones):
+    """Every trip's Pareto journeys, leg by leg, from its zone's stop a minute away to its destination's own or the one above."""
+    starts = trips.select(F.col("trip").alias("ask"), F.col("o_zone").alias("stop"), (F.col("departure_s") + 60).alias("at_s"))
+    own = trips.select(F.col("trip").alias("ask"), F.col("d_zone").alias("stop"), F.lit(60).cast("long").alias("walk_s"))
+    above = trips.filter("d_zone < 20").select(F.col("trip").alias("ask"), (F.col("d_zone") + 5).alias("stop"), F.lit(300).cast("long").alias("walk_s"))
+    found, labels = op.shared_journeys(starts, own.unionByName(above), calls, walks_up(zones), 3, 60, 600)
+    return op.legs(found, labels, calls, 3).withColumnRenamed("ask", "trip").withColumns({c: F.col(c).cast("long") for c in ("rides", "leg")})
