@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from viatica.functions import draws
 from viatica.operators import choice as op
 from viatica.plans.registry import query
 
@@ -217,3 +219,33 @@ def convergence_verdict(spark, sf_dir):
 def msa_reselection(alternatives):
     """Who chooses anew in iteration 3, where the share is 1 / (3 + 1)."""
     return alternatives.select("situation").distinct().filter(op.reselects(4, 3, 0.25, "situation"))
+
+
+def _mixed_sql(rows: str, key: bytes) -> str:
+    """SQL for the first word of the ChaCha8 block at address (a, b, c, d) of rows (id, a, b, c, d): a CTE a quarter round."""
+    words = [*draws.CONSTANTS.tolist(), *np.frombuffer(key, "<u4").tolist()]
+    turned = lambda x, n: f"((({x}) << {n}) | (({x}) >> {32 - n})) & 4294967295"
+    out = [f"z0 AS MATERIALIZED (SELECT id, {', '.join(f'CAST({w} AS BIGINT) AS x{i}' for i, w in enumerate(words))}, CAST(d AS BIGINT) AS x12, CAST(c AS BIGINT) AS x13, CAST(b AS BIGINT) AS x14, CAST(a AS BIGINT) AS x15 FROM {rows})"]
+    n = 0
+    for _ in range(4):
+        for a, b, c, d in draws.COLUMNS_THEN_DIAGONALS:
+            for u, v, w, turn in ((a, b, d, 16), (c, d, b, 12), (a, b, d, 8), (c, d, b, 7)):
+                others = ", ".join(f"x{i}" for i in range(16) if i not in (u, w))
+                total = f"(x{u} + x{v}) & 4294967295"
+                out.append(f"z{n + 1} AS MATERIALIZED (SELECT id, {others}, {total} AS x{u}, {turned(f'xor(x{w}, {total})', turn)} AS x{w} FROM z{n})")
+                n += 1
+    return ", ".join(out) + f", zw AS (SELECT id, (x0 + {words[0]}) & 4294967295 AS word FROM z{n})"
+
+
+KEY = draws.key(42, "choice")
+
+
+@query(
+    f"""WITH a AS (SELECT *, {U} AS u, situation * 1000 + alternative AS id FROM v_alternatives), ad AS (SELECT id, situation AS a, 0 AS b, 3 AS c, alternative AS d FROM a), {_mixed_sql('ad', KEY)}
+SELECT situation, alternative FROM (SELECT situation, alternative, row_number() OVER (PARTITION BY situation ORDER BY round(u - ln(-ln((word + CAST(0.5 AS DOUBLE)) / CAST(4294967296 AS DOUBLE))), 9) DESC, alternative) AS n FROM a JOIN zw USING (id)) WHERE n = 1""",
+    "v_alternatives",
+)
+def keyed_gumbel_choice(alternatives):
+    """The highest utility with a Gumbel draw addressed by situation, trip 0, iteration 3 and alternative."""
+    rows = _with_u(alternatives).withColumn("word", draws.word(KEY, "situation", F.lit(0), F.lit(3), "alternative"))
+    return op.first_best(rows, F.round(F.col("u") + draws.gumbel(F.col("word")), 9)).select("situation", "alternative")
