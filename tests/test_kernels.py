@@ -196,3 +196,31 @@ def test_dock_days_keep_their_bikes(spark):
     rows = QUERIES["dock_days"](spark, DATA).toPandas()
     assert len(rows) == len(set(zip(rows.day, rows.leg, strict=True))) and (rows.status == "rode").any()
     assert (rows[rows.status == "no_bike"].back.isna()).all()
+
+
+def test_one_rule_of_self_regulated_steps(spark, monkeypatch):
+    """The solver's steps are those of choice.self_regulated_steps over its gaps."""
+    from viatica.operators import choice, statics
+
+    links = spark.createDataFrame([(k, a, b, 1000.0, t, 40.0) for k, a, b, t in ((0, 0, 1, 10.0), (1, 0, 1, 11.0), (2, 0, 1, 14.0), (3, 0, 1, 12.5))], "link long, from_node long, to_node long, length_m double, free_s double, capacity double")
+    demand = spark.createDataFrame([(0, 1, 150.0)], "origin long, destination long, people double")
+    out = statics.solve(links, demand, "sra", turns=7)
+    gaps = [r.gap for r in out.reports]
+    rows = spark.createDataFrame([(1, n, g) for n, g in enumerate(gaps)], "run long, iteration long, gap double")
+    want = [r.step for r in choice.self_regulated_steps(rows).orderBy("iteration").collect()]
+    assert [round(r.step, 6) for r in out.reports[:-1]] == want[1:] and len({x < y for x, y in zip(gaps[1:], gaps, strict=False)}) == 2
+
+
+def test_line_search_by_bisection(spark):
+    from viatica.operators import statics
+
+    rows = [(10.0, 40.0, 150.0, 0.0), (11.0, 40.0, 0.0, 90.0), (14.0, 30.0, 20.0, 80.0)]
+    state = spark.createDataFrame(rows, "free_s double, capacity double, flow double, target double")
+    slope = lambda a: sum((t - f) * s * (1 + 0.15 * ((f + a * (t - f)) / c) ** 4) for s, c, f, t in rows)
+    low, high = 0.0, 1.0
+    for _ in range(50):
+        middle = (low + high) / 2
+        low, high = (middle, high) if slope(middle) < 0 else (low, middle)
+    assert abs(statics.line_search(state) - low) <= 1 / 64**2
+    assert statics.line_search(state.withColumn("target", F.col("flow"))) == 1.0
+    assert statics.line_search(spark.createDataFrame([(10.0, 40.0, 0.0, 50.0), (20.0, 40.0, 50.0, 0.0)], state.schema)) == 1.0

@@ -43,19 +43,20 @@ def msa(turn: int, offset: float = 0.0) -> float:
     return 1.0 / (turn + 2.0 + offset)
 
 
-def line_search(state: DataFrame, probes: int = 30) -> float:
-    """The step from flow to target at which the cost to all (the sum of integrals of the links' times) is least: where its slope, a sum over links, changes its sign, by bisection."""
-    moving = kept(state.select("free_s", "capacity", "flow", (F.col("target") - F.col("flow")).alias("d")).filter("d <> 0"))
-
-    def slope(step: float) -> float:
-        return moving.agg(F.sum(F.col("d") * bpr_time(F.col("flow") + step * F.col("d")))).first()[0] or 0.0
+def line_search(state: DataFrame, rounds: int = 2, steps: int = 64) -> float:
+    """The step from flow to target at which the cost to all (the sum of integrals of the links' times) is least: where its slope, a sum over links, changes its sign.
 
-    if slope(1.0) <= 0:
-        return 1.0
+    The slope at `steps` even steps is one aggregate; where it turns is looked at again as finely, so the step is found to 1 / steps^rounds by as many jobs.
+    """
+    moving = kept(state.select("free_s", "capacity", "flow", (F.col("target") - F.col("flow")).alias("d")).filter("d <> 0"))
     low, high = 0.0, 1.0
-    for _ in range(probes):
-        middle = (low + high) / 2
-        low, high = (middle, high) if slope(middle) < 0 else (low, middle)
+    for _ in range(rounds):
+        width = (high - low) / steps
+        slopes = moving.agg(*[F.coalesce(F.sum(F.col("d") * bpr_time(F.col("flow") + (low + width * (i + 1)) * F.col("d"))), F.lit(0.0)) for i in range(steps)]).first()
+        turns = next((i for i, x in enumerate(slopes) if x > 0), None)
+        if turns is None:
+            return high
+        low, high = low + width * turns, low + width * (turns + 1)
     return (low + high) / 2
 
 
@@ -71,7 +72,7 @@ def _on_links(routes: DataFrame) -> DataFrame:
 def solve(links: DataFrame, demand: DataFrame, strategy: str = "frank_wolfe", turns: int = 20, tolerance: float = 0.0, increments: int = 5, offset: float = 0.0, fell: float = 0.2, rose: float = 1.5, allowed: DataFrame | None = None) -> Solution:
     """links (link, from_node, to_node, length_m, free_s, capacity), demand (origin, destination, people).
 
-    `frank_wolfe`: the step that costs all least; `msa`: 1 / (turn + 2 + offset); `sra`: 1 / eta, eta growing by `fell` after a gap that fell, else by `rose`; `free_flow`: one
+    `frank_wolfe`: the step that costs all least; `msa`: 1 / (turn + 2 + offset); `sra`: 1 / eta, eta being 2, then growing by `rose`, and then each turn by `fell` if the gap of the turn before was under the one before it, else by `rose`; `free_flow`: one
     loading in `increments` equal parts, each on the times of those before, and no more turns. The gap is how much longer than on shortest routes all travel; a turn whose gap is under
     the tolerance is the last.
     """
@@ -85,17 +86,17 @@ def solve(links: DataFrame, demand: DataFrame, strategy: str = "frank_wolfe", tu
         found = _load(state, demand.withColumn("people", F.col("people") / parts), allowed)
         routes = _merged(routes, found, 1.0, keep=True)
         state = _moved(state, _on_links(found), lambda flow, target: flow + target)
-    out, eta, last = Solution(state, routes), 2.0, None
+    out, eta, last, before_last = Solution(state, routes), 2.0, None, None
     for turn in range(turns):
         found = _load(state, demand, allowed)
         sums = state.join(_on_links(found), "link", "left").agg(F.sum(F.col("flow") * F.col("seconds"))).first()[0] or 0.0
         shortest = found.agg(F.sum(F.col("cost") * F.col("people"))).first()[0] or 0.0
         gap = (sums - shortest) / shortest if shortest else 0.0
-        if turn and strategy == "sra":
-            eta += fell if gap < last else rose
+        if turn and strategy == "sra":  # as choice.self_regulated_steps: a turn makes the loading after the next, and knows the gaps before its own
+            eta += fell if turn > 1 and last < before_last else rose
         report = Report(turn, 1.0, sums, shortest, gap, None)
         out.reports.append(report)
-        last = gap
+        last, before_last = gap, last
         if tolerance > 0 and gap < tolerance:
             out.converged = True
             break
