@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from viatica.operators.network import distances
+from viatica.operators.routing import MOST_LINKS
 from viatica.operators.trees import Shared, Tree, roads_of, spread, times_of
 
 
@@ -26,11 +28,19 @@ def snapped(places: DataFrame, nodes: DataFrame, most_m: float) -> DataFrame:
     return met.groupBy("place").agg(F.min(F.struct("snap_m", "node")).alias("x")).select("place", "x.node", "x.snap_m")
 
 
-def between_nodes(layer: DataFrame, starts: DataFrame, ends: DataFrame, most_s: float, seconds: str = "seconds") -> DataFrame:
-    """(from_node, to_node, walk_s): the walks of at most `most_s` from the nodes of `starts` to those of `ends` (node), over the layer's links (link, from_node, to_node, `seconds`, length_m). From a node to itself it is no walk at all."""
+def between_nodes(layer: DataFrame, starts: DataFrame, ends: DataFrame, most_s: float, seconds: str = "seconds", most_links: int = MOST_LINKS) -> DataFrame:
+    """(from_node, to_node, walk_s): the walks of at most `most_s` from the nodes of `starts` to those of `ends` (node), over the layer's links (link, from_node, to_node, `seconds`, length_m). From a node to itself it is no walk at all.
+
+    A layer of more than `most_links` is not broadcast: walks grow from all starts at once, a join a turn, as many turns as a walk has links.
+    """
     spark = layer.sparkSession
-    roads = roads_of(layer, seconds)
     there = ends.select("node").filter("node is not null").distinct()
+    own = starts.select("node").filter("node is not null").distinct()
+    stays = own.join(there, "node").select(F.col("node").alias("from_node"), F.col("node").alias("to_node"), F.lit(0.0).alias("walk_s"))
+    if layer.limit(most_links + 1).count() > most_links:
+        found = distances(layer, own.select(F.col("node").alias("origin")), seconds, most_s, "double").filter("origin <> node")
+        return found.join(there, "node").select(F.col("origin").alias("from_node"), F.col("node").alias("to_node"), F.col("cost").alias("walk_s")).unionByName(stays)
+    roads = roads_of(layer, seconds)
     goal = np.zeros(len(roads.nodes), bool)
     known = spark.createDataFrame(pd.DataFrame({"node": roads.nodes}))
     hit = there.join(F.broadcast(known), "node", "left_semi").toPandas()["node"].to_numpy(np.int64)  # no more than the layer has nodes, which are broadcast
@@ -45,12 +55,11 @@ def between_nodes(layer: DataFrame, starts: DataFrame, ends: DataFrame, most_s:
                 origin = s.roads.node(node)
                 if origin >= 0:
                     tree = Tree(s.roads, s.times, origin, 0.0, None, {-1}, bound=most_s)
-                    out += [(node, int(s.roads.nodes[n]), float(tree.cost[k])) for n, k in tree.best.items() if goal[n] and n != origin]
+                    out += [(node, int(s.roads.nodes[n]), float(tree.known[k][0])) for n, k in tree.best.items() if goal[n] and n != origin]
             yield pd.DataFrame(out, columns=["from_node", "to_node", "walk_s"])
 
-    own = starts.select("node").filter("node is not null").distinct()
     walks = own.repartition(spread(own), "node").mapInPandas(run, "from_node long, to_node long, walk_s double")
-    return walks.unionByName(own.join(there, "node").select(F.col("node").alias("from_node"), F.col("node").alias("to_node"), F.lit(0.0).alias("walk_s")))
+    return walks.unionByName(stays)
 
 
 def walks(layer: DataFrame, starts: DataFrame, ends: DataFrame, most_s: float, seconds: str = "seconds", most: int | None = None, same: Column | None = None) -> DataFrame:
