@@ -93,12 +93,17 @@ def ride_back(candidates: DataFrame, found: DataFrame, mode: str, fetch_s: int)
     return alternative(own, mode, ride_s=F.col("arrive_s") - F.col("depart_s"), parking_s=F.lit(fetch_s), vehicle_s=F.col("drive_s"), vehicle_m=F.col("drive_m"))
 
 
+def near_docks(docks: DataFrame, most: int, *key: str) -> DataFrame:
+    """The `most` docks nearest each end (docks: key, dock, walk_s, ...), lower ones of equals."""
+    n = F.row_number().over(Window.partitionBy(*key).orderBy("walk_s", "dock"))
+    return docks.withColumn("n", n).filter(F.col("n") <= most).drop("n")
+
+
 def dock_pairs(origin_docks: DataFrame, destination_docks: DataFrame, k: int, crow_m_s: int = 4) -> DataFrame:
     """(trip, pickup, back, ...): of the 3 k docks nearest each end of a trip (trip, dock, walk_s, x, y), the k pairs of different docks with the least walks and crow's flight; lower docks of equals."""
 
     def near(docks: DataFrame, name: str) -> DataFrame:
-        n = F.row_number().over(Window.partitionBy("trip").orderBy("walk_s", "dock"))
-        return docks.withColumn("n", n).filter(F.col("n") <= 3 * k).select("trip", F.col("dock").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("walk_s", "x", "y")])
+        return near_docks(docks, 3 * k, "trip").select("trip", F.col("dock").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("walk_s", "x", "y")])
 
     pairs = near(origin_docks, "pickup").join(near(destination_docks, "back"), "trip").filter("pickup <> back")  # at most 9 k^2 a trip
     crow = F.sqrt(F.pow(F.col("pickup_x") - F.col("back_x"), F.lit(2.0)) + F.pow(F.col("pickup_y") - F.col("back_y"), F.lit(2.0)))
