@@ -24,12 +24,12 @@ def origin_wait_at(waits: DataFrame, asks: DataFrame, width: int = 900) -> DataF
 def room_at(traversals: DataFrame, asks: DataFrame, storage: DataFrame) -> DataFrame:
     """Room on a link at a time (ask, link, at_s): its storage, plus what had left a wave's lag before, less all that has entered by then; storage (link, storage_pcu, lag_s).
 
-    Both are as-of readings of running sums over one sort by link and time.
+    Both are as-of readings of running sums over one sort by link and time; what enters or leaves a link in one instant is summed before it is sorted.
     """
     own = asks.join(storage, "link")
     moves = traversals.select("link", F.col("enter_s").alias("t"), F.col("pcu").alias("ins"), F.lit(0).cast("long").alias("outs")).unionByName(traversals.select("link", F.col("exit_s").alias("t"), F.lit(0).cast("long").alias("ins"), F.col("pcu").alias("outs")))
     blank = F.lit(None).cast("long")
-    events = moves.select("link", "t", F.lit(0).alias("kind"), "ins", "outs", blank.alias("ask"))
+    events = moves.groupBy("link", "t").agg(F.sum("ins").alias("ins"), F.sum("outs").alias("outs")).select("link", "t", F.lit(0).alias("kind"), "ins", "outs", blank.alias("ask"))
     reads = [own.select("link", t.alias("t"), F.lit(k).alias("kind"), F.lit(0).cast("long").alias("ins"), F.lit(0).cast("long").alias("outs"), "ask") for k, t in ((1, F.col("at_s")), (2, F.col("at_s") - F.col("lag_s")))]
     order = Window.partitionBy("link").orderBy("t", "kind", "ask").rowsBetween(Window.unboundedPreceding, 0)
     rows = events.unionByName(reads[0]).unionByName(reads[1]).withColumns({"entered": F.sum("ins").over(order), "left": F.sum("outs").over(order)}).filter("kind > 0")
