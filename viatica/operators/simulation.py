@@ -5,16 +5,25 @@ front of its link goes on when it has travelled the link, the link's saturation
 entrant has passed. Of links that wait for one, the one that has waited longest goes first. Not in here: vehicles that straddle links, signals' delay beside their headway,
 roundabouts, pockets and rerouting.
 
-A link of a day is far smaller than a task's memory; days, scenarios and seeds are what grows, and they are dealt over the cluster.
+A link of a day is far smaller than a task's memory; days, scenarios and seeds are what grows, and they are dealt over the cluster. Of a scenario a task holds numbers in arrays, of no more vehicles than can
+start before the end.
 """
 
 from __future__ import annotations
 
 import heapq
+from array import array
 from collections import deque
+from collections.abc import Iterator
+from itertools import islice
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from viatica.functions.lineage import spread
 
 MOVES = "scenario long, vehicle long, pos long, link long, enter_s double, exit_s double"
 
@@ -35,15 +44,23 @@ class Road:
 
 def load(links: pd.DataFrame, routes: pd.DataFrame, level: int = 4, end_s: float = float("inf")) -> list[tuple]:
     """(vehicle, pos, link, enter_s, exit_s) of vehicles (vehicle, pos, link, depart_s, pcu) over links (link, free_s, headway_s, storage_pcu, lag_s); exit_s is None if the window ends before."""
-    road = {int(r.link): Road(float(r.free_s), float(r.headway_s), float(r.storage_pcu) if level >= 3 else float("inf"), float(r.lag_s) if level >= 4 else 0.0) for r in links.itertuples()}
     path: dict[int, list[int]] = {}
     start: dict[int, tuple[float, float]] = {}
     for r in routes.sort_values(["vehicle", "pos"]).itertuples():
         path.setdefault(int(r.vehicle), []).append(int(r.link))
         start[int(r.vehicle)] = (float(r.depart_s), float(r.pcu))
-    at = dict.fromkeys(path, -1)  # place of each vehicle on its path
+    who = sorted(path, key=lambda x: (start[x][0], x))
+    return list(play(links, who, [start[v][0] for v in who], [start[v][1] for v in who], [len(path[v]) for v in who], [k for v in who for k in path[v]], level, end_s))
+
+
+def play(links: pd.DataFrame, who, depart, pcu, sizes, path, level: int, end_s: float) -> Iterator[tuple]:
+    """What load returns, as it happens, of vehicles in order of departure and number: their numbers, departures, pcu, how many links each goes along, and these links one vehicle after another."""
+    road = {int(r.link): Road(float(r.free_s), float(r.headway_s), float(r.storage_pcu) if level >= 3 else float("inf"), float(r.lag_s) if level >= 4 else 0.0) for r in links.itertuples()}
+    ids, departs, weights, path = _packed("q", who), _packed("d", depart), _packed("d", pcu), _packed("q", path)
+    begins = _packed("q", np.concatenate([[0], np.cumsum(np.asarray(sizes, dtype="int64"))]))
+    del who, depart, pcu, sizes
+    at = array("i", [-1]) * len(ids)  # place of each vehicle on its path
     entered: dict[int, float] = {}
-    moves: list[tuple] = []
     heap: list[tuple] = []
     count = 0
 
@@ -52,12 +69,12 @@ def load(links: pd.DataFrame, routes: pd.DataFrame, level: int = 4, end_s: float
         count += 1
         heapq.heappush(heap, (t, count, kind, who))
 
-    origins: dict[int, list] = {}
-    for v in sorted(path, key=lambda x: (start[x][0], x)):
-        origins.setdefault(path[v][0], []).append(v)
-    queues = {k: deque(vs) for k, vs in origins.items()}
+    queues: dict[int, array] = {}  # by first link
+    for v in range(len(ids)):
+        queues.setdefault(path[begins[v]], array("i")).append(v)
+    gone = dict.fromkeys(queues, 0)  # how many of a queue have started
     for k, vs in queues.items():
-        call(start[vs[0]][0], 0, k)
+        call(departs[vs[0]], 0, k)
 
     def room(k: int, t: float) -> bool:
         own = road[k]
@@ -69,7 +86,7 @@ def load(links: pd.DataFrame, routes: pd.DataFrame, level: int = 4, end_s: float
         own = road[k]
         at[v] += 1
         entered[v] = t
-        own.held += start[v][1]
+        own.held += weights[v]
         own.last_in = t
         own.queue.append((v, t + own.free))
         if len(own.queue) == 1:
@@ -102,16 +119,16 @@ def load(links: pd.DataFrame, routes: pd.DataFrame, level: int = 4, end_s: float
         if t >= end_s:
             break
         if kind == 0:  # the first of those who want to start on a link
-            own = queues[who]
-            if not own or start[own[0]][0] > t + 1e-9:
+            own, n = queues[who], gone[who]
+            if n == len(own) or departs[own[n]] > t + 1e-9:
                 continue
-            v = own[0]
-            if refused(who, t, start[v][1], (0, who)):
+            v = own[n]
+            if refused(who, t, weights[v], (0, who)):
                 continue
-            own.popleft()
+            gone[who] = n + 1
             enter(v, who, t)
-            if own:
-                call(max(t, start[own[0]][0]), 0, who)
+            if n + 1 < len(own):
+                call(max(t, departs[own[n + 1]]), 0, who)
             if road[who].waiting:
                 call(t, 2, who)
         elif kind == 1:  # the front of a link
@@ -119,23 +136,24 @@ def load(links: pd.DataFrame, routes: pd.DataFrame, level: int = 4, end_s: float
             if not here.queue:
                 continue
             v, ready = here.queue[0]
-            pcu = start[v][1]
-            ready = max(ready, here.last_out + here.headway * pcu)
+            size = weights[v]
+            ready = max(ready, here.last_out + here.headway * size)
             if ready > t + 1e-9:
                 call(ready, 1, who)
                 continue
-            last = at[v] + 1 == len(path[v])
-            if not last and refused(path[v][at[v] + 1], t, pcu, (1, who)):
+            on = begins[v] + at[v] + 1
+            last = on == begins[v + 1]
+            if not last and refused(path[on], t, size, (1, who)):
                 continue
             here.queue.popleft()
             here.last_out = t
             if here.lag:
-                here.leaving.append((t + here.lag, pcu))
+                here.leaving.append((t + here.lag, size))
             else:
-                here.held -= pcu
-            moves.append((v, at[v], who, entered.pop(v), t))
+                here.held -= size
+            yield ids[v], at[v], who, entered.pop(v), t
             if not last:
-                to = path[v][at[v] + 1]
+                to = path[on]
                 enter(v, to, t)
                 if road[to].waiting:
                     call(t, 2, to)
@@ -149,21 +167,69 @@ def load(links: pd.DataFrame, routes: pd.DataFrame, level: int = 4, end_s: float
                 call(max(t, own.last_in), *own.waiting[0][1])
             elif own.waiting and own.leaving:
                 call(own.leaving[0][0], 2, who)
-    return moves + [(v, at[v], path[v][at[v]], t, None) for v, t in entered.items()]
+    for v, t in entered.items():
+        yield ids[v], at[v], path[begins[v] + at[v]], t, None
+
+
+def _packed(kind: str, values) -> array:
+    """values as an array whose items are plain numbers."""
+    out = array(kind)
+    out.frombytes(np.ascontiguousarray(values, dtype="int64" if kind == "q" else "float64").tobytes())
+    return out
+
+
+def can_start(vehicles: DataFrame, links: DataFrame, end_s: float, slack_s: float = 1.0) -> DataFrame:
+    """Those of the vehicles (scenario, vehicle, first, depart_s, pcu, ...) that may come to the head of the queue at their first link before the end.
+
+    Whoever starts on a link keeps its headway from the one who started there before, so nobody starts earlier than in a queue that nothing else holds up: a running sum and a running maximum. Who comes after
+    one that does not start before the end waits behind it all the time and moves nothing. The slack is for sums of rounded numbers and the tolerance of every start.
+    """
+    order = Window.partitionBy("scenario", "first").orderBy("depart_s", "vehicle")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    queue = vehicles.join(F.broadcast(links.select(F.col("link").alias("first"), F.col("headway_s").cast("double").alias("h"))), "first", "left")
+    queue = queue.withColumn("sum", F.sum(F.col("h") * F.col("pcu")).over(so_far)).withColumn("starts", F.col("sum") + F.max(F.col("depart_s") - F.col("sum")).over(so_far))
+    return queue.withColumn("before", F.lag("starts").over(order)).filter(F.coalesce(F.col("before") < end_s + slack_s, F.lit(True))).select(*vehicles.columns)
 
 
 def simulate(links: DataFrame, routes: DataFrame, level: int = 4, end_s: float = float("inf")) -> DataFrame:
-    """MOVES of every scenario (scenario, vehicle, pos, link, depart_s, pcu) over one network, which is broadcast behind a check of its size."""
+    """MOVES of every scenario (scenario, vehicle, pos, link, depart_s, pcu) over one network, which is broadcast behind a check of its size. A task streams one scenario after another."""
     from viatica.operators.routing import small_network
 
     table = small_network(links, "link", "free_s", "headway_s", "storage_pcu", "lag_s")
     if table is None:
         raise ValueError("the network is too large for one task: load it by region")
     shared = links.sparkSession.sparkContext.broadcast(table)
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(load(shared.value, rows, level, end_s), columns=["vehicle", "pos", "link", "enter_s", "exit_s"])
-        out.insert(0, "scenario", int(key[0]))
-        return out.astype({"enter_s": float, "exit_s": float})
-
-    return routes.groupBy("scenario").applyInPandas(run, MOVES)
+    names = [c.split()[0] for c in MOVES.split(", ")]
+
+    def moved(key: int, parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+        columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        parts.clear()
+        moves = play(shared.value, *columns, level, end_s)
+        del columns
+        while some := list(islice(moves, 20_000)):
+            yield pa.RecordBatch.from_arrays([pa.array([key] * len(some), pa.int64()), *[pa.array(x, pa.int64() if n < 3 else pa.float64()) for n, x in enumerate(zip(*some, strict=True))]], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, parts = None, []
+        for batch in batches:
+            scenario = batch.column("scenario").to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(np.diff(scenario)) + 1).tolist(), len(scenario)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if parts and scenario[a] != key:
+                    yield from moved(key, parts)
+                key, rows = int(scenario[a]), batch.slice(a, b - a)
+                path = rows.column("path")
+                parts.append((*[rows.column(c).to_numpy(zero_copy_only=False) for c in ("vehicle", "depart_s", "pcu")], path.value_lengths().to_numpy(zero_copy_only=False), path.flatten().to_numpy(zero_copy_only=False)))
+        if parts:
+            yield from moved(key, parts)
+
+    at = F.array_sort(F.collect_list(F.struct("pos", F.col("link").cast("long").alias("link"), F.col("depart_s").cast("double").alias("depart_s"), F.col("pcu").cast("double").alias("pcu"))))
+    whole = routes.groupBy(F.col("scenario").cast("long").alias("scenario"), F.col("vehicle").cast("long").alias("vehicle")).agg(at.alias("x"))
+    last = F.element_at("x", -1)
+    vehicles = whole.select("scenario", "vehicle", last["depart_s"].alias("depart_s"), last["pcu"].alias("pcu"), F.col("x.link").alias("path"), F.col("x")[0]["link"].alias("first"))
+    if end_s < float("inf"):
+        vehicles = can_start(vehicles, links, end_s)
+    dealt = vehicles.drop("first").repartition(spread(vehicles), "scenario").sortWithinPartitions("scenario", "depart_s", "vehicle")
+    return dealt.mapInArrow(run, MOVES)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from viatica.operators import loading, search, simulation, statics
@@ -92,8 +93,8 @@ def static_route_shares(links, od):
 
 def _simulated(traversals, links, level):
     road = links.select("link", (F.col("length_m") / 10).alias("free_s"), (2.0 / F.col("lanes")).alias("headway_s"), F.floor(F.col("length_m") * F.col("lanes") / 7).alias("storage_pcu"), (F.col("length_m") / 5).alias("lag_s"))
-    first = traversals.groupBy("vehicle").agg(F.min("enter_s").alias("depart_s"))
-    routes = traversals.join(first, "vehicle").select((F.col("vehicle") % 16).alias("scenario"), "vehicle", "pos", "link", "depart_s", "pcu")
+    first = F.min("enter_s").over(Window.partitionBy("vehicle"))
+    routes = traversals.withColumn("depart_s", first).select((F.col("vehicle") % 16).alias("scenario"), "vehicle", "pos", "link", "depart_s", "pcu")
     return simulation.simulate(road, routes, level, 40_000.0)
 
 
